@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlake.llm.decontaminate import op7_decontamination
+from strandlake.llm.licenses import op1_licenses
+from strandlake.llm.secrets import op8_secrets
 from strandlake.llm.simhash import op4_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": op1_licenses,
         "op4_simhash": op4_simhash,
+        "op7_decontamination": op7_decontamination,
+        "op8_secrets": op8_secrets,
     }
 
 
