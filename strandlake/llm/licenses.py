@@ -31,7 +31,7 @@ from strandlake.llm.common import stored, table
 from strandlake.llm.words import ALNUM, LOWER, U64, Words, grams, runs, same_row, span_hash, split
 
 GRAM = 2
-COVERAGE = 0.7
+COVERAGE = 0.85
 #: Diagonals this far apart may belong to one quotation.
 NEIGHBOUR = 3
 
