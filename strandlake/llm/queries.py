@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm.decontaminate import op7_decontamination
+from strandlake.llm.langid import op2_language
 from strandlake.llm.licenses import op1_licenses
+from strandlake.llm.quality import op3_quality
 from strandlake.llm.secrets import op8_secrets
 from strandlake.llm.simhash import op4_simhash
 
@@ -15,6 +17,8 @@ from strandlake.llm.simhash import op4_simhash
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_licenses": op1_licenses,
+        "op2_language": op2_language,
+        "op3_quality": op3_quality,
         "op4_simhash": op4_simhash,
         "op7_decontamination": op7_decontamination,
         "op8_secrets": op8_secrets,
