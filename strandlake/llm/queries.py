@@ -13,6 +13,7 @@ from strandlake.llm.ordinal import op5_ordinal
 from strandlake.llm.quality import op3_quality
 from strandlake.llm.secrets import op8_secrets
 from strandlake.llm.simhash import op4_simhash
+from strandlake.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ordinal": op5_ordinal,
         "op7_decontamination": op7_decontamination,
         "op8_secrets": op8_secrets,
+        "op9_toxicity": op9_toxicity,
     }
 
 
