@@ -10,6 +10,7 @@ from strandlake.llm.decontaminate import op7_decontamination
 from strandlake.llm.langid import op2_language
 from strandlake.llm.licenses import op1_licenses
 from strandlake.llm.ordinal import op5_ordinal
+from strandlake.llm.packing import op6_packing
 from strandlake.llm.quality import op3_quality
 from strandlake.llm.secrets import op8_secrets
 from strandlake.llm.simhash import op4_simhash
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_simhash": op4_simhash,
         "op5_ordinal": op5_ordinal,
+        "op6_packing": op6_packing,
         "op7_decontamination": op7_decontamination,
         "op8_secrets": op8_secrets,
         "op9_toxicity": op9_toxicity,
