@@ -20,7 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -84,7 +84,7 @@ def _document_grams(batches: Iterator[pa.RecordBatch], short: list[int], span: i
         words, hashes = _words(run)
         ids = np.asarray(run.batch.column(0).to_numpy(zero_copy_only=False))
         nulls = run.batch.column(0).is_null()
-        row_hash = run.row_hash().view(np.int64)
+        row_hash = np.asarray(run.batch.column(1).to_numpy(zero_copy_only=False))
         index = words.index
         parts = [(np.arange(len(run)), np.full(len(run), -1), words.counts.astype(np.int64), _binary(np.zeros((len(run), 0), np.uint32)))]
         # the boundary of a row breaks a window: mark the k-grams that cross it
@@ -147,6 +147,11 @@ def _extended(batches: Iterator[pa.RecordBatch], span: int, k: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([*(kept.column(kept.schema.get_field_index(x)) for x in ("doc_id", "row_hash", "item_id")), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "row_hash", "item_id", "start", "end"])
 
 
+def text_hash() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def benchmark_grams(benchmark: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null")
     return items.mapInArrow(partial(_item_grams, span=span, k=k), "item_id string, size int, h long, item_near binary").distinct()
@@ -156,7 +161,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int =
     """The hit spans (doc_id, row_hash, item_id, start, end), in words, and the rows (doc_id, row_hash, n_words, copies)."""
     items = stored(benchmark_grams(benchmark, span, k), "items")
     n, lengths = items.agg(F.count("*"), F.collect_set(F.when(F.col("size") < span, F.col("size")))).first()  # 9 lengths at most
-    prints = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_document_grams, short=sorted(lengths), span=span, k=k), _FIELDS)
+    prints = documents.select(F.col("doc_id").cast("long"), text_hash().alias("row_hash"), "text").mapInArrow(partial(_document_grams, short=sorted(lengths), span=span, k=k), _FIELDS)
     side = F.broadcast(items) if n <= BROADCAST_GRAMS else items
     joined = prints.join(side, "h", "left").filter("pos = -1 or size is not null")
     joined = stored(joined, "joined")
@@ -186,6 +191,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     ).drop("_copy")
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
+    """The rows, with their own columns, that share no item's window."""
+    found, _ = hits(documents, benchmark, span, k)
+    bad = stored(found.select("doc_id", "row_hash").distinct(), "contaminated")
+    same = documents["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == bad["row_hash"])
+    return documents.join(bad, same, "left_anti")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.llm.common import held_out, labelled_sample, table
 from strandlake.llm.quality import statistics
@@ -133,11 +134,9 @@ def _graded(batches: Iterator[pa.RecordBatch], model: Ordinal | None) -> Iterato
 
 def grade(documents: DataFrame, model: Ordinal | None, text: str = "text") -> DataFrame:
     """The rows with _text, _p1 and _p2 (tail probabilities) beside their own columns."""
-    extra = "_text string, " + ", ".join(f"_p{j + 1} double" for j in range(GRADES - 1))
     out = documents.withColumn("_text", F.col(text).cast("string"))
-    schema = documents.schema
-    for field in extra.split(", "):
-        schema = schema.add(*field.split(" "))
+    tails = [T.StructField(f"_p{j + 1}", T.DoubleType()) for j in range(GRADES - 1)]
+    schema = T.StructType([*out.schema.fields, *tails])
     return out.mapInArrow(partial(_graded, model=model), schema)
 
 

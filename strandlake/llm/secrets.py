@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.llm.common import stored, table
 from strandlake.llm.words import runs
@@ -61,8 +63,9 @@ def find(text: str) -> list[Span]:
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for run in runs(batches):
+def _scan(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The columns before the text, which is the last one, and the spans in its place."""
+    for run in runs(batches, column):
         lists: list[list[dict]] = []
         for i in range(len(run)):
             text = run.text(i)
@@ -71,12 +74,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*run.batch.columns[:-1], spans], [*run.batch.schema.names[:-1], "spans"])
 
 
-_SPANS = "array<struct<start:int,kind:int,end:int,value:int,hash:long>>"
+_SPANS = T.ArrayType(T.StructType([*(T.StructField(n, T.IntegerType()) for n in ("start", "kind", "end", "value")), T.StructField("hash", T.LongType())]))
+_CANDIDATES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("spans", _SPANS)])
 
 
 def candidates(documents: DataFrame) -> DataFrame:
     """(doc_id, source, spans) of every row."""
-    return documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(_scan, f"doc_id long, source string, spans {_SPANS}")
+    return documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(_scan, _CANDIDATES)
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -90,6 +94,44 @@ def ownership(spans: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
 
 
+def _redacted(batches: Iterator[pa.RecordBatch], mark: str) -> Iterator[pa.RecordBatch]:
+    """Puts ``mark`` in place of the live spans' values; the columns are text, n_chars and then live at the end."""
+    for batch in batches:
+        names = batch.schema.names
+        texts = batch.column(names.index("text")).to_pylist()
+        out = []
+        for text, live in zip(texts, batch.column(names.index("live")).to_pylist()):
+            done, parts = 0, []
+            for start, end in sorted((s["value"], s["end"]) for s in live):
+                if end > done:
+                    parts += [text[done : max(done, start)], mark]
+                    done = end
+            out.append("".join(parts) + text[done:])
+        columns = {n: batch.column(n) for n in names if n != "live"} | {"text": pa.array(out, pa.string())}
+        if "n_chars" in columns:
+            columns["n_chars"] = pa.array([len(x) for x in out]).cast(batch.schema.field("n_chars").type)
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def redact(documents: DataFrame, example_owners: int = EXAMPLE_OWNERS, mark: str = "[secret]") -> DataFrame:
+    """The rows, with their own columns, live-looking values replaced by ``mark`` (and n_chars set to the new length).
+
+    Rows without a span pass straight through; only the others meet the
+    ownership counts, so whole texts are shuffled for those alone.
+    """
+    columns = documents.columns
+    found = documents.withColumn("_source", F.col("source").cast("string")).withColumn("_text", F.col("text"))
+    schema = T.StructType([*found.schema.fields[:-1], T.StructField("_spans", _SPANS)])
+    found = found.mapInArrow(partial(_scan, column="_text"), schema)
+    plain = found.filter(F.size("_spans") == 0).select(*columns)
+    held = stored(found.filter(F.size("_spans") > 0).withColumn("_row", F.monotonically_increasing_id()), "held")
+    spans = held.select("_row", F.col("_source").alias("source"), F.explode("_spans").alias("span")).select("_row", "source", "span", "span.hash")
+    live = spans.join(ownership(spans), "hash").filter(F.col("owners") < example_owners).groupBy("_row").agg(F.collect_list("span").alias("live"))
+    none = F.array().cast(_SPANS)
+    marked = held.join(live, "_row", "left").select(*columns, F.coalesce("live", none).alias("live"))
+    return plain.unionByName(marked.mapInArrow(partial(_redacted, mark=mark), documents.schema))
+
+
 def _joined(chosen) -> F.Column:
     name = F.element_at(F.array(*(F.lit(k) for k in KINDS)), chosen["kind"] + 1)
     return F.concat_ws(":", name, chosen["start"], chosen["end"])
