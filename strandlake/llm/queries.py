@@ -14,6 +14,7 @@ from strandlake.llm.packing import op6_packing
 from strandlake.llm.quality import op3_quality
 from strandlake.llm.secrets import op8_secrets
 from strandlake.llm.simhash import op4_simhash
+from strandlake.llm.tokenfile import op10_tokenfile
 from strandlake.llm.toxicity import op9_toxicity
 
 
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontamination": op7_decontamination,
         "op8_secrets": op8_secrets,
         "op9_toxicity": op9_toxicity,
+        "op10_tokenfile": op10_tokenfile,
     }
 
 
