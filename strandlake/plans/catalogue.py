@@ -1,15 +1,468 @@
-"""Named queries with their SQL counterparts."""
+"""Named queries over the star-schema tables, with their SQL counterparts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strandlake.functions import classes
+from strandlake.operators import decoding, embedding, hierarchy, intervals, ontology, sequences, similarity
+from strandlake.plans import adapters as A
+from strandlake.plans import sql as S
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_FOUND: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _FOUND[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(_FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return S.statements()
+
+
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    """Doubles to a fixed number of digits: transcendental functions differ in the last ones between engines."""
+    return df.select(*(F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes))
+
+
+# -- similarity --------------------------------------------------------------
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.similarity(A.signature(spark, d))
+
+
+@query
+def dice_topk(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(similarity.top_neighbours(_pairs(spark, d), 5).withColumn("rank", F.col("rank").cast("long")))
+
+
+@query
+def composite_dice_stats(spark: SparkSession, d: str) -> DataFrame:
+    exact = F.sum(F.col("s").cast("decimal(28,12)")).cast("double")
+    return rounded(_pairs(spark, d).groupBy(F.floor(F.col("s") * 10).cast("long").alias("tenth")).agg(F.count("*").alias("n"), exact.alias("total"), F.max("s").alias("most")), 6)
+
+
+@query
+def knn_edges(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(similarity.knn_edges(_pairs(spark, d), 5))
+
+
+@query
+def novelty_validated(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(similarity.novelty(A.entities(spark, d), A.signature(spark, d)))
+
+
+@query
+def novelty_pruned(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(similarity.novelty_pruned(A.entities(spark, d), _pairs(spark, d)))
+
+
+@query
+def domain_novelty(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(similarity.domain_novelty(A.signature(spark, d), A.levels(spark, d).select("id", F.col("level_2").alias("path"))))
+
+
+@query
+def project_partials(spark: SparkSession, d: str) -> DataFrame:
+    e, sig = A.entities(spark, d), A.signature(spark, d)
+    part, prime = e.filter("is_partial").select("id", "is_validated"), e.filter("not is_partial").select("id", "is_validated")
+    of = lambda x: sig.join(x.select("id"), "id", "left_semi")
+    found = similarity.project(part, of(part), of(prime), A.placed(spark, d).join(prime.select("id"), "id", "left_semi"), prime.filter("is_validated").select("id"), 10)
+    return rounded(found, 6)
+
+
+# -- hierarchy ---------------------------------------------------------------
+
+
+def _pathed(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.paths(A.levels(spark, d))
+
+
+@query
+def ltree_paths(spark: SparkSession, d: str) -> DataFrame:
+    return _pathed(spark, d).select("id", "path_0", "path_1", "path_2")
+
+
+@query
+def gcf_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.nodes(hierarchy.memberships(_pathed(spark, d))).withColumn("level", F.col("level").cast("long"))
+
+
+@query
+def medoids(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.medoids(hierarchy.memberships(_pathed(spark, d)), _pairs(spark, d)).withColumn("level", F.col("level").cast("long"))
+
+
+@query
+def layout_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(hierarchy.normalise_layout(A.placed(spark, d).select("id", "x", "y")), 6)
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Communities are sought among embeddings of one label: edges join vectors of neighbouring ids."""
+    v = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
+    one, two = v.select(F.col("id").alias("a"), "label", F.col("embedding").alias("x")), v.select(F.col("id").alias("b"), "label", F.col("embedding").alias("y"))
+    met = one.join(two, "label").filter((F.col("a") < F.col("b")) & (F.col("b") - F.col("a") <= 60))
+    dot = F.aggregate(F.zip_with("x", "y", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return v.select("id", F.col("label").alias("component")), met.select("a", "b", F.abs(dot).alias("weight")).filter("weight > 0")
+
+
+@query
+def hierarchical_leiden(spark: SparkSession, d: str) -> DataFrame:
+    vertices, edges = _graph(spark, d)
+    return hierarchy.nested_communities(vertices, edges)
+
+
+@query
+def layout_2d(spark: SparkSession, d: str) -> DataFrame:
+    vertices, edges = _graph(spark, d)
+    return hierarchy.layout(vertices.select("id"), edges, rounds=10)
+
+
+# -- metrics -----------------------------------------------------------------
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return decoding.per_orf_max(A.orfs(spark, d), A.annotations(spark, d))
+
+
+def _predicted(spark: SparkSession, d: str) -> DataFrame:
+    return decoding.decode(_scored(spark, d), 0.3, nucleotide=True)
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    s, p = A.samples(spark, d), _predicted(spark, d)
+    return intervals.cluster_eval(s, A.truth(spark, d), p).join(intervals.orf_eval(s, A.coding(spark, d), p), "sample")
+
+
+@query
+def per_orf_max(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_scored(spark, d))
+
+
+@query
+def decode_regions(spark: SparkSession, d: str) -> DataFrame:
+    return decoding.decode(_scored(spark, d), 0.3)
+
+
+@query
+def decode_regions_nt(spark: SparkSession, d: str) -> DataFrame:
+    return _predicted(spark, d)
+
+
+@query
+def cluster_eval(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(intervals.cluster_eval(A.samples(spark, d), A.truth(spark, d), _predicted(spark, d)))
+
+
+@query
+def orf_eval(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(intervals.orf_eval(A.samples(spark, d), A.coding(spark, d), _predicted(spark, d)))
+
+
+@query
+def aggregate_micro(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(intervals.micro(_evaluated(spark, d)))
+
+
+@query
+def aggregate_macro(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(intervals.macro(_evaluated(spark, d)))
+
+
+def _sweep(spark: SparkSession, d: str) -> DataFrame:
+    return decoding.sweep(A.samples(spark, d), A.orfs(spark, d), A.annotations(spark, d), A.truth(spark, d), A.coding(spark, d), decoding.grid(spark))
+
+
+@query
+def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_sweep(spark, d))
+
+
+@query
+def sweep_aucpr(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(decoding.sweep_area(_sweep(spark, d), "cluster"))
+
+
+def _rated(spark: SparkSession, d: str) -> DataFrame:
+    docs = A.table(spark, d, "documents").select("doc_id", F.least(F.col("n_chars") / 5000, F.lit(1.0)).alias("score"))
+    return docs.join(A.table(spark, d, "labels").select("doc_id", F.col("quality").alias("target")), "doc_id")
+
+
+@query
+def pr_curve(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(decoding.pr_curve(_rated(spark, d)))
+
+
+@query
+def average_precision(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(decoding.average_precision(_rated(spark, d)))
+
+
+def _logits(spark: SparkSession, d: str) -> DataFrame:
+    return _rated(spark, d).select("doc_id", (F.col("score") * 6 - 3).alias("logit"), "target", (F.col("doc_id") % 3 != 0).alias("kept"))
+
+
+@query
+def focal_loss(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(decoding.focal_loss(_logits(spark, d)), 8)
+
+
+@query
+def focal_loss_masked(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(decoding.focal_loss(_logits(spark, d), alpha=None, mask="kept"), 8)
+
+
+# -- ontology ----------------------------------------------------------------
+
+
+def _closed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    terms, links = A.ontology(spark, d)
+    return terms, links, ontology.closure(terms, links)
+
+
+@query
+def ontology_depth(spark: SparkSession, d: str) -> DataFrame:
+    out = ontology.depths(*_closed(spark, d))
+    return out.select("term", F.col("depth").cast("long").alias("depth"))
+
+
+@query
+def ontology_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    return ontology.ancestors(_closed(spark, d)[2]).select("term", "ancestor", F.col("dist").cast("long").alias("dist"))
+
+
+@query
+def ontology_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return ontology.descendants(_closed(spark, d)[2]).groupBy("term").agg(F.count("*").alias("n"), F.max("dist").cast("long").alias("farthest"))
+
+
+def _content(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    closed, counts = _closed(spark, d)[2], A.term_counts(spark, d)
+    return closed, ontology.information_content(counts, closed, A.table(spark, d, "lineitem").count())
+
+
+@query
+def ic_values(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_content(spark, d)[1])
+
+
+def _compared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders compared with the next one of their customer, and all pairs of terms that this takes."""
+    from pyspark.sql.window import Window
+
+    after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    compared = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), after.alias("b")).filter("b is not null")
+    sets = A.term_sets(spark, d)
+    one = compared.join(sets.select(F.col("entity").alias("a"), F.col("term").alias("t1")), "a").join(sets.select(F.col("entity").alias("b"), F.col("term").alias("t2")), "b")
+    both = one.select("t1", "t2").unionByName(one.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"))).distinct()
+    return compared, both
+
+
+@query
+def lin_pairs(spark: SparkSession, d: str) -> DataFrame:
+    closed, ic = _content(spark, d)
+    return rounded(ontology.lin(_compared(spark, d)[1], closed, ic))
+
+
+@query
+def semantic_bma(spark: SparkSession, d: str) -> DataFrame:
+    (closed, ic), (compared, both) = _content(spark, d), _compared(spark, d)
+    return rounded(ontology.best_match_average(A.term_sets(spark, d), compared, ontology.lin(both, closed, ic), "lin"), 8)
+
+
+@query
+def resnik_bma(spark: SparkSession, d: str) -> DataFrame:
+    (closed, ic), (compared, both) = _content(spark, d), _compared(spark, d)
+    found = ontology.best_match_average(A.term_sets(spark, d), compared, ontology.resnik(both, closed, ic), "resnik")
+    return rounded(ontology.by_greatest(found, ic), 8)
+
+
+@query
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    (closed, ic), (compared, both) = _content(spark, d), _compared(spark, d)
+    return rounded(ontology.coverage(A.term_sets(spark, d), compared, ontology.lin(both, closed, ic)), 8)
+
+
+# -- classes -----------------------------------------------------------------
+
+
+@query
+def bgc_class_single(spark: SparkSession, d: str) -> DataFrame:
+    p = A.predictions(spark, d)
+    return p.select("tool", "raw", classes.single_label(F.col("tool"), F.col("raw")).alias("label")).groupBy("tool", "raw", "label").agg(F.count("*").alias("n"))
+
+
+@query
+def bgc_class_union(spark: SparkSession, d: str) -> DataFrame:
+    return classes.classify(A.predictions(spark, d))
+
+
+@query
+def tool_family(spark: SparkSession, d: str) -> DataFrame:
+    return A.predictions(spark, d).groupBy(classes.tool_family(F.col("tool")).alias("family")).agg(F.count("*").alias("n"))
+
+
+@query
+def legacy_class_map(spark: SparkSession, d: str) -> DataFrame:
+    names = F.element_at(F.array(*(F.lit(x) for x in [*classes.LEGACY, "NRP", "nrps"])), (F.col("p_partkey") % 9 + 1).cast("int"))
+    return A.table(spark, d, "part").select(names.alias("raw")).groupBy("raw", classes.legacy(F.col("raw")).alias("label")).agg(F.count("*").alias("n"))
+
+
+# -- sequences ---------------------------------------------------------------
+
+
+@query
+def contig_filter(spark: SparkSession, d: str) -> DataFrame:
+    records = A.contigs(spark, d)
+    return sequences.keep(records, sequences.passing(records, 1000)).select("id", F.length("seq").cast("long").alias("n"))
+
+
+@query
+def faa_filter(spark: SparkSession, d: str) -> DataFrame:
+    ids = sequences.passing(A.contigs(spark, d), 1000)
+    proteins = A.contigs(spark, d).select(F.concat_ws("_", "id", (F.col("ord") % 7).cast("string")).alias("id"), F.concat(F.lit("protein ["), (F.col("ord") + 1).cast("string"), F.lit("]")).alias("description"))
+    return sequences.keep_proteins(proteins, ids)
+
+
+def _gff(spark: SparkSession, d: str) -> DataFrame:
+    one, tab = A.table(spark, d, "labels"), "\t"
+    seqid = F.when(F.col("doc_id") % 10 == 0, "gone").otherwise(F.col("doc_id").cast("string"))
+    feature = F.element_at(F.array(F.lit("BGC"), F.lit("bgc"), F.lit("gene")), (F.col("doc_id") % 3 + 1).cast("int"))
+    line = F.concat_ws(tab, seqid, F.lit("tool"), feature, (F.col("doc_id") % 50 + 1).cast("string"), (F.col("doc_id") % 50 + 500).cast("string"), F.lit("."), F.lit("+"), F.lit("."), F.concat(F.lit("ID=r"), F.col("doc_id").cast("string")))
+    return one.select(F.col("doc_id").alias("line_no"), F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("# "), seqid)).otherwise(line).alias("raw"))
+
+
+@query
+def gff_filter(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.keep_gff(_gff(spark, d), sequences.passing(A.contigs(spark, d), 1000))
+
+
+@query
+def bgc_regions(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.numbered(sequences.parse_regions(_gff(spark, d), "bgc"))
+
+
+@query
+def region_extract(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.extract(sequences.parse_regions(_gff(spark, d), "bgc"), A.contigs(spark, d), "gecco", "sample")
+
+
+@query
+def seq_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return sequences.first_seen(A.contigs(spark, d)).select("ord", "sha256")
+
+
+@query
+def token_batches(spark: SparkSession, d: str) -> DataFrame:
+    files = A.table(spark, d, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("ord"), F.col("text").alias("seq"))
+    return sequences.token_batches(files)
+
+
+@query
+def seq_validation(spark: SparkSession, d: str) -> DataFrame:
+    found = sequences.validated(A.contigs(spark, d).select("ord", F.replace(F.element_at(F.split("seq", " "), 1), F.lit("ß"), F.lit("s")).alias("seq")))
+    return found.select("ord", "seq", "bad")
+
+
+# -- embeddings --------------------------------------------------------------
+
+
+def _proteins(spark: SparkSession, d: str) -> DataFrame:
+    return A.table(spark, d, "embeddings").select(F.col("label").cast("string").alias("bgc"), F.col("vec_id").alias("ord"), F.col("embedding").alias("vector"))
+
+
+def _flat(pooled: DataFrame) -> DataFrame:
+    """A row for each element, which engines compare without a format for arrays."""
+    return rounded(pooled.select("bgc", F.col("n_proteins").cast("long").alias("n_proteins"), F.posexplode("vector").alias("k", "x")).withColumn("k", F.col("k").cast("long")), 6)
+
+
+@query
+def bgc_pool_mean(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(embedding.pool(_proteins(spark, d), 64))
+
+
+@query
+def bgc_pool_max(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(embedding.pool(_proteins(spark, d), 64, aggregation="max"))
+
+
+@query
+def bgc_pool_pe(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(embedding.pool(_proteins(spark, d), 64, scale=0.5, per_protein_norm=True, post_norm=True))
+
+
+@query
+def layer_extract(spark: SparkSession, d: str) -> DataFrame:
+    halves = _proteins(spark, d).select("ord", F.array(F.slice("vector", 1, 32), F.slice("vector", 33, 32)).alias("layers"))
+    value = lambda layer: F.element_at(embedding.layer_of(F.col("layers"), layer), 1).cast("double")
+    return halves.select("ord", value(0).alias("first"), value(1).alias("second"), value("final").alias("last"))
+
+
+@query
+def strategy_id(spark: SparkSession, d: str) -> DataFrame:
+    return embedding.pool(_proteins(spark, d), 64, scale=0.5, post_norm=True).select("bgc", "strategy_id")
+
+
+@query
+def run_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    e, s = A.entities(spark, d), A.signature(spark, d)
+    held = e.agg(F.concat_ws(":", F.count("*").cast("string"), F.max("id").cast("string")).alias("entities"))
+    tags = s.filter("kind = 'domain'").agg(F.concat_ws(":", F.count("*").cast("string"), F.countDistinct("feature").cast("string")).alias("domains"))
+    parts = ["sources=lineitem,orders", "weights=0.500000,0.500000", "k=10", "res=" + ",".join(f"{r:.6f}" for r in hierarchy.RESOLUTIONS), "seed=42"]
+    text = F.concat_ws("|", *(F.lit(p) for p in parts), F.concat(F.lit("ibgc_etag="), "entities"), F.concat(F.lit("domain_etag="), "domains"))
+    return held.crossJoin(tags).select(F.sha2(text, 256).alias("run_sha"))
+
+
+# -- injected backends -------------------------------------------------------
+
+
+class _Letters:
+    """A stand-in model: counts of letters of each half of a sequence."""
+
+    def __call__(self, seqs: list[str]) -> list:
+        import numpy as np
+
+        return [np.array([[part.count(c) for c in "ACDEFGHI"] for part in (s[: len(s) // 2], s[len(s) // 2 :])], float) for s in seqs]
+
+
+@query
+def embed_stub(spark: SparkSession, d: str) -> DataFrame:
+    first = A.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")).alias("seq")).filter("seq <> ''")
+    found = embedding.embed(first, _Letters)
+    return found.select("sha256", "sequence_length", F.element_at(F.element_at("layers", -1), 1).cast("double").alias("a_in_last_half"))
+
+
+@query
+def smarts_match_stub(spark: SparkSession, d: str) -> DataFrame:
+    from strandlake.operators import chemistry
+
+    terms = spark.createDataFrame([("CHEMONTID:1", "has x", "x", 2, 0), ("CHEMONTID:2", "has the", "the", 1, 1), ("CHEMONTID:3", "has vowels", "[aeiou]{2}", 3, 2)], "id string, name string, smarts string, depth int, ord int")
+    compounds = A.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("smiles"))
+    return chemistry.match(compounds, terms, chemistry.RegexMatcher)
+
+
+@query
+def remote_classify_stub(spark: SparkSession, d: str) -> DataFrame:
+    from strandlake.operators import chemistry
+
+    compounds = A.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("smiles"))
+    return chemistry.classify_remote(compounds, chemistry.FakeService)
+
+
+def tables(spark: SparkSession, d: str, *names: str) -> None:
+    """Register tables as views, for statements in SQL."""
+    for name in names:
+        A.table(spark, d, name).createOrReplaceTempView(name)
+
+
