@@ -65,8 +65,8 @@ class _Coder:
         small = np.flatnonzero(span < 65536)
         if len(small):
             lane = self.lanes[who][small]
-            if reading:
-                low[small] = (low[small] << 16) | self.words[lane, self.at[lane]]
+            if reading:  # a damaged block may ask for more words than there are
+                low[small] = (low[small] << 16) | self.words[lane, np.minimum(self.at[lane], self.words.shape[1] - 1)]
             else:
                 self.words[lane, self.at[lane]] = low[small] >> 16
                 low[small] = (low[small] & 0xFFFF) << 16
@@ -86,28 +86,30 @@ class _Coder:
 
 
 class _Counts:
-    """Adaptive counts of order 0 in rows of symbols."""
+    """Adaptive counts of order 0 in rows of symbols; whole numbers below 2**24, which float32 holds exactly."""
 
     def __init__(self, rows: int, symbols: int) -> None:
-        self.n = np.ones((rows, symbols), np.int32)
+        self.n = np.ones((rows, symbols), np.float32)
+        self.upto = np.triu(np.ones((symbols, symbols), np.float32))  # running sums as one product
+        self.ones = np.ones(symbols, np.float32)
 
     def code(self, coder: _Coder, who: np.ndarray, row: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        own = self.n[row]
-        upto = own.cumsum(1)
+        own = self.n.take(row, 0)
+        upto = own @ self.upto
         total = upto[:, -1].astype(np.int64)
         each = np.arange(len(row))
         if symbol is None:
             unit, place = coder.find(who, total)
-            symbol = (upto <= place[:, None]).sum(1)
+            symbol = ((upto <= place[:, None].astype(np.float32)).astype(np.float32) @ self.ones).astype(np.int64)
             size = own[each, symbol].astype(np.int64)
-            coder.take(who, unit, upto[each, symbol] - size, size)
+            coder.take(who, unit, upto[each, symbol].astype(np.int64) - size, size)
         else:
             size = own[each, symbol].astype(np.int64)
-            coder.put(who, total, upto[each, symbol] - size, size)
+            coder.put(who, total, upto[each, symbol].astype(np.int64) - size, size)
         self.n[row, symbol] += 24
         full = np.flatnonzero(total > 8000)
         if len(full):
-            self.n[row[full]] = (self.n[row[full]] + 1) >> 1
+            self.n[row[full]] = np.floor((self.n[row[full]] + 1) / 2)
         return symbol
 
 
