@@ -31,7 +31,7 @@ from strandlake.llm.quality import statistics
 from strandlake.llm.words import Run, runs
 
 #: Labelled documents that the weights are fitted on, at most.
-FIT_ROWS = 4000
+FIT_ROWS = 3000
 BITS = 12
 MARKERS = 2
 GRADES = 3
@@ -63,11 +63,14 @@ class Ordinal:
 
     def tails(self, x: np.ndarray) -> np.ndarray:
         """(rows, grades - 1): P(grade >= j) for j from 1."""
-        return 1 / (1 + np.exp(-np.clip((x @ self.weights)[:, None] - self.thresholds[None, :], -50, 50)))
+        return 1 / (1 + np.exp(-np.clip((x @ self.weights.astype(x.dtype)).astype(float)[:, None] - self.thresholds[None, :], -50, 50)))
 
 
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, ridge: float = 1e-4, steps: int = 300, rate: float = 0.1) -> Ordinal:
-    """Full-batch Adam on the cumulative logit likelihood; the thresholds are a start and positive gaps, so they stay ordered."""
+    """Full-batch Adam on the cumulative logit likelihood; the thresholds are a start and positive gaps, so they stay ordered.
+
+    ``x`` stays in its own type: its products would copy it to a wider one else.
+    """
     w = np.zeros(x.shape[1])
     share = np.clip([(grade >= j).mean() for j in range(1, grades)], 1e-3, 1 - 1e-3)
     first = -np.log(share / (1 - share))
@@ -78,13 +81,13 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, ridge: f
         w, raw = state[: x.shape[1]], state[x.shape[1] :]
         gaps = np.exp(raw[1:])
         t = raw[0] + np.concatenate([[0.0], np.cumsum(gaps)])
-        tail = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - t[None, :], -50, 50)))
+        tail = 1 / (1 + np.exp(-np.clip((x @ w.astype(x.dtype)).astype(float)[:, None] - t[None, :], -50, 50)))
         # P(grade = g) is the difference of two tails; its log's slope in the score and in each threshold
         full = np.concatenate([np.ones((len(x), 1)), tail, np.zeros((len(x), 1))], 1)
         p = np.maximum(full[np.arange(len(x)), grade] - full[np.arange(len(x)), grade + 1], 1e-9)
         d = full * (1 - full)
         score = (d[np.arange(len(x)), grade] - d[np.arange(len(x)), grade + 1]) / p
-        gw = -(x.T @ score) / len(x) + ridge * w
+        gw = -(score.astype(x.dtype) @ x).astype(float) / len(x) + ridge * w
         gt = np.array([((d[:, j] * ((grade == j).astype(float) - (grade == j - 1))) / p).mean() for j in range(1, grades)])
         graw = np.concatenate([[gt.sum()], [gt[j:].sum() * gaps[j - 1] for j in range(1, grades - 1)]])
         g = np.concatenate([gw, graw])
@@ -114,7 +117,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordina
     """Weights from at most ``rows`` labelled documents; None unless poor and good ones are among them."""
     sample = labelled_sample(graded(labels), documents, rows, ["grade"])
     found = sample.select(F.col("doc_id").cast("long"), "grade", "text").mapInArrow(_featured, "doc_id long, grade int, at array<smallint>, value array<float>").toPandas()
-    found = found.sort_values("doc_id", kind="stable").reset_index(drop=True)
+    found = found.sort_values("doc_id", kind="stable", ignore_index=True)
     grade = found["grade"].to_numpy(np.int64)
     if not len(grade) or grade.min() > 0 or grade.max() == 0:
         return None
