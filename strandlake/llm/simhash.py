@@ -200,7 +200,8 @@ def one_of_each(documents: DataFrame, shingle: int = 5, distance: int = 3, block
     prints = stored(fingerprints(documents, shingle), "fingerprints")
     named = components_of(prints, distance, blocks)
     kept = stored(named.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")), "kept")
-    stay = documents.join(kept, documents["doc_id"] == kept["_kept"])
+    # nearly every row stays, so the join is a merge at every size
+    stay = documents.join(kept.hint("merge"), documents["doc_id"] == kept["_kept"])
     once = stay.filter("_n = 1").select(*documents.columns)
     repeated = stay.filter("_n > 1").dropDuplicates(["doc_id"]).select(*documents.columns)
     return once.unionByName(repeated).unionByName(documents.filter("doc_id is null"))
