@@ -191,21 +191,5 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 3, b
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(documents: DataFrame, shingle: int = 5, distance: int = 3, blocks: int = 6) -> DataFrame:
-    """The rows, with their own columns, less all but one of each component: the row of the smallest doc_id stays.
-
-    Rows with a null doc_id can't be named and stay. Of rows that share the
-    doc_id that stays, one stays.
-    """
-    prints = stored(fingerprints(documents, shingle), "fingerprints")
-    named = components_of(prints, distance, blocks)
-    kept = stored(named.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")), "kept")
-    # nearly every row stays, so the join is a merge at every size
-    stay = documents.join(kept.hint("merge"), documents["doc_id"] == kept["_kept"])
-    once = stay.filter("_n = 1").select(*documents.columns)
-    repeated = stay.filter("_n > 1").dropDuplicates(["doc_id"]).select(*documents.columns)
-    return once.unionByName(repeated).unionByName(documents.filter("doc_id is null"))
-
-
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

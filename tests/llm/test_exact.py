@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from strandlake.llm import decontaminate, licenses, packing, quality, rangecoder, secrets, simhash, tokenfile
+from strandlake.llm import decontaminate, licenses, packing, quality, rangecoder, secrets, simhash, simhash_wide, tokenfile
 from strandlake.llm.components import components
 from strandlake.llm.tokens import encoder, tokenizer_path
 from strandlake.llm.words import runs
@@ -83,6 +84,27 @@ def test_simhash_dense_block_is_whole(spark):
     assert len({next(iter(x)) for x in mine.values()}) == len(mine)
 
 
+def test_one_of_each_group_stays(spark):
+    rng = np.random.default_rng(7)
+    make = lambda n: [f"w{x}" for x in rng.integers(0, 4000, n)]
+    rows, number = [], 0
+    for _ in range(12):
+        base = make(300)
+        for copy in range(4):
+            w = list(base)
+            for at in rng.choice(300, copy, replace=False):  # up to three words of 300 differ
+                w[at] = "changed"
+            rows.append((number, " ".join(w)))
+            number += 1
+    rows += [(number + i, " ".join(make(60))) for i in range(20)] + [rows[0], (900, None), (901, ""), (None, "only words of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_hash", F.lit("x"))
+    kept = simhash_wide.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted((r["doc_id"] is not None, r["doc_id"]) for r in kept.collect())
+    assert got == sorted([(True, 4 * i) for i in range(12)] + [(True, number + i) for i in range(20)] + [(True, 900), (False, None)], key=lambda x: (x[0], x[1] or 0))
+    assert simhash_wide.one_of_each(df.limit(0)).count() == 0
+
+
 def test_every_close_pair_shares_a_mask():
     rng = np.random.default_rng(1)
     m = np.array(simhash.masks(3, 6), np.int64)
