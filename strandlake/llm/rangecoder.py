@@ -5,11 +5,13 @@ block, the last id seen after the two ids before (order 2) and after the one
 before (order 1) are candidates; how often such candidates were right, by their
 own record, is mixed in the logistic domain with weights that learn in the
 block, and gives the chances of either candidate and of neither. An id that is
-neither is coded by adaptive counts of order 0, over its classes of 1,024 and of
-32 ids, and its place in the class.
+neither is coded by order 0: the counts of its class of ids so far, taken up at
+the steps of ``_REFRESH``, and its place in the class.
 
-All arithmetic is on whole numbers, so that encoder and decoder agree
-everywhere. A numpy pass codes the next id of many blocks at once.
+The three chances of an id are nested into one interval, so the range coder
+takes one step for each id. All arithmetic is on whole numbers, so that encoder
+and decoder agree everywhere. A numpy pass codes the next id of many blocks at
+once.
 """
 
 from __future__ import annotations
@@ -19,168 +21,162 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS = 4096
+BLOCK_IDS = 4096  # int16 counts hold twice as many at least
 #: Blocks that one pass codes side by side.
 LANES = 1024
-MAGIC = b"SLB1"
+MAGIC = b"SLB2"
 
 _ONE = 12  # bits of a chance
-_ORDER1, _ORDER2 = 4096, 8192  # slots of the candidates' tables
-_RECORDS = 8
-_HIGH, _LOW = 10, 5  # bits below the classes of order 0
+_ORDER1, _ORDER2 = 1024, 2048  # slots of the candidates' tables
+_COUNTED = 13  # bits of order 0's total
+_LOW = 6  # bits of an id below its class of order 0
+_BITS = _ONE + _COUNTED + _LOW  # of the total of an id's nested chances
+_CODE = 48  # bits of the code in hand; the range keeps 32 of them at least, one more than the total has
 _FLOOR = 32
+_RENEWED = 512
 
-_X = np.arange(1 << _ONE)
+_X = np.arange((1 << _ONE) + 1)
 _STRETCH = np.round(256 * np.log(np.clip(_X, 1, 4095) / (4096 - np.clip(_X, 1, 4095)))).astype(np.int64)
 _SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), _FLOOR, 4096 - _FLOOR).astype(np.int64)
+#: A record's next state, by hit or miss (first and second eight): it grows by hits and halves by misses.
+_NEXT = np.array([min(s + 1, 7) for s in range(8)] + [s >> 1 if s > 1 else 0 for s in range(8)], np.int64)
 
 
-class _Coder:
-    """Range coder of many lanes; reads where words are given, else writes."""
-
-    def __init__(self, lanes: int, room: int, words: np.ndarray | None) -> None:
-        self.range = np.full(lanes, 0xFFFFFFFF, np.int64)
-        self.at = np.zeros(lanes, np.int64)
-        self.lanes = np.arange(lanes)
-        self.words = np.zeros((lanes, room), np.uint32) if words is None else words
-        self.low = np.zeros(lanes, np.int64)
-        if words is not None:
-            self.low = (words[:, 0].astype(np.int64) << 16) | words[:, 1]
-            self.at += 2
-
-    def find(self, who, total) -> tuple[np.ndarray, np.ndarray]:
-        """(unit, place in the total) of the next symbol of each lane, to be read."""
-        unit = self.range[who] // total
-        return unit, np.minimum(self.low[who] // unit, total - 1)
-
-    def take(self, who, unit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        low, span = self.low[who] - unit * start, unit * size
-        self._shift(who, low, span, True)
-
-    def put(self, who, total, start: np.ndarray, size: np.ndarray) -> None:
-        unit = self.range[who] // total
-        self._shift(who, self.low[who] + unit * start, unit * size, False)
-
-    def _shift(self, who, low: np.ndarray, span: np.ndarray, reading: bool) -> None:
-        small = np.flatnonzero(span < 65536)
-        if len(small):
-            lane = self.lanes[who][small]
-            if reading:  # a damaged block may ask for more words than there are
-                low[small] = (low[small] << 16) | self.words[lane, np.minimum(self.at[lane], self.words.shape[1] - 1)]
-            else:
-                self.words[lane, self.at[lane]] = low[small] >> 16
-                low[small] = (low[small] & 0xFFFF) << 16
-            self.at[lane] += 1
-            span[small] <<= 16
-        self.low[who], self.range[who] = low, span
-
-    def end(self) -> list[bytes]:
-        """Close all lanes; carries run back through the words only now."""
-        for part in (self.low >> 16, self.low & 0xFFFF):
-            self.words[self.lanes, self.at] = part
-            self.at += 1
-        for j in range(int(self.at.max()) - 1, 0, -1):
-            self.words[:, j - 1] += self.words[:, j] >> 16
-            self.words[:, j] &= 0xFFFF
-        return [self.words[i, : self.at[i]].astype("<u2").tobytes() for i in range(len(self.at))]
-
-
-class _Counts:
-    """Adaptive counts of order 0 in rows of symbols; whole numbers below 2**24, which float32 holds exactly."""
-
-    def __init__(self, rows: int, symbols: int) -> None:
-        self.n = np.ones((rows, symbols), np.float32)
-        self.upto = np.triu(np.ones((symbols, symbols), np.float32))  # running sums as one product
-        self.ones = np.ones(symbols, np.float32)
-
-    def code(self, coder: _Coder, who: np.ndarray, row: np.ndarray, symbol: np.ndarray | None) -> np.ndarray:
-        own = self.n.take(row, 0)
-        upto = own @ self.upto
-        total = upto[:, -1].astype(np.int64)
-        each = np.arange(len(row))
-        if symbol is None:
-            unit, place = coder.find(who, total)
-            symbol = ((upto <= place[:, None].astype(np.float32)).astype(np.float32) @ self.ones).astype(np.int64)
-            size = own[each, symbol].astype(np.int64)
-            coder.take(who, unit, upto[each, symbol].astype(np.int64) - size, size)
-        else:
-            size = own[each, symbol].astype(np.int64)
-            coder.put(who, total, upto[each, symbol].astype(np.int64) - size, size)
-        self.n[row, symbol] += 24
-        full = np.flatnonzero(total > 8000)
-        if len(full):
-            self.n[row[full]] = np.floor((self.n[row[full]] + 1) / 2)
-        return symbol
+def _refresh_at(longest: int) -> set[int]:
+    """Places at which order 0 takes up its counts."""
+    return {64, 192} | set(range(_RENEWED, longest, _RENEWED))
+
+
+class _Order0:
+    """Class counts of many lanes, and their running sums as of the last refresh."""
 
+    def __init__(self, lanes: int, vocabulary: int, reading: bool) -> None:
+        self.classes = (vocabulary >> _LOW) + 1
+        if 2 * self.classes > 1 << _COUNTED:
+            raise ValueError(f"a vocabulary of {vocabulary} is too large for this format")
+        self.counts = np.zeros(lanes * self.classes, np.int16)  # blocks have fewer ids than it holds
+        self.reading = reading
+        self.refresh(lanes)
 
-def _pass(sizes: np.ndarray, vocabulary: int, ids: np.ndarray | None, words: np.ndarray | None) -> tuple[np.ndarray, _Coder]:
+    def refresh(self, lanes: int) -> None:
+        total = 1 << _COUNTED
+        n = self.counts[: lanes * self.classes].reshape(lanes, self.classes).astype(np.int64)
+        room = total - self.classes
+        seen = n.sum(1, keepdims=True)
+        size = 1 + np.where(seen > 0, n * room // np.maximum(seen, 1), room // self.classes)
+        size[:, 0] += total - size.sum(1)
+        size = size.ravel()
+        start = (np.cumsum(size) - size) & (total - 1)  # each lane's sizes add up to the total
+        self.both = start.astype(np.int32) << 16 | size.astype(np.int32)
+        if self.reading:
+            self.of = np.repeat(np.tile(np.arange(self.classes, dtype=np.int16), lanes), size)
+
+
+def _pass(sizes: np.ndarray, vocabulary: int, ids: np.ndarray | None, words: np.ndarray | None) -> tuple[np.ndarray, list[bytes]]:
     """Code blocks of the given sizes, longest first, side by side: write ``ids`` (blocks, places) or read ``words``."""
     lanes, longest = len(sizes), int(sizes.max())
     reading = ids is None
-    out = np.zeros((lanes, longest), np.int32) if reading else ids
-    coder = _Coder(lanes, 4 * longest + 8, words)
-    classes = (vocabulary >> _HIGH) + 1
-    high, middle = _Counts(lanes, classes), _Counts(lanes * classes, 1 << (_HIGH - _LOW))
-    held1, held2 = np.zeros(lanes * _ORDER1, np.int32), np.zeros(lanes * _ORDER2, np.int32)
-    sure1, sure2 = np.zeros(lanes * _ORDER1, np.int8), np.zeros(lanes * _ORDER2, np.int8)
-    right1, right2 = np.full(lanes * _RECORDS, 1024, np.int64), np.full(lanes * _RECORDS, 1024, np.int64)
+    order0 = _Order0(lanes, vocabulary, reading)
+    classes, total0 = order0.classes, 1 << _COUNTED
+    held1, held2 = np.zeros(lanes * _ORDER1, np.int32), np.zeros(lanes * _ORDER2, np.int32)  # (id + 1) * 8 + record
+    right1, right2 = np.full(lanes * 8, 1024, np.int64), np.full(lanes * 8, 1024, np.int64)
     weight1, weight2 = np.full(lanes, 30_000, np.int64), np.full(lanes, 45_000, np.int64)
     before, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    low, span, at = np.zeros(lanes, np.int64), np.full(lanes, 1 << _CODE, np.int64), np.zeros(lanes, np.int64)
+    if reading:
+        ids = np.zeros((longest, lanes), np.int32)
+        words = np.ascontiguousarray(words.T)
+        for j in range(_CODE // 16):
+            low = (low << 16) | words[j]
+        at += _CODE // 16
+    else:
+        ids = np.ascontiguousarray(ids.T)
+        words = np.zeros((3 * longest + 8, lanes), np.uint32)
+    flat = words.ravel()  # a lane's words stand below each other
+    width = len(words)
     active = np.searchsorted(-sizes, -np.arange(longest), "left")  # lanes longer than each place
+    renew = _refresh_at(longest)
+    every = np.arange(lanes)
     for t in range(longest):
         k = int(active[t])
-        who = slice(0, k)
-        lane = coder.lanes[:k]
+        if t in renew:
+            order0.refresh(k)
+        lane = every[:k]
         a, b = before[:k], last[:k]
         at1 = lane * _ORDER1 + ((b * 40_503 >> 4) & (_ORDER1 - 1))
         at2 = lane * _ORDER2 + (((a * 50_021 + b * 30_011) >> 3) & (_ORDER2 - 1))
-        c1, c2 = held1[at1], held2[at2]  # id + 1, 0 for none
-        s1, s2 = sure1[at1], sure2[at2]
-        p1, p2 = right1[lane * _RECORDS + s1], right2[lane * _RECORDS + s2]
-        x1, x2 = _STRETCH[p1], _STRETCH[p2]
+        e1, e2 = held1.take(at1).astype(np.int64), held2.take(at2).astype(np.int64)
+        c1, c2, s1, s2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7  # candidates as id + 1, 0 for none
+        r1, r2 = lane * 8 + s1, lane * 8 + s2
+        p1, p2 = right1.take(r1), right2.take(r2)
         agree = c1 == c2
-        x1 = np.where(agree, x1, 0)
-        mixed = _SQUASH[np.clip((weight1[:k] * x1 + weight2[:k] * x2) >> 16, -2048, 2047) + 2048]
-        f2 = np.where(c2 > 0, mixed, 0)
-        f1 = np.where(agree | (c1 == 0), 0, np.maximum(1, ((4096 - f2) * p1) >> _ONE))
-        upto = f2 + f1
+        x1, x2 = _STRETCH.take(p1) * agree, _STRETCH.take(p2)
+        mixed = _SQUASH.take(np.maximum(np.minimum((weight1[:k] * x1 + weight2[:k] * x2) >> 16, 2047), -2048) + 2048)
+        f2 = mixed * (c2 > 0)
+        rest = 4096 - f2
+        f1 = np.maximum(1, (rest * p1) >> _ONE) * (~agree & (c1 > 0))
+        upto, none = f2 + f1, rest - f1
+        unit = span[:k] >> _BITS
         if reading:
-            unit, place = coder.find(who, 4096)
-            choice = (place >= f2).astype(np.int64) + (place >= upto)
+            place = np.minimum((low[:k] / unit).astype(np.int64), (1 << _BITS) - 1)
+            flag = place >> (_COUNTED + _LOW)
+            first, second = flag < f2, flag < upto
+            inner = np.maximum(place - (upto << (_COUNTED + _LOW)), 0) // none
+            row = order0.of.take((lane << _COUNTED) + (inner >> _LOW)).astype(np.int64) + lane * classes
+            both = order0.both.take(row).astype(np.int64)
+            start0, size0 = both >> 16, both & 0xFFFF
+            tail = np.minimum((inner - (start0 << _LOW)) // size0, (1 << _LOW) - 1)
+            now = np.where(first, c2, np.where(second, c1, ((row - lane * classes) << _LOW) + tail + 1))
         else:
-            now = ids[:k, t].astype(np.int64) + 1
-            choice = np.where((now == c2) & (f2 > 0), 0, np.where((now == c1) & (f1 > 0), 1, 2))
-        start = np.where(choice == 0, 0, np.where(choice == 1, f2, upto))
-        size = np.where(choice == 0, f2, np.where(choice == 1, f1, 4096 - upto))
+            now = ids[t, :k].astype(np.int64) + 1
+            first = (now == c2) & (f2 > 0)
+            second = first | ((now == c1) & (f1 > 0))
+            row = ((now - 1) >> _LOW) + lane * classes
+            both = order0.both.take(row).astype(np.int64)
+            start0, size0 = both >> 16, both & 0xFFFF
+            tail = (now - 1) & ((1 << _LOW) - 1)
+        start = np.where(first, 0, np.where(second, f2 << (_COUNTED + _LOW), (upto << (_COUNTED + _LOW)) + none * ((start0 << _LOW) + size0 * tail)))
+        size = np.where(first, f2 << (_COUNTED + _LOW), np.where(second, f1 << (_COUNTED + _LOW), none * size0))
+        wide = unit * size
         if reading:
-            coder.take(who, unit, start, size)
-            now = np.where(choice == 0, c2, c1).astype(np.int64)
+            ids[t, :k] = now - 1
+            code = low[:k] - unit * start
+            small = np.flatnonzero(wide < 1 << 32)
+            while len(small):  # a damaged block may ask for more words than there are
+                code[small] = (code[small] << 16) | flat.take(np.minimum(at[small], width - 1) * lanes + small)
+                at[small] += 1
+                wide[small] <<= 16
+                small = small[wide[small] < 1 << 32]
         else:
-            coder.put(who, 4096, start, size)
-        new = np.flatnonzero(choice == 2)
-        if len(new):
-            own = None if reading else now[new] - 1
-            h = high.code(coder, new, new, None if reading else own >> _HIGH)
-            m = middle.code(coder, new, new * classes + h, None if reading else (own >> _LOW) & ((1 << (_HIGH - _LOW)) - 1))
-            ones = np.ones(len(new), np.int64)
-            if reading:
-                unit, low = coder.find(new, 1 << _LOW)
-                coder.take(new, unit, low, ones)
-                now[new] = (h << _HIGH) + (m << _LOW) + low + 1
-            else:
-                coder.put(new, 1 << _LOW, own & ((1 << _LOW) - 1), ones)
-        if reading:
-            out[:k, t] = now - 1
+            code = low[:k] + unit * start
+            small = np.flatnonzero(wide < 1 << 32)
+            while len(small):
+                flat[at[small] * lanes + small] = code[small] >> (_CODE - 16)
+                code[small] = (code[small] & ((1 << (_CODE - 16)) - 1)) << 16
+                at[small] += 1
+                wide[small] <<= 16
+                small = small[wide[small] < 1 << 32]
+        low[:k], span[:k] = code, wide
+        counted = np.flatnonzero(~second)
+        order0.counts[row[counted]] += 1
         hit1, hit2 = now == c1, now == c2
-        error = np.where(c2 > 0, (hit2.astype(np.int64) << _ONE) - mixed, 0)
+        error = ((hit2.astype(np.int64) << _ONE) - mixed) * (c2 > 0)
         weight2[:k] += (x2 * error) >> 10
         weight1[:k] += (x1 * error) >> 10
-        for hit, p, s, c, right, sure, held, at in ((hit1, p1, s1, c1, right1, sure1, held1, at1), (hit2, p2, s2, c2, right2, sure2, held2, at2)):
-            right[lane * _RECORDS + s] = np.clip(p + (((hit.astype(np.int64) << _ONE) - p) >> 5), _FLOOR, 4096 - _FLOOR)
-            held[at] = np.where(hit | (s > 1), c, now)
-            sure[at] = np.where(hit, np.minimum(s + 1, _RECORDS - 1), np.where(s > 1, s >> 1, 0))
+        for hit, p, r, s, c, right, held, place in ((hit1, p1, r1, s1, c1, right1, held1, at1), (hit2, p2, r2, s2, c2, right2, held2, at2)):
+            right[r] = np.maximum(p + (((hit.astype(np.int64) << _ONE) - p) >> 5), _FLOOR)
+            held[place] = (np.where(hit | (s > 1), c, now) << 3) | _NEXT.take(s + 8 * (1 - hit))
         before[:k], last[:k] = b, now
-    return out, coder
+    if reading:
+        return ids.T, []
+    for shift in range(_CODE - 16, -1, -16):
+        words[at, every] = (low >> shift) & (0xFFFF if shift < _CODE - 16 else 0x1FFFF)
+        at += 1
+    for j in range(int(at.max()) - 1, 0, -1):  # carries run back through the words only now
+        words[j - 1] += words[j] >> 16
+        words[j] &= 0xFFFF
+    words = words.T.astype("<u2")
+    return ids.T, [words[i, : at[i]].tobytes() for i in range(lanes)]
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
@@ -194,7 +190,7 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
             ids = np.zeros((len(order), int(sizes.max())), np.int32)
             for j, i in enumerate(order):
                 ids[j, : sizes[j]] = blocks[i]
-            coded = _pass(sizes, vocabulary, ids, None)[1].end()
+            coded = _pass(sizes, vocabulary, ids, None)[1]
         for j, i in enumerate(order):
             done[i] = MAGIC + struct.pack("<III", len(blocks[i]), zlib.crc32(blocks[i].astype("<u4").tobytes()), vocabulary) + coded[j]
     return done
