@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 from collections.abc import Sequence
 
@@ -45,7 +46,72 @@ def _regions(a: argparse.Namespace, spark) -> int:
     kind = a.feature_type or sequences.CALLER_FEATURES.get(a.caller_name.lower(), sequences.DEFAULT_FEATURE)
     regions = sequences.parse_regions(files.gff(spark, a.gff), kind)
     records = files.distinct_ids(files.genbank(spark, a.gbk))
-    files.write_regions(sequences.extract(regions, records, a.caller_name, a.prefix), f"{a.out_dir}/regions")
+    features = files.genbank_features(spark, a.gbk).join(records.select("path", "record", F.col("id").alias("seqid")), ["path", "record"])
+    files.write_regions(sequences.extract(regions, records, a.caller_name, a.prefix), f"{a.out_dir}/regions", features)
+    return 0
+
+
+def _backend(name: str):
+    """The object that ``module:name`` stands for."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
+def _classify(a: argparse.Namespace, spark) -> int:
+    from strandlake.operators import chemistry, ontology
+
+    terms, links = files.obo(spark, a.obo)
+    depth = ontology.depths(terms, links, ontology.closure(terms, links, defined_only=True)).withColumnRenamed("term", "id")
+    compounds = files.tsv(spark, a.input, ("id", "smiles")) if a.input else spark.createDataFrame([("1", a.smiles)], "id string, smiles string")
+    found = chemistry.match(compounds, terms.join(depth, "id"), _backend(a.backend))
+    if a.output:
+        files.write_matches(found, a.output)
+    else:
+        found.orderBy("id", "rank").show(1000, truncate=False)
+    return 0
+
+
+def _embed(a: argparse.Namespace, spark) -> int:
+    from strandlake.operators import embedding
+
+    held = files.require_records(files.proteins(spark, a.input, a.format)).select("ord", "seq")
+    found = embedding.embed(held, _backend(a.backend), a.budget, distinct=False).filter("error is null")
+    if found.isEmpty():
+        print("no sequence could be embedded", file=sys.stderr)
+        return 1
+    files.write_table(found.select(F.col("sha256").alias("protein_sequence_sha256"), "sequence_length", embedding.pack_blob(F.col("layers")).alias("hidden_mean_blob")), a.output, {"backend": a.backend})
+    return 0
+
+
+def _embed_cluster(a: argparse.Namespace, spark) -> int:
+    from strandlake.operators import embedding
+
+    held = files.require_records(files.proteins(spark, a.input, a.format)).select("ord", "seq")
+    found = embedding.embed(held, _backend(a.backend), a.budget)
+    if not found.filter("error is not null").isEmpty():
+        print("a protein could not be embedded", file=sys.stderr)
+        return 1
+    order = held.select("ord", F.sha2(F.upper(F.trim("seq")), 256).alias("sha256"))
+    layer = a.layer if a.layer == "final" else int(a.layer)
+    rows = order.join(found, "sha256").select(F.lit(a.accession).alias("bgc"), "ord", "layers")
+    pooled = embedding.pool(rows, a.dim, layer, a.aggregation, a.scale, a.per_protein_norm, a.post_norm)
+    files.write_table(pooled.select(F.col("bgc").alias("accession"), "vector", F.size("vector").alias("vector_dim"), "strategy_id", "n_proteins"), a.output, {"backend": a.backend})
+    return 0
+
+
+def _project(a: argparse.Namespace, spark) -> int:
+    """Partial entities of one input against the tables of a finished run."""
+    from strandlake.operators import similarity
+
+    inputs, out = clustering.read_inputs(spark, a.input), clustering.read_outputs(spark, a.primary)
+    paths = sorted(c for c in out["hierarchy"].columns if c.startswith("path_"))
+    placed = out["hierarchy"].select("id", F.col(paths[-1]).alias("path")).join(out["coords"].select("id", F.col("umap_x").alias("x"), F.col("umap_y").alias("y")), "id")
+    e = inputs.entities
+    primary, partial = e.join(placed.select("id"), "id", "left_semi"), e.filter("is_partial")
+    of = lambda rows: inputs.signature.join(rows.select("id"), "id", "left_semi")
+    k = inputs.params.knn_k or similarity.auto_k(primary.count())
+    found = similarity.project(partial.select("id", "is_validated"), of(partial), of(primary), placed, primary.filter("is_validated").select("id"), k, inputs.params.weights)
+    files.write_table(found, f"{a.output}/partial_assignments")
     return 0
 
 
@@ -74,6 +140,31 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--prefix", default="sample")
     c.add_argument("--out-dir", default=".")
     c.set_defaults(run=_regions)
+    c = commands.add_parser("project-partials")
+    for name in ("input", "primary", "output"):
+        c.add_argument(f"--{name}", required=True)
+    c.set_defaults(run=_project)
+    c = commands.add_parser("classify")
+    c.add_argument("--obo", required=True)
+    c.add_argument("--backend", required=True, help="module:class of a Matcher")
+    c.add_argument("--input")
+    c.add_argument("--smiles")
+    c.add_argument("--output")
+    c.set_defaults(run=_classify)
+    for name, run in (("embed", _embed), ("embed-cluster", _embed_cluster)):
+        c = commands.add_parser(name)
+        for option in ("input", "output", "backend"):
+            c.add_argument(f"--{option}", required=True)
+        c.add_argument("--format", choices=["fasta", "genbank"], default="fasta")
+        c.add_argument("--budget", type=int, default=6000)
+        c.set_defaults(run=run)
+    c.add_argument("--accession", required=True)
+    c.add_argument("--dim", type=int, required=True)
+    c.add_argument("--layer", default="final")
+    c.add_argument("--aggregation", choices=["mean", "max"], default="mean")
+    c.add_argument("--scale", type=float, default=0.0)
+    c.add_argument("--per-protein-norm", action="store_true")
+    c.add_argument("--post-norm", action="store_true")
     return top
 
 

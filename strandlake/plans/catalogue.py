@@ -458,11 +458,3 @@ def remote_classify_stub(spark: SparkSession, d: str) -> DataFrame:
 
     compounds = A.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("smiles"))
     return chemistry.classify_remote(compounds, chemistry.FakeService)
-
-
-def tables(spark: SparkSession, d: str, *names: str) -> None:
-    """Register tables as views, for statements in SQL."""
-    for name in names:
-        A.table(spark, d, name).createOrReplaceTempView(name)
-
-

@@ -135,15 +135,48 @@ def fasta_text(records: DataFrame) -> DataFrame:
     return records.select(F.concat(F.lit(">"), "description", F.lit("\n"), lines).alias("value"))
 
 
+def origin(seq: Column) -> Column:
+    """The ORIGIN block of a sequence: 60 letters a line, in tens, each line numbered."""
+    lines = F.regexp_extract_all(F.lower(seq), F.lit(f"(.{{1,{_WRAP}}})"), 1)
+    spaced = lambda x: F.trim(F.regexp_replace(x, "(.{10})", "$1 "))
+    return F.array_join(F.transform(lines, lambda x, i: F.concat(F.lpad((i * _WRAP + 1).cast("string"), 9, " "), F.lit(" "), spaced(x))), "\n")
+
+
+def genbank_text(records: DataFrame, features: DataFrame | None = None) -> DataFrame:
+    """(id, value): a GenBank record for each of (id, description, seq), with the features (id, start, end, type, strand,
+    qualifiers) that lie in it; every qualifier stands on one line, so that no identifier is wrapped."""
+    held = records
+    if features is not None:
+        span = F.concat((F.col("start") + 1).cast("string"), F.lit(".."), F.col("end").cast("string"))
+        place = F.when(F.col("strand") < 0, F.concat(F.lit("complement("), span, F.lit(")"))).otherwise(span)
+        quals = F.flatten(F.transform(F.map_entries("qualifiers"), lambda e: F.transform(e["value"], lambda v: F.concat(F.lit("\n" + " " * 21 + "/"), e["key"], F.lit('="'), v, F.lit('"')))))
+        line = F.concat(F.lit("     "), F.rpad("type", 16, " "), place, F.array_join(quals, ""))
+        lines = features.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", line.alias("line")))).alias("f"))
+        held = held.join(lines.select("id", F.array_join(F.transform("f", lambda x: x["line"]), "\n").alias("_features")), "id", "left")
+    else:
+        held = held.withColumn("_features", F.lit(None).cast("string"))
+    head = F.concat(F.lit("LOCUS       "), "id", F.lit(" "), F.length("seq").cast("string"), F.lit(" bp    DNA"))
+    parts = [head, F.concat(F.lit("DEFINITION  "), "description"), F.concat(F.lit("VERSION     "), "id"), F.lit("FEATURES             Location/Qualifiers"), F.col("_features"), F.lit("ORIGIN"), origin(F.col("seq")), F.lit("//")]
+    return held.select("id", F.concat_ws("\n", *parts).alias("value"))
+
+
+def region_features(regions: DataFrame, features: DataFrame) -> DataFrame:
+    """Features (seqid, start, end, type, strand, qualifiers) that lie whole in a region (id, seqid, start, end), moved to its own coordinates."""
+    r = regions.select("id", "seqid", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    held = features.join(r, "seqid").filter((F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e")))
+    return held.select("id", (F.col("start") - F.col("_s")).alias("start"), (F.col("end") - F.col("_s")).alias("end"), "type", "strand", "qualifiers")
+
+
 def write_text(lines: DataFrame, path: str, order: str | None = None) -> None:
     """Write (value) as text; with ``order`` the files follow it, range by range."""
     held = lines.repartitionByRange(order).sortWithinPartitions(order).select("value") if order else lines.select("value")
     held.write.mode("overwrite").text(path)
 
 
-def write_regions(regions: DataFrame, path: str) -> None:
-    """A FASTA directory for each region: ``path/region=…``, written by the tasks that hold the rows."""
-    text = regions.select(F.col("id").alias("region"), F.concat(F.lit(">"), "id", F.lit(" "), "description", F.lit("\n"), "seq").alias("value"))
+def write_regions(regions: DataFrame, path: str, features: DataFrame | None = None) -> None:
+    """A GenBank directory for each region: ``path/region=…``, written by the tasks that hold the rows."""
+    held = genbank_text(regions, region_features(regions, features) if features is not None else None)
+    text = held.select(F.col("id").alias("region"), "value")
     text.write.mode("overwrite").partitionBy("region").text(path)
 
 
