@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strandlake.llm.common import stored, table
-from strandlake.llm.words import ALNUM, LOWER, U64, Run, Words, grams, per_row, runs, same_row, span_hash, split
+from strandlake.llm.words import ALNUM, LOWER, U64, Run, Words, grams, runs, same_row, span_hash, split
 
 SPAN = 10
 GRAM = 5
