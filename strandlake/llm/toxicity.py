@@ -9,8 +9,8 @@ side, the kernel with the landmarks is whitened (Nyström) and a linear support
 vector machine is trained on it. The machine's sum over the landmarks is linear
 in the subsequence weights of a word, so it is folded into one table by
 subsequence, and every word of every whole text is scored by looking up its
-subsequences. A logistic step turns the decisions on a document's words into
-its score.
+subsequences. A logistic step turns the decisions on a document's words into a
+margin, and isotonic calibration turns that into its score.
 
 Marks inside words are dropped, digits read as the letters they stand for, and
 runs of single letters joined ("i d i o t") before scoring.
@@ -39,12 +39,12 @@ from strandlake.llm.words import Run, runs
 #: Labelled documents that the machine is trained on, at most; two thirds teach the words, the rest the documents' step.
 FIT_ROWS = 8000
 #: Words that the machine is trained on, at most.
-FIT_WORDS = 30_000
-LANDMARKS = 512
+FIT_WORDS = 24_000
+LANDMARKS = 768
 DECAY = 0.7
 RIDGE = 1e-7
-#: Weight of words that lean to toxic documents, against their rarity.
-GAIN = 5.0
+#: Weight of words that lean to toxic documents, for each standard deviation that they do.
+GAIN = 1.0
 SPAN = 5  # letters from the first of a subsequence to its last, less one
 SYMBOLS = 32
 TABLE = SYMBOLS**3
@@ -186,11 +186,32 @@ class Machine:
     scale: np.ndarray
     step: np.ndarray
     offset: float
+    knots: tuple[np.ndarray, np.ndarray]  # margins, rising, and the chance at each
 
-    def score(self, run: Run) -> np.ndarray:
+    def margin(self, run: Run) -> np.ndarray:
         words = stream(run)
         x = document_features(words, decisions(words, self.weights) + self.bias, len(run))
-        return 1 / (1 + np.exp(-np.clip(((x - self.centre) / self.scale) @ self.step + self.offset, -50, 50)))
+        return ((x - self.centre) / self.scale) @ self.step + self.offset
+
+    def score(self, run: Run) -> np.ndarray:
+        return np.interp(self.margin(run), *self.knots)
+
+
+def calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic steps of the chance over the margin (pooled neighbours), as the knots of a rising line.
+
+    Each step has two knots, its ends; half a row of either class is added to a
+    step, so that no chance is 0 or 1.
+    """
+    order = np.lexsort((y, margin))
+    steps: list[list[float]] = []  # rows, toxic rows, first margin, last margin
+    for m, t in zip(margin[order].tolist(), y[order].tolist()):
+        steps.append([1.0, t, m, m])
+        while len(steps) > 1 and (steps[-2][1] / steps[-2][0] >= steps[-1][1] / steps[-1][0] or steps[-2][3] == steps[-1][2]):
+            n, k, _, last = steps.pop()
+            steps[-1] = [steps[-1][0] + n, steps[-1][1] + k, steps[-1][2], last]
+    chance = np.maximum.accumulate([(k + 0.5) / (n + 1) for n, k, _, _ in steps])
+    return np.array([x for s in steps for x in s[2:]]), np.repeat(chance, 2)
 
 
 def _adam(slope, size: int, steps: int, rate: float) -> np.ndarray:
@@ -220,15 +241,15 @@ def train_words(words: pd.DataFrame, landmarks: int = LANDMARKS) -> tuple[np.nda
     kernel = phi.T @ phi
     values, vectors = np.linalg.eigh(kernel + 1e-3 * np.eye(len(kernel)))
     whiten = (vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    # 1,000 words at a time: what stands beside the features stays small
-    cuts = range(0, len(words), 1000)
+    # 500 words at a time: what stands beside the features stays small
+    cuts = range(0, len(words), 500)
     texts = words["word"].to_numpy()
     wide = np.empty((len(words), len(kernel) + 1), np.float32)
     for s in cuts:
-        wide[s : s + 1000, :-1] = decisions(_stream_of(list(texts[s : s + 1000])), phi) @ whiten
+        wide[s : s + 500, :-1] = decisions(_stream_of(list(texts[s : s + 500])), phi) @ whiten
     wide[:, -1] = 1
     root = np.sqrt(toxic + clean)  # or else the commonest words are all that counts
-    toxic, clean = toxic * np.where(lean > 2, GAIN, 1.0) / root, clean / root
+    toxic, clean = toxic * np.where(lean > 2, 1 + GAIN * lean, 1.0) / root, clean / root
     total = toxic.sum() + clean.sum()
     toxic, clean = toxic / total, clean / total
     held = np.diag(np.append(np.full(len(kernel), RIDGE), 1e-9))
@@ -236,9 +257,9 @@ def train_words(words: pd.DataFrame, landmarks: int = LANDMARKS) -> tuple[np.nda
     for _ in range(20):  # Newton steps on the squared hinge: exact once the same words are inside the margin
         square, pull = held.copy(), np.zeros(wide.shape[1])
         for s in cuts:
-            part = wide[s : s + 1000].astype(float)
+            part = wide[s : s + 500].astype(float)
             f = part @ state
-            a, c = toxic[s : s + 1000] * (f < 1), clean[s : s + 1000] * (f > -1)
+            a, c = toxic[s : s + 500] * (f < 1), clean[s : s + 500] * (f > -1)
             square += (part.T * (a + c)) @ part
             pull += part.T @ (a - c)
         now = np.linalg.solve(square, pull)
@@ -246,7 +267,7 @@ def train_words(words: pd.DataFrame, landmarks: int = LANDMARKS) -> tuple[np.nda
         state = now
         if done:
             break
-    return (phi @ (whiten @ state[:-1])).astype(np.float32), float(state[-1])
+    return phi @ (whiten @ state[:-1]).astype(np.float32), float(state[-1])
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +316,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machin
         return np.append(z.T @ (p - y) / len(y) + 1e-3 * state[:-1], (p - y).mean())
 
     state = _adam(slope, x.shape[1] + 1, 600, 0.05)
-    return Machine(weights, bias, centre, scale, state[:-1], float(state[-1]))
+    return Machine(weights, bias, centre, scale, state[:-1], float(state[-1]), calibrated(z @ state[:-1] + state[-1], y))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], machine: Machine | None) -> Iterator[pa.RecordBatch]:
