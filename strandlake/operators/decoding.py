@@ -70,27 +70,39 @@ def sweep_area(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select(part.cast("decimal(28,14)").alias("part")).agg(F.coalesce(F.sum("part"), F.lit(0)).cast("double").alias("aucpr"))
 
 
-def pr_curve(scored: DataFrame) -> DataFrame:
-    """(threshold, precision, recall) at every distinct score of (score, target), and the closing point (1, 0) at threshold 1.
+def _running(at: DataFrame, splits: int = 256) -> DataFrame:
+    """Distinct scores (score, hits, n) with tp and called, the sums from the top down to each, and all positives.
 
-    Ties stand together. The window runs over the distinct scores, after they
-    have been counted.
+    Scores are dealt into ranges between approximate quantiles; the sums run
+    inside each range, and only the ranges' totals meet in one task. Where the
+    quantiles fall doesn't change a result.
     """
-    at = scored.groupBy("score").agg(F.sum(F.col("target").cast("long")).alias("hits"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    run = at.select("score", F.sum("hits").over(down).alias("tp"), F.sum("n").over(down).alias("called"), F.sum("hits").over(whole).alias("positives"))
-    points = run.select(F.col("score").cast("double").alias("threshold"), (F.col("tp") / F.col("called")).alias("precision"), intervals.ratio(F.col("tp"), F.col("positives")).alias("recall"))
+    cuts = at.agg(F.percentile_approx("score", [i / splits for i in range(1, splits)], 10_000).alias("cuts"), F.sum("hits").alias("positives"))
+    dealt = at.crossJoin(F.broadcast(cuts)).withColumn("range", F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("score")))).drop("cuts")
+    totals = dealt.groupBy("range").agg(F.sum("hits").alias("h"), F.sum("n").alias("c"))
+    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    offset = totals.select("range", F.coalesce(F.sum("h").over(above), F.lit(0)).alias("h"), F.coalesce(F.sum("c").over(above), F.lit(0)).alias("c"))
+    down = Window.partitionBy("range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = dealt.withColumn("tp", F.sum("hits").over(down)).withColumn("called", F.sum("n").over(down))
+    return inside.join(F.broadcast(offset), "range").select("score", "hits", "n", (F.col("tp") + F.col("h")).alias("tp"), (F.col("called") + F.col("c")).alias("called"), "positives")
+
+
+def _by_score(scored: DataFrame) -> DataFrame:
+    return _running(scored.groupBy(F.col("score").cast("double").alias("score")).agg(F.sum(F.col("target").cast("long")).alias("hits"), F.count("*").alias("n")))
+
+
+def pr_curve(scored: DataFrame) -> DataFrame:
+    """(threshold, precision, recall) at every distinct score of (score, target), and the closing point (1, 0) at threshold 1; ties stand together."""
+    points = _by_score(scored).select(F.col("score").alias("threshold"), (F.col("tp") / F.col("called")).alias("precision"), intervals.ratio(F.col("tp"), F.col("positives")).alias("recall"))
     end = scored.sparkSession.range(1).select(F.lit(1.0).alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return points.unionByName(end)
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
-    """One row: the sum over distinct scores, downwards, of the gain in recall times the precision; 0 without positives."""
-    curve = pr_curve(scored).filter(~((F.col("precision") == 1.0) & (F.col("recall") == 0.0) & (F.col("threshold") == 1.0)))
-    order = Window.orderBy(F.desc("threshold"))
-    part = (F.col("recall") - F.coalesce(F.lag("recall").over(order), F.lit(0.0))) * F.col("precision")
-    return curve.select(part.cast("decimal(28,14)").alias("part")).agg(F.coalesce(F.sum("part"), F.lit(0)).cast("double").alias("average_precision"))
+    """One row: the sum over distinct scores of the gain in recall times the precision; 0 without positives."""
+    gain = intervals.ratio(F.col("hits"), F.col("positives"))
+    part = (gain * (F.col("tp") / F.col("called"))).cast("decimal(28,14)")
+    return _by_score(scored).select(part.alias("part")).agg(F.coalesce(F.sum("part"), F.lit(0)).cast("double").alias("average_precision"))
 
 
 def focal(logit: Column, target: Column, gamma: float = 2.0, alpha: float | None = 0.25) -> Column:

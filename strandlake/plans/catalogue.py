@@ -112,7 +112,9 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Communities are sought among embeddings of one label: edges join vectors of neighbouring ids."""
     v = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
     one, two = v.select(F.col("id").alias("a"), "label", F.col("embedding").alias("x")), v.select(F.col("id").alias("b"), "label", F.col("embedding").alias("y"))
-    met = one.join(two, "label").filter((F.col("a") < F.col("b")) & (F.col("b") - F.col("a") <= 60))
+    # ids within 60 stand in one stretch of 60 or in two neighbouring ones
+    one = one.withColumn("stretch", F.explode(F.array(F.floor(F.col("a") / 60), F.floor(F.col("a") / 60) + 1)))
+    met = one.join(two.withColumn("stretch", F.floor(F.col("b") / 60)), ["label", "stretch"]).filter((F.col("a") < F.col("b")) & (F.col("b") - F.col("a") <= 60))
     dot = F.aggregate(F.zip_with("x", "y", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
     return v.select("id", F.col("label").alias("component")), met.select("a", "b", F.abs(dot).alias("weight")).filter("weight > 0")
 
