@@ -31,7 +31,7 @@ from strandlake.llm.quality import statistics
 from strandlake.llm.words import Run, runs
 
 #: Labelled documents that the weights are fitted on, at most.
-FIT_ROWS = 3000
+FIT_ROWS = 4000
 BITS = 12
 MARKERS = 2
 GRADES = 3
