@@ -11,6 +11,7 @@ from strandlake.functions import classes
 from strandlake.operators import decoding, embedding, hierarchy, intervals, ontology, sequences, similarity
 from strandlake.plans import adapters as A
 from strandlake.plans import sql as S
+from strandlake.shared import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, Query] = {}
@@ -109,26 +110,21 @@ def layout_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Communities are sought among embeddings of one label: edges join vectors of neighbouring ids."""
-    v = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
-    one, two = v.select(F.col("id").alias("a"), "label", F.col("embedding").alias("x")), v.select(F.col("id").alias("b"), "label", F.col("embedding").alias("y"))
-    # ids within 60 stand in one stretch of 60 or in two neighbouring ones
-    one = one.withColumn("stretch", F.explode(F.array(F.floor(F.col("a") / 60), F.floor(F.col("a") / 60) + 1)))
-    met = one.join(two.withColumn("stretch", F.floor(F.col("b") / 60)), ["label", "stretch"]).filter((F.col("a") < F.col("b")) & (F.col("b") - F.col("a") <= 60))
-    dot = F.aggregate(F.zip_with("x", "y", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return v.select("id", F.col("label").alias("component")), met.select("a", "b", F.abs(dot).alias("weight")).filter("weight > 0")
+    """The nearest-neighbour graph of composite Dice over all orders: vertices (id) and edges (a, b, weight)."""
+    orders = A.entities(spark, d).select("id")
+    edges = cut(similarity.knn_edges(_pairs(spark, d), similarity.auto_k(orders.count())))
+    return orders, edges
 
 
 @query
 def hierarchical_leiden(spark: SparkSession, d: str) -> DataFrame:
     vertices, edges = _graph(spark, d)
-    return hierarchy.nested_communities(vertices, edges)
+    return hierarchy.nested_communities(hierarchy.connected(vertices, edges), edges)
 
 
 @query
 def layout_2d(spark: SparkSession, d: str) -> DataFrame:
-    vertices, edges = _graph(spark, d)
-    return hierarchy.layout(vertices.select("id"), edges, rounds=10)
+    return hierarchy.layout(*_graph(spark, d))
 
 
 # -- metrics -----------------------------------------------------------------
