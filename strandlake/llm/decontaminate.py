@@ -10,7 +10,8 @@ of just that length.
 
 Defined results: null and empty texts have no words and no hit; repeated rows
 come back as often as they stand; items without a word match nothing; repeated
-items count once for each item_id; an empty benchmark leaves every row clean.
+items count once for each item_id, all of a null id as one, which stands last in
+items and has no part in their hash; an empty benchmark leaves every row clean.
 """
 
 from __future__ import annotations
@@ -153,7 +154,7 @@ def text_hash() -> Column:
 
 
 def benchmark_grams(benchmark: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     return items.mapInArrow(partial(_item_grams, span=span, k=k), "item_id string, size int, h long, item_near binary").distinct()
 
 
@@ -179,7 +180,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     before = Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("upto", F.coalesce(F.max("end").over(before), F.lit(0)))
     n_hit = spans.groupBy(*key).agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "upto"))).alias("n_hit"))
-    items = found.groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    items = found.groupBy(*key).agg(F.concat(F.array_sort(F.collect_set("item_id")), F.when(F.count("*") > F.count("item_id"), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))).alias("items"))
     each = n_hit.join(items, [n_hit[c].eqNullSafe(items[c]) for c in key]).select(n_hit["doc_id"], n_hit["row_hash"], "n_hit", "items")
     out = rows.join(each, [rows[c].eqNullSafe(each[c]) for c in key], "left")
     return out.select(
