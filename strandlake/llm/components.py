@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import stored
+from strandlake.llm.common import dropped, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: every smaller neighbour too
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, edges = edges, stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        dropped(before)
         now = _state(edges)
         if now == held:
             break

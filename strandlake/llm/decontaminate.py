@@ -21,12 +21,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strandlake.llm.common import stored, table
+from strandlake.llm.common import mapped, stored, table, text_hash
 from strandlake.llm.words import ALNUM, LOWER, U64, Run, Words, grams, runs, same_row, span_hash, split
 
 SPAN = 10
@@ -148,26 +148,22 @@ def _extended(batches: Iterator[pa.RecordBatch], span: int, k: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([*(kept.column(kept.schema.get_field_index(x)) for x in ("doc_id", "row_hash", "item_id")), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["doc_id", "row_hash", "item_id", "start", "end"])
 
 
-def text_hash() -> Column:
-    """Tells rows of one doc_id apart."""
-    return F.xxhash64(F.coalesce("text", F.lit("")))
-
-
 def benchmark_grams(benchmark: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    return items.mapInArrow(partial(_item_grams, span=span, k=k), "item_id string, size int, h long, item_near binary").distinct()
+    return mapped(items, partial(_item_grams, span=span, k=k), "item_id string, size int, h long, item_near binary").distinct()
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """The hit spans (doc_id, row_hash, item_id, start, end), in words, and the rows (doc_id, row_hash, n_words, copies)."""
     items = stored(benchmark_grams(benchmark, span, k), "items")
     n, lengths = items.agg(F.count("*"), F.collect_set(F.when(F.col("size") < span, F.col("size")))).first()  # 9 lengths at most
-    prints = documents.select(F.col("doc_id").cast("long"), text_hash().alias("row_hash"), "text").mapInArrow(partial(_document_grams, short=sorted(lengths), span=span, k=k), _FIELDS)
+    rows = documents.select(F.col("doc_id").cast("long"), text_hash().alias("row_hash"), "text")
+    prints = mapped(rows, partial(_document_grams, short=sorted(lengths), span=span, k=k), _FIELDS)
     side = F.broadcast(items) if n <= BROADCAST_GRAMS else items
     joined = prints.join(side, "h", "left").filter("pos = -1 or size is not null")
     joined = stored(joined, "joined")
     rows = joined.filter("pos = -1").groupBy("doc_id", "row_hash").agg(F.max("h").alias("n_words"), F.count("*").alias("copies"))
-    found = joined.filter("pos >= 0 and size is not null").mapInArrow(partial(_extended, span=span, k=k), "doc_id long, row_hash long, item_id string, start int, end int")
+    found = mapped(joined.filter("pos >= 0 and size is not null"), partial(_extended, span=span, k=k), "doc_id long, row_hash long, item_id string, start int, end int")
     return found.distinct(), rows
 
 
@@ -196,7 +192,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int =
     """The rows, with their own columns, that share no item's window."""
     found, _ = hits(documents, benchmark, span, k)
     bad = stored(found.select("doc_id", "row_hash").distinct(), "contaminated")
-    same = documents["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == bad["row_hash"])
+    same = documents["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & (text_hash(documents["text"]) == bad["row_hash"])
     return documents.join(bad, same, "left_anti")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import held_out, table
+from strandlake.llm.common import held_out, mapped, table
 from strandlake.llm.words import runs
 
 SYMBOLS = 32
@@ -107,7 +107,7 @@ def learn(documents: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str]
     What reaches the driver is a count for each language and n-gram of a fixed
     alphabet, whatever the number of documents.
     """
-    counts = documents.filter("lang is not null").select("lang", "text").mapInArrow(_counted, "lang string, gram int, n long")
+    counts = mapped(documents.filter("lang is not null").select("lang", "text"), _counted, "lang string, gram int, n long")
     found = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     protos = np.zeros((len(langs), dimensions), np.float32)
@@ -136,7 +136,7 @@ def _told(batches: Iterator[pa.RecordBatch], langs: list[str], protos: np.ndarra
 
 def predict(documents: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
     """(doc_id, lang_pred, score) of every row, from the text alone."""
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_told, langs=langs, protos=protos), "doc_id long, lang_pred string, score double")
+    return mapped(documents.select(F.col("doc_id").cast("long"), "text"), partial(_told, langs=langs, protos=protos), "doc_id long, lang_pred string, score double")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,19 @@
 
 All rolling word k-gram hashes of the documents are joined with the positions of
 the same k-grams in the templates. A hit votes for the diagonal (document
-position less template position); votes are counted by diagonal, neighbouring
-diagonals are merged, as a few words more or less shift a quotation, and a span
-counts once it is verified: every hit's second, independent hash agrees, the
-votes cover enough of the template and the span is about as long.
+position less template position); the template's positions are gathered by
+diagonal, neighbouring diagonals are merged, as a few words more or less shift a
+quotation, and a span counts once it is verified: every hit's second hash, of
+words hashed with another seed, agrees, the distinct positions cover enough of
+the template and the span is about as long.
 
 Phrases are matched exactly: each diagonal that holds all k-grams of the phrase
 is a place. Other templates need ``COVERAGE`` of their k-grams.
 
-Defined results: null and empty texts have no words and no labels; repeated rows
-come back as often as they stand; a null doc_id is kept; ties between labels are
-sorted by name; an empty table gives an empty result.
+Defined results: null and empty texts have no words and no labels; a text of any
+length is scanned whole; repeated rows come back as often as they stand; a null
+doc_id is kept; ties between labels are sorted by name; an empty table gives an
+empty result; further columns are left out.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from strandlake.llm.common import stored, table
 from strandlake.llm.words import ALNUM, LOWER, U64, Words, grams, runs, same_row, span_hash, split
 
 GRAM = 2
+#: Positions of a template in one number.
+BITS = 62
 COVERAGE = 0.85
-#: Diagonals this far apart may belong to one quotation.
+#: Diagonals that spread no further than this may belong to one quotation.
 NEIGHBOUR = 3
 
 #: Phrases whose words must stand consecutively, and their labels.
@@ -73,8 +77,8 @@ class Template:
 TEMPLATES = [*(Template(label, phrase, True) for phrase, label in PHRASES.items()), *(Template(label, text, False) for label, text in NOTICES)]
 
 
-def _hashed(data: np.ndarray, words: Words) -> np.ndarray:
-    return span_hash(data, words.starts, words.ends)
+def _hashed(data: np.ndarray, words: Words, seed: int = 0) -> np.ndarray:
+    return span_hash(data, words.starts, words.ends, seed)
 
 
 def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +90,7 @@ def _document_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         row_hash = run.row_hash().view(np.int64)
         ids = run.batch.column(0)
         at = np.flatnonzero(same_row(words, GRAM))
-        h, check = grams(hashes, GRAM), grams(hashes ^ U64(0x5851F42D4C957F2D), GRAM, salt=1)
+        h, check = grams(hashes, GRAM), grams(_hashed(data, words, 1), GRAM, salt=1)
         own = np.arange(len(run))
         for row, pos, key, other in ((own, np.full(len(run), -1), words.counts.astype(np.int64), np.zeros(len(run), np.int64)), (words.row[at], words.index[at], h[at].view(np.int64), check[at].view(np.int64))):
             yield pa.RecordBatch.from_arrays(
@@ -111,27 +115,35 @@ def spans(documents: DataFrame, templates: list[Template] = TEMPLATES, coverage:
     placed = F.broadcast(template_grams(spark, templates))
     joined = prints.join(placed, (prints["h"] == placed["th"]) & (prints["pos"] >= 0), "left").filter("pos = -1 or check = tcheck")
     key = ["doc_id", "row_hash"]
+    # the template's positions that were hit, as bits: repeated rows and neighbouring diagonals count each once
+    parts = range(-(-max((_count(t.text) for t in templates), default=1) // BITS))
+    seen = [F.bit_or(F.when(F.floor(F.col("at") / BITS) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at") % BITS))).alias(f"seen{i}") for i in parts]
     votes = joined.groupBy(*key, F.coalesce("template", F.lit(-1)).alias("template"), F.when(F.col("pos") >= 0, F.col("pos") - F.col("at")).otherwise(0).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"), F.max(F.when(F.col("pos") == -1, F.col("h"))).alias("n_words")
+        F.count("*").alias("copies"), *seen, F.min("at").alias("low"), F.max("at").alias("high"), F.max(F.when(F.col("pos") == -1, F.col("h"))).alias("n_words")
     )
     votes = stored(votes, "votes")
-    rows = votes.filter("template = -1").select(*key, "n_words", F.col("votes").alias("copies"))
-    own = rows.withColumnRenamed("doc_id", "d").withColumnRenamed("row_hash", "r")
-    voted = votes.filter("template >= 0").drop("n_words")
-    voted = voted.join(own, voted["doc_id"].eqNullSafe(own["d"]) & (voted["row_hash"] == own["r"])).withColumn("votes", F.col("votes") / F.col("copies"))  # repeated rows vote as one
+    rows = votes.filter("template = -1").select(*key, "n_words", "copies")
+    voted = votes.filter("template >= 0").select(*key, "template", "diagonal", "low", "high", *(f"seen{i}" for i in parts))
+    covered = lambda of: sum((F.coalesce(F.bit_count(of(f"seen{i}")), F.lit(0)) for i in parts), F.lit(0))
     size = F.create_map(*(F.lit(x) for i, t in enumerate(templates) for x in (i, _count(t.text))))[F.col("template")]
     exact = F.col("template").isin([i for i, t in enumerate(templates) if t.exact])
     voted = voted.withColumn("size", size).withColumn("exact", exact)
     cols = [*key, "template"]
-    whole = voted.filter(F.col("exact") & (F.col("votes") >= F.col("size") - (GRAM - 1))).select(*cols, F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("size")).alias("end"), F.lit(1.0).alias("score"))
+    whole = voted.filter(F.col("exact") & (covered(F.col) >= F.col("size") - (GRAM - 1))).select(*cols, F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("size")).alias("end"), F.lit(1.0).alias("score"))
     near = Window.partitionBy(*cols).orderBy("diagonal")
     merged = (
         voted.filter(~F.col("exact"))
         .withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(near) > NEIGHBOUR).cast("int"))
-        .withColumn("group", F.sum(F.coalesce("new", F.lit(0))).over(near))
-        .groupBy(*cols, "group")
-        .agg(F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("low")).alias("first"), (F.max(F.col("diagonal") + F.col("high")) + GRAM).alias("end"), F.first("size").alias("size"))
-        .withColumn("score", F.least(F.lit(1.0), F.col("votes") / (F.col("size") - (GRAM - 1))))
+        .withColumn("chain", F.sum(F.coalesce("new", F.lit(0))).over(near))
+        .withColumn("part", F.floor((F.col("diagonal") - F.min("diagonal").over(Window.partitionBy(*cols, "chain"))) / (NEIGHBOUR + 1)))
+        .groupBy(*cols, "chain", "part")
+        .agg(
+            covered(F.bit_or).alias("covered"),
+            F.min(F.col("diagonal") + F.col("low")).alias("first"),
+            (F.max(F.col("diagonal") + F.col("high")) + GRAM).alias("end"),
+            F.first("size").alias("size"),
+        )
+        .withColumn("score", F.col("covered") / (F.col("size") - (GRAM - 1)))
         .filter((F.col("score") >= coverage) & (F.col("end") - F.col("first") <= 2 * F.col("size")))
         .select(*cols, "first", "end", "score")
     )

@@ -7,34 +7,35 @@ shared by all grades, and ordered thresholds cut its score:
 P(grade >= j) = sigmoid(w.x - t_j). Selection uses the tail P(grade >= 1) or the
 expected grade, the sum of the tails.
 
-Defined results: null and empty texts, and all texts where nothing was learnt
-from, have tails 0 and 1 respectively: an empty text is rejected, and without
-labels everything else is kept. Repeated rows come back as often as they stand;
-an empty table gives an empty result; further columns pass through ``select``
-untouched, whatever their names.
+Defined results: null and empty texts have tails 0 and are rejected; where
+nothing was learnt from, all other texts have tails 1 and are kept. A text of
+any length is read whole. Labels of one document that contradict each other
+count by their greatest grade; a null doc_id teaches nothing and is graded like
+any other. Repeated rows come back as often as they stand; an empty table gives
+an empty result; further columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from strandlake.llm.common import held_out, labelled_sample, table
+from strandlake.llm.common import held_out, labelled_sample, mapped, small_batches, table
 from strandlake.llm.quality import statistics
-from strandlake.llm.words import Run, runs
+from strandlake.llm.words import Run, runs, runs_of
 
 #: Labelled documents that the weights are fitted on, at most.
 FIT_ROWS = 4000
 BITS = 12
 MARKERS = 2
 GRADES = 3
+#: Rows whose buckets stand side by side in memory.
+ROWS = 512
 
 
 def hashed(run: Run) -> np.ndarray:
@@ -46,9 +47,11 @@ def hashed(run: Run) -> np.ndarray:
     code = (code >> np.uint32(32 - BITS)).astype(np.int64)
     row = np.repeat(np.arange(len(run)), np.diff(run.offsets))
     own = row[:n] == row[2 : n + 2] if n else np.zeros(0, bool)
+    total = np.bincount(row[:n][own], minlength=len(run))
     counts = np.bincount(row[:n][own] * buckets + code[own], minlength=len(run) * buckets).reshape(len(run), buckets)
     out = np.zeros((len(run), buckets + MARKERS), np.float32)
-    out[:, :buckets] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
+    np.sqrt(counts, out=out[:, :buckets], casting="same_kind")
+    out[:, :buckets] /= np.sqrt(np.maximum(total, 1))[:, None]
     s = statistics(run)
     words = np.maximum(s["n_words"], 1)
     out[:, buckets] = np.sqrt(s["n_same_next"] / words)
@@ -98,7 +101,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = GRADES, ridge: f
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for run in runs(batches):
+    for run in runs(batches, rows=ROWS):
         x = hashed(run)
         at = [np.flatnonzero(r) for r in x]
         yield pa.RecordBatch.from_arrays(
@@ -116,8 +119,8 @@ def graded(labels: DataFrame) -> DataFrame:
 def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordinal | None:
     """Weights from at most ``rows`` labelled documents; None unless poor and good ones are among them."""
     sample = labelled_sample(graded(labels), documents, rows, ["grade"])
-    found = sample.select(F.col("doc_id").cast("long"), "grade", "text").mapInArrow(_featured, "doc_id long, grade int, at array<smallint>, value array<float>").toPandas()
-    found = found.sort_values("doc_id", kind="stable", ignore_index=True)
+    found = mapped(sample.select("doc_id", "grade", "text"), _featured, "doc_id long, grade int, at array<smallint>, value array<float>").toPandas()
+    found = found.sort_values("doc_id", ignore_index=True)  # a row for each id
     grade = found["grade"].to_numpy(np.int64)
     if not len(grade) or grade.min() > 0 or grade.max() == 0:
         return None
@@ -127,29 +130,36 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordina
     return fit_ordinal(x, grade)
 
 
-def _graded(batches: Iterator[pa.RecordBatch], model: Ordinal | None) -> Iterator[pa.RecordBatch]:
-    """Appends the tails to the columns as they came; the text is the column ``_text``."""
-    for run in runs(batches, "_text"):
-        tails = model.tails(hashed(run)) if model else np.ones((len(run), GRADES - 1))
-        tails[np.diff(run.offsets) == 0] = 0.0
-        yield pa.RecordBatch.from_arrays([*run.batch.columns, *(pa.array(np.ascontiguousarray(tails[:, j])) for j in range(GRADES - 1))], [*run.batch.schema.names, *(f"_p{j + 1}" for j in range(GRADES - 1))])
+def tails(text: Column, model: Ordinal | None) -> Column:
+    """The tail probabilities of a column of texts, as an array from grade 1 up."""
 
+    def graded_texts(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in arrays:
+            parts = [np.zeros((0, GRADES - 1))]
+            for run in runs_of(texts, ROWS):
+                found = model.tails(hashed(run)) if model else np.ones((len(run), GRADES - 1))
+                found[np.diff(run.offsets) == 0] = 0.0
+                parts.append(found)
+            flat = np.concatenate(parts)
+            yield pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * (GRADES - 1), pa.array(flat.ravel()))
 
-def grade(documents: DataFrame, model: Ordinal | None, text: str = "text") -> DataFrame:
-    """The rows with _text, _p1 and _p2 (tail probabilities) beside their own columns."""
-    out = documents.withColumn("_text", F.col(text).cast("string"))
-    tails = [T.StructField(f"_p{j + 1}", T.DoubleType()) for j in range(GRADES - 1)]
-    schema = T.StructType([*out.schema.fields, *tails])
-    return out.mapInArrow(partial(_graded, model=model), schema)
+    return F.arrow_udf(graded_texts, "array<double>")(text)
 
 
 def select_quality(documents: DataFrame, model: Ordinal | None, least: float = 0.5) -> DataFrame:
     """The rows, with their own columns, whose chance of good quality is ``least`` or more."""
-    return grade(documents, model).filter(F.col("_p1") >= least).select(*documents.columns)
+    small_batches(documents.sparkSession)
+    return documents.filter(tails(F.col("text").cast("string"), model)[0] >= least)
+
+
+def grade(documents: DataFrame, model: Ordinal | None) -> DataFrame:
+    """(doc_id, p_good, p_best, expected_grade) of every row."""
+    small_batches(documents.sparkSession)
+    found = documents.select(F.col("doc_id").cast("long"), tails(F.col("text").cast("string"), model).alias("p"))
+    return found.select("doc_id", F.col("p")[0].alias("p_good"), F.col("p")[1].alias("p_best"), (F.col("p")[0] + F.col("p")[1]).alias("expected_grade"))
 
 
 def op5_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    model = fit(documents, table(spark, sf_dir, "labels"))
-    found = grade(documents.select(F.col("doc_id").cast("long"), "text"), model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), (F.col("_p1") + F.col("_p2")).alias("expected_grade"), F.col("_p1").alias("p_good"), F.col("_p2").alias("p_best"), (F.col("_p1") >= 0.5).alias("kept"))
+    found = grade(documents, fit(documents, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "p_good", "p_best", (F.col("p_good") >= 0.5).alias("kept"))

@@ -8,9 +8,10 @@ boundaries with the least padding over the whole corpus. Inside each bucket,
 pieces are numbered and every ``budget // boundary`` of them make a batch, so
 that a padded batch keeps to the token budget.
 
-Defined results: null and empty texts are one piece with the end token alone;
-repeated rows are packed as often as they stand, in any order among them; a null
-doc_id is kept; an empty table gives an empty result.
+Defined results: null and empty texts are one piece with the end token alone; a
+text of any length is measured whole and cut; repeated rows are packed as often
+as they stand, in any order among them; a null doc_id is kept; an empty table
+gives an empty result; further columns are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlake.llm.common import stored, table
+from strandlake.llm.common import mapped, stored, table
 from strandlake.llm.tokens import encoder, tokenizer_path
 from strandlake.llm.words import runs
 
@@ -39,13 +40,12 @@ SLICE_ROWS = 20_000
 def _lengths(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = encoder(path)
     for run in runs(batches):
-        _, counts = own.encode(run)
-        yield pa.RecordBatch.from_arrays([run.batch.column(0), pa.array(counts + 1)], ["doc_id", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([run.batch.column(0), pa.array(own.count(run) + 1)], ["doc_id", "n_tokens"])
 
 
 def lengths(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) of every row, the end token included."""
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_lengths, path=path or tokenizer_path()), "doc_id long, n_tokens long")
+    return mapped(documents.select(F.col("doc_id").cast("long"), "text"), partial(_lengths, path=path or tokenizer_path()), "doc_id long, n_tokens long")
 
 
 def pieces(measured: DataFrame, most: int = MAX_LENGTH) -> DataFrame:
@@ -95,7 +95,7 @@ def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
 
 
 def batched(cut: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """The pieces with bucket_len, batch, slot and padding.
+    """The pieces (doc_id, piece, start, length, salt) with bucket_len, batch, slot and padding.
 
     A bucket may hold most of the rows, so it is numbered by slices of a hash of
     the id; only the slices' sizes are added up over a bucket.
@@ -105,11 +105,12 @@ def batched(cut: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, slice_
     slices = max(1, -(-sum(r["n"] for r in seen) // slice_rows))
     bucket = sum((F.col("length") > b).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
     bound = F.element_at(F.array(*(F.lit(b) for b in bounds or [1])), F.col("bucket") + 1)
-    placed = cut.withColumn("bucket", bucket).withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
+    # rows of one id (or of none) are parted by a salt, which the stored table keeps
+    placed = cut.withColumn("bucket", bucket).withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(slices)))
     sizes = placed.groupBy("bucket", "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offset = sizes.select("bucket", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    order = Window.partitionBy("bucket", "slice").orderBy("doc_id", "piece", "start", "length")
+    order = Window.partitionBy("bucket", "slice").orderBy("doc_id", "piece", "salt")
     numbered = placed.withColumn("rank", F.row_number().over(order) - 1).join(offset, ["bucket", "slice"])
     per = F.greatest(F.lit(1), F.floor(F.lit(budget) / bound)).cast("long")
     place = F.col("rank") + F.col("offset")
@@ -127,7 +128,8 @@ def batched(cut: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, slice_
 
 def pack(documents: DataFrame, most: int = MAX_LENGTH, buckets: int = BUCKETS, budget: int = BUDGET, path: str | None = None) -> DataFrame:
     """A row per piece of every document, with its bucket, the batch in the bucket, the slot in the batch and its padding."""
-    return batched(stored(pieces(lengths(documents, path), most), "pieces"), buckets, budget)
+    salted = pieces(lengths(documents, path), most).withColumn("salt", F.monotonically_increasing_id())
+    return batched(stored(salted, "pieces"), buckets, budget)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ fixed rules and a boosted ensemble. The trees are grown on a bounded sample of
 labelled documents by histogram splits with monotonic constraints, then
 flattened into node arrays; scoring walks all trees of all rows at once.
 
-Defined results: null and empty texts have no words and fail the rules; repeated
-rows come back as often as they stand; without any labelled row the rules alone
-decide; ties between splits go to the first feature and the lowest bin; an
-empty table gives an empty result.
+Defined results: null and empty texts have no words and fail the rules; a text
+of any length is measured whole; repeated rows come back as often as they stand,
+those of a null doc_id too; labels of one document that contradict each other
+count by their greatest value; without any labelled row the rules alone decide;
+ties between splits go to the first feature and the lowest bin; an empty table
+gives an empty result; further columns are left out.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import labelled_sample, table
+from strandlake.llm.common import labelled_sample, mapped, table
 from strandlake.llm.words import NON_SPACE, U64, Run, Words, grams, mix, per_row, runs, same_row, span_hash, split
 
 #: Labelled documents that the trees are grown on, at most.
@@ -74,9 +76,9 @@ def _of_row(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def _byte_counts(flags: np.ndarray, run: Run) -> np.ndarray:
-    sums = np.zeros(len(flags) + 1, np.int64)
+    sums = np.zeros(len(flags) + 1, np.int32)
     np.cumsum(flags, out=sums[1:])
-    return sums[run.offsets[1:]] - sums[run.offsets[:-1]]
+    return (sums[run.offsets[1:]] - sums[run.offsets[:-1]]).astype(np.int64)
 
 
 def _flag_rows(flags: np.ndarray, spans: Words) -> np.ndarray:
@@ -93,7 +95,7 @@ def statistics(run: Run) -> dict[str, np.ndarray]:
     for name, kind in (("n_symbols", _SYMBOL), ("n_upper", _UPPER), ("n_digit", _DIGIT), ("n_mark", _MARK)):
         out[name] = _byte_counts(kind[data], run)
     lines = split(run, _NOT_NEWLINE)
-    inside = np.zeros(len(data) + 1, np.int64)
+    inside = np.zeros(len(data) + 1, np.int32)
     np.cumsum(NON_SPACE[data], out=inside[1:])
     worded = inside[lines.ends] > inside[lines.starts]
     lines_hash = _of_row(span_hash(data, lines.starts, lines.ends), lines.row)
@@ -226,7 +228,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Trees
     """Trees from at most ``rows`` labelled documents; None without a label of each class."""
     sample = labelled_sample(labels.filter("quality is not null"), documents, rows, ["quality"])
     schema = "doc_id long, label int, " + ", ".join(f"{f} double" for f in FEATURES)
-    found = sample.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").mapInArrow(_featured, schema).toPandas().sort_values(["doc_id", *FEATURES])
+    found = mapped(sample.select("doc_id", F.col("quality").cast("int"), "text"), _featured, schema).toPandas().sort_values("doc_id")
     y = found["label"].to_numpy(float)
     if len(set(y)) < 2:
         return None
@@ -245,7 +247,7 @@ def _ruled(batches: Iterator[pa.RecordBatch], trees: Trees | None, threshold: fl
 def rules(documents: DataFrame, trees: Trees | None, threshold: float = 0.5) -> DataFrame:
     """A row per document: the statistics, the fixed rules' verdict, the final one and the trees' chance of quality."""
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_ruled, trees=trees, threshold=threshold), schema)
+    return mapped(documents.select(F.col("doc_id").cast("long"), "text"), partial(_ruled, trees=trees, threshold=threshold), schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,12 @@ example, one that a single owner holds looks live.
 Base kinds are assign, access and hex, leftmost and non-overlapping each; the
 method adds kinds of its own. Positions are code points, end exclusive.
 
-Defined results: null and empty texts hold nothing; repeated rows come back as
-often as they stand and count once for their repository; a null source counts
-as an owner of its own; ties (spans that start together) are ordered by kind as
-listed; an empty table gives an empty result.
+Defined results: null and empty texts hold nothing; a text of any length is
+scanned whole, in time that grows with its length; repeated rows come back as
+often as they stand and count once for their repository; a null doc_id is kept;
+a null source counts as an owner of its own; ties (spans that start together)
+are ordered by kind as listed; an empty table gives an empty result; further
+columns pass through ``redact`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +24,11 @@ from functools import partial
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import stored, table
-from strandlake.llm.words import runs
+from strandlake.llm.common import carried, mapped, small_batches, stored, table
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.A)
@@ -36,18 +37,28 @@ _WORD = re.compile(r"passw(?:or)?d|secret|token|api_?key", re.I | re.A)
 #: Kinds that the method adds: a literal that must be present, and the pattern.
 _MORE = [
     ("pem", "PRIVATE KEY-----", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", re.A)),
-    ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.A)),
+    ("jwt", "eyJ", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.A)),
     ("prefixed", "_", re.compile(r"\b(?:ghp|gho|ghs|glpat|xoxb|xoxp|sk_live|rk_live)[_-][A-Za-z0-9_-]{16,}", re.A)),
-    ("url", "://", re.compile(r"[a-z][a-z0-9+.-]*://[^\s/:@]+:([^\s/:@]{6,})@", re.A)),
+    ("url", "://", re.compile(r"://[^\s/:@]+:([^\s/:@]{6,})@", re.A)),  # the scheme before it is looked for backwards
 ]
 KINDS = ["assign", "access", "hex", *(k for k, _, _ in _MORE)]
 BASE = 3
+_LETTER = re.compile(r"[a-z]", re.A)
 #: A value held by this many owners or more is a copied example.
 EXAMPLE_OWNERS = 3
 
 Span = tuple[int, int, int, int]
 
 
+def _scheme(text: str, end: int) -> int | None:
+    """Where the scheme that ends at ``end`` begins, with a letter; schemes don't overlap, so all together are read once."""
+    at = end
+    while at and (text[at - 1].isascii() and (text[at - 1].isalnum() or text[at - 1] in "+.-")) and not text[at - 1].isupper():
+        at -= 1
+    found = _LETTER.search(text, at, end)
+    return found.start() if found else None
+
+
 def find(text: str) -> list[Span]:
     """(start, kind's place in KINDS, end, start of the value) of all spans, by start and kind."""
     out: list[Span] = []
@@ -56,31 +67,45 @@ def find(text: str) -> list[Span]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end(), m.start()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), 2, m.end(), m.start()) for m in _HEX.finditer(text)]
-    for i, (_, mark, pattern) in enumerate(_MORE, BASE):
-        if mark in text:
-            out += [(m.start(), i, m.end(), m.start(1) if pattern.groups else m.start()) for m in pattern.finditer(text)]
+    for i, (kind, mark, pattern) in enumerate(_MORE, BASE):
+        if mark not in text:
+            continue
+        for m in pattern.finditer(text):
+            start = _scheme(text, m.start()) if kind == "url" else m.start()
+            if start is not None:
+                out.append((start, i, m.end(), m.start(1) if pattern.groups else m.start()))
     out.sort()
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The columns before the text, which is the last one, and the spans in its place."""
-    for run in runs(batches, column):
-        lists: list[list[dict]] = []
-        for i in range(len(run)):
-            text = run.text(i)
-            lists.append([{"start": s, "kind": k, "end": e, "value": v, "hash": xxhash.xxh64_intdigest(text[v:e].strip("\"'").encode(), 7) - (1 << 63)} for s, k, e, v in find(text)])
-        spans = pa.array(lists, pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.int32()), ("hash", pa.int64())])))
-        yield pa.RecordBatch.from_arrays([*run.batch.columns[:-1], spans], [*run.batch.schema.names[:-1], "spans"])
+_SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("value", pa.int32()), ("hash", pa.int64())])
+
+
+def _hash(value: str) -> int:
+    return xxhash.xxh64_intdigest(value.strip("\"'").encode("utf-8", "replace"), 7) - (1 << 63)
+
+
+def _found(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in arrays:
+        lists = []
+        for item in texts:
+            text = item.as_py() or ""
+            lists.append([(s, k, e, v, _hash(text[v:e])) for s, k, e, v in find(text)])
+        yield pa.array(lists, pa.list_(_SPAN))
 
 
 _SPANS = T.ArrayType(T.StructType([*(T.StructField(n, T.IntegerType()) for n in ("start", "kind", "end", "value")), T.StructField("hash", T.LongType())]))
-_CANDIDATES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("spans", _SPANS)])
+
+
+def spans_of(text: Column) -> Column:
+    """The spans of each text of a column."""
+    return F.arrow_udf(_found, _SPANS)(text)
 
 
 def candidates(documents: DataFrame) -> DataFrame:
     """(doc_id, source, spans) of every row."""
-    return documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(_scan, _CANDIDATES)
+    small_batches(documents.sparkSession)
+    return documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), spans_of(F.col("text").cast("string")).alias("spans"))
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -95,22 +120,23 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def _redacted(batches: Iterator[pa.RecordBatch], mark: str) -> Iterator[pa.RecordBatch]:
-    """Puts ``mark`` in place of the live spans' values; the columns are text, n_chars and then live at the end."""
+    """The rows of (row, live) with ``mark`` in place of the live spans' values."""
     for batch in batches:
-        names = batch.schema.names
-        texts = batch.column(names.index("text")).to_pylist()
+        row = batch.column(0)
+        names = [row.type.field(i).name for i in range(row.type.num_fields)]
+        parts = dict(zip(names, row.flatten()))
         out = []
-        for text, live in zip(texts, batch.column(names.index("live")).to_pylist()):
-            done, parts = 0, []
+        for text, live in zip(parts["text"].to_pylist(), batch.column(1).to_pylist()):
+            done, kept = 0, []
             for start, end in sorted((s["value"], s["end"]) for s in live):
                 if end > done:
-                    parts += [text[done : max(done, start)], mark]
+                    kept += [text[done : max(done, start)], mark]
                     done = end
-            out.append("".join(parts) + text[done:])
-        columns = {n: batch.column(n) for n in names if n != "live"} | {"text": pa.array(out, pa.string())}
-        if "n_chars" in columns:
-            columns["n_chars"] = pa.array([len(x) for x in out]).cast(batch.schema.field("n_chars").type)
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            out.append("".join(kept) + text[done:])
+        parts["text"] = pa.array(out, parts["text"].type)
+        if "n_chars" in parts:
+            parts["n_chars"] = pa.array([len(x) for x in out]).cast(parts["n_chars"].type)
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(list(parts.values()), fields=list(row.type))], ["row"])
 
 
 def redact(documents: DataFrame, example_owners: int = EXAMPLE_OWNERS, mark: str = "[secret]") -> DataFrame:
@@ -119,17 +145,16 @@ def redact(documents: DataFrame, example_owners: int = EXAMPLE_OWNERS, mark: str
     Rows without a span pass straight through; only the others meet the
     ownership counts, so whole texts are shuffled for those alone.
     """
-    columns = documents.columns
-    found = documents.withColumn("_source", F.col("source").cast("string")).withColumn("_text", F.col("text"))
-    schema = T.StructType([*found.schema.fields[:-1], T.StructField("_spans", _SPANS)])
-    found = found.mapInArrow(partial(_scan, column="_text"), schema)
-    plain = found.filter(F.size("_spans") == 0).select(*columns)
-    held = stored(found.filter(F.size("_spans") > 0).withColumn("_row", F.monotonically_increasing_id()), "held")
-    spans = held.select("_row", F.col("_source").alias("source"), F.explode("_spans").alias("span")).select("_row", "source", "span", "span.hash")
-    live = spans.join(ownership(spans), "hash").filter(F.col("owners") < example_owners).groupBy("_row").agg(F.collect_list("span").alias("live"))
+    small_batches(documents.sparkSession)
+    found = documents.select(carried(documents), spans_of(F.col("text").cast("string")).alias("spans"))
+    plain = found.filter(F.size("spans") == 0).select("row.*")
+    held = stored(found.filter(F.size("spans") > 0).withColumn("number", F.monotonically_increasing_id()), "held")
+    spans = held.select("number", F.col("row.source").cast("string").alias("source"), F.explode("spans").alias("span")).select("number", "source", "span", "span.hash")
+    live = spans.join(ownership(spans), "hash").filter(F.col("owners") < example_owners).groupBy("number").agg(F.collect_list("span").alias("live"))
     none = F.array().cast(_SPANS)
-    marked = held.join(live, "_row", "left").select(*columns, F.coalesce("live", none).alias("live"))
-    return plain.unionByName(marked.mapInArrow(partial(_redacted, mark=mark), documents.schema))
+    marked = held.select("row", "number").join(live, "number", "left").select("row", F.coalesce("live", none).alias("live"))
+    changed = mapped(marked, partial(_redacted, mark=mark), T.StructType([marked.schema["row"]]))
+    return plain.unionByName(changed.select("row.*"))
 
 
 def _joined(chosen) -> F.Column:

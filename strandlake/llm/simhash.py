@@ -6,7 +6,7 @@ fingerprints agree on whole blocks of bits, so they are joined on combinations
 of blocks and the Hamming distance is verified afterwards.
 
 Defined results: null and empty texts have fingerprint zero and link like any
-other; repeated rows come back as often as they stand in the input; a null
+other; a text of any length is read whole; further columns are left out; repeated rows come back as often as they stand in the input; a null
 doc_id keeps its row and takes no part in naming a component (a component of
 such rows alone is named null); an empty table gives an empty result.
 """
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import stored, table
+from strandlake.llm.common import dropped, mapped, stored, table
 from strandlake.llm.components import components
 from strandlake.llm.words import LOWER, runs
 
@@ -53,7 +53,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
 
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) of every row."""
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_fingerprints, shingle=shingle), "doc_id long, fp long")
+    return mapped(documents.select(F.col("doc_id").cast("long"), "text"), partial(_fingerprints, shingle=shingle), "doc_id long, fp long")
 
 
 def masks(distance: int, blocks: int) -> list[int]:
@@ -137,6 +137,23 @@ def _tiles(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
 
+def hot_blocks(fps: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
+    """Stored rows (c, m, fp, n, pivot) of the distinct fingerprints ``fps`` (fp), for the blocks that several share.
+
+    A block's size and least fingerprint (its pivot) are added up before they are shuffled.
+    """
+    index = _index(fps, distance, blocks)
+    shared = stored(index.groupBy("c", "m").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter("n > 1"), "blocks")
+    hot = stored(index.join(shared, ["c", "m"]), "hot")
+    dropped(shared)
+    return hot
+
+
+def pivot_links(hot: DataFrame, distance: int = 3) -> DataFrame:
+    """(a, b): the fingerprints within the distance of a pivot of theirs, and that pivot."""
+    return hot.filter((F.col("fp") != F.col("pivot")) & (differing(F.col("fp"), F.col("pivot")) <= distance)).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+
+
 def linked(fps: DataFrame, distance: int = 3, blocks: int = 6, chunk: int = 2048) -> DataFrame:
     """(node, label): components of the distinct fingerprints ``fps`` (fp), for those that have a link.
 
@@ -148,13 +165,11 @@ def linked(fps: DataFrame, distance: int = 3, blocks: int = 6, chunk: int = 2048
     of all its pairs. So a block of any size is spread over tasks of bounded
     memory, no link is lost, and no pair list grows with the square of a group.
     """
-    index = _index(fps, distance, blocks)
-    shared = stored(index.groupBy("c", "m").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter("n > 1"), "blocks")
-    hot = stored(index.join(shared, ["c", "m"]), "hot")
-    first = hot.filter((F.col("fp") != F.col("pivot")) & (differing(F.col("fp"), F.col("pivot")) <= distance))
-    found = stored(components(first.select(F.col("fp").alias("a"), F.col("pivot").alias("b"))), "pivots")
-    hot = hot.join(found, hot["fp"] == found["node"], "left").select("c", "m", "fp", "n", F.coalesce("label", "fp").alias("label"))
+    blocked = hot_blocks(fps, distance, blocks)
+    found = stored(components(pivot_links(blocked, distance)), "pivots")
+    hot = blocked.join(found, blocked["fp"] == found["node"], "left").select("c", "m", "fp", "n", F.coalesce("label", "fp").alias("label"))
     hot = stored(hot, "labelled")
+    dropped(blocked)
     mixed = hot.groupBy("c", "m").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("c", "m")
     parts = F.ceil(F.col("n") / chunk).cast("int")
     tiles = (
@@ -164,9 +179,9 @@ def linked(fps: DataFrame, distance: int = 3, blocks: int = 6, chunk: int = 2048
         .select("c", "m", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "fp", "label", "chunk")
     )
     sort = ["c", "m", "one", "two"]
-    edges = tiles.repartition(*sort).sortWithinPartitions(*sort).mapInArrow(partial(_tiles, distance=distance), "a long, b long")
-    more = components(edges)
-    more = stored(more, "merged")
+    edges = mapped(tiles.repartition(*sort).sortWithinPartitions(*sort), partial(_tiles, distance=distance), "a long, b long")
+    more = stored(components(edges), "merged")
+    dropped(hot)
     merged = found.join(more.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left")
     merged = merged.select("node", F.coalesce("least", "label").alias("label"))
     alone = more.join(found, "node", "left_anti").select("node", "label")

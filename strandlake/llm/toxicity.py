@@ -28,12 +28,11 @@ from dataclasses import dataclass
 from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import held_out, labelled_sample, table
+from strandlake.llm.common import held_out, labelled_sample, mapped, stored, table
 from strandlake.llm.words import Run, runs
 
 #: Labelled documents that the machine is trained on, at most; two thirds teach the words, the rest the documents' step.
@@ -295,15 +294,15 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machin
     documents and then by hash, reach the driver.
     """
     sample = labelled_sample(labels.filter("toxic is not null"), documents, rows, ["toxic"])
-    sample = sample.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text")
+    sample = stored(sample.select("doc_id", F.col("toxic").cast("int"), "text"), "toxic-sample")
     first = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(3)) > 0
-    counted = sample.filter(first).select("doc_id", "toxic", "text").mapInArrow(_word_rows, "word string, toxic long")
+    counted = mapped(sample.filter(first), _word_rows, "word string, toxic long")
     counted = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     held = counted.orderBy(F.desc(F.col("toxic") + F.col("clean")), F.xxhash64("word"), "word").limit(FIT_WORDS).toPandas()
     if not len(held) or not held["toxic"].sum() or not held["clean"].sum():
         return None
     weights, bias = train_words(held)
-    seen = sample.filter(~first).mapInArrow(partial(_documents, weights=weights, bias=bias), "doc_id long, toxic int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    seen = mapped(sample.filter(~first), partial(_documents, weights=weights, bias=bias), "doc_id long, toxic int, x array<double>").toPandas().sort_values("doc_id")
     y = seen["toxic"].to_numpy(float)
     if len(set(y)) < 2:
         return None
@@ -327,7 +326,7 @@ def _scored(batches: Iterator[pa.RecordBatch], machine: Machine | None) -> Itera
 
 def score(documents: DataFrame, machine: Machine | None) -> DataFrame:
     """(doc_id, score) of every row, from the text alone."""
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_scored, machine=machine), "doc_id long, score double")
+    return mapped(documents.select(F.col("doc_id").cast("long"), "text"), partial(_scored, machine=machine), "doc_id long, score double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

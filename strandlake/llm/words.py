@@ -1,8 +1,9 @@
 """Vectorised word splitting and hashing over Arrow text columns.
 
 Everything here works on the raw UTF-8 bytes of a run of documents at once, so
-a task handles about ``CHUNK_BYTES`` of text per numpy pass whatever the number
-of rows; a longer document makes a run of its own. Null texts count as empty.
+a task handles about ``CHUNK_BYTES`` of text and at most ``CHUNK_ROWS`` rows per
+numpy pass; a longer document makes a run of its own, for which a task needs
+some twenty bytes for each of the text. Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 4096
 U64 = np.uint64
 
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -41,32 +44,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2**64, grown on demand."""
+#: Spans of more bytes than this are hashed one by one.
+_LONG = 64
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 
-    def __init__(self) -> None:
-        self.inverse = U64(pow(int(_BASE), -1, 1 << 64))
-        self.up = np.ones(1, U64)
-        self.down = np.ones(1, U64)
 
-    def need(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * CHUNK_BYTES)
-            with np.errstate(over="ignore"):
-                self.up = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(size, _BASE)]))
-                self.down = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(size, self.inverse)]))
-        return self.up, self.down
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on as one number, zeros beyond its end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), U64, padded.data, strides=(1,))
 
 
-_POWERS = _Powers()
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each data[start:end], equal for equal contents wherever they stand.
 
-
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each data[start:end], equal for equal contents wherever they stand."""
-    up, down = _POWERS.need(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    Spans of up to eight bytes and one length never collide; longer ones are
+    mixed eight bytes at a time, and those over ``_LONG`` bytes are XXH3's.
+    """
+    size = ends - starts
+    out = mix(size.astype(U64) * _BASE + U64(seed))
+    loads = eights(data)
+    on = np.flatnonzero((size > 0) & (size <= _LONG))
+    at = 0
+    while len(on):
+        left = size[on] - at
+        out[on] = mix(out[on] ^ (loads[starts[on] + at] & _LOW_BYTES[np.minimum(left, 8)]))
+        on = on[left > 8]
+        at += 8
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b], seed) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+    return out
 
 
 @dataclass
@@ -91,20 +101,27 @@ class Run:
         return span_hash(self.data, self.offsets[:-1], self.offsets[1:])
 
 
-def runs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[Run]:
-    """Cut Arrow batches into runs of about ``limit`` bytes of text, whole rows each."""
+def runs_of(texts: pa.Array, rows: int = CHUNK_ROWS) -> Iterator[Run]:
+    """The runs of a single column of texts."""
+    return runs(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), rows=rows)
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[Run]:
+    """Cut Arrow batches into runs of about ``limit`` bytes of text and ``rows`` rows at most, whole rows each."""
     for batch in batches:
         if not batch.num_rows:
             continue
         texts = batch.column(batch.schema.get_field_index(column))
-        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        texts = texts.cast(pa.large_binary())
+        if texts.null_count:
+            texts = pc.fill_null(texts, b"")
         raw = texts.buffers()
         offsets = np.frombuffer(raw[1], np.int64, len(texts) + 1, texts.offset * 8)
         data = np.frombuffer(raw[2], np.uint8) if raw[2] is not None and raw[2].size else np.zeros(0, np.uint8)
         at = 0
         while at < len(texts):
             to = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
-            to = min(max(to, at + 1), len(texts))
+            to = min(max(to, at + 1), at + rows, len(texts))
             yield Run(batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
             at = to
 
