@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,10 +63,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+@lru_cache(1)
+def _trim() -> Callable:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def tidied(results: Iterator) -> Iterator:
+    """The results; at the end, what a worker has freed goes back to the system, since workers stay for further tasks."""
+    try:
+        yield from results
+    finally:
+        _trim()(0)
+
+
+def _worked(batches: Iterator, work: Callable) -> Iterator:
+    return tidied(work(batches))
+
+
 def mapped(df: DataFrame, work: Callable, schema: object) -> DataFrame:
     """mapInArrow in small batches."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(partial(_worked, work=work), schema)
 
 
 def held_out(doc_id: Column) -> Column:

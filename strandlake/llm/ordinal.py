@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import held_out, labelled_sample, mapped, small_batches, table
+from strandlake.llm.common import held_out, labelled_sample, mapped, small_batches, table, tidied
 from strandlake.llm.quality import statistics
 from strandlake.llm.words import Run, runs, runs_of
 
@@ -133,7 +133,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Ordina
 def tails(text: Column, model: Ordinal | None) -> Column:
     """The tail probabilities of a column of texts, as an array from grade 1 up."""
 
-    def graded_texts(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def worked(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in arrays:
             parts = [np.zeros((0, GRADES - 1))]
             for run in runs_of(texts, ROWS):
@@ -143,6 +143,9 @@ def tails(text: Column, model: Ordinal | None) -> Column:
             flat = np.concatenate(parts)
             yield pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * (GRADES - 1), pa.array(flat.ravel()))
 
+    def graded_texts(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return tidied(worked(arrays))
+
     return F.arrow_udf(graded_texts, "array<double>")(text)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import carried, mapped, small_batches, stored, table
+from strandlake.llm.common import carried, mapped, small_batches, stored, table, tidied
 
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+", re.A)
@@ -86,6 +86,10 @@ def _hash(value: str) -> int:
 
 
 def _found(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return tidied(_scanned(arrays))
+
+
+def _scanned(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in arrays:
         lists = []
         for item in texts:
