@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch, where the session doesn't say.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Rows of two numbers that a broadcast may hold (about 16 bytes each); beyond it both sides are shuffled.
 BROADCAST_ROWS = 1_500_000
 

@@ -259,11 +259,5 @@ class PieceEncoder:
         return self.tokenizer.encode_batch([run.text(i) for i in rows.tolist()], add_special_tokens=False) if len(rows) else []
 
 
-@lru_cache(1)
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each worker process."""
-    return PieceEncoder(path)
-
-
 def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
