@@ -2,16 +2,18 @@
 
 Ids are coded in blocks that start from nothing, so each can be read alone. In a
 block, the last id seen after the two ids before (order 2) and after the one
-before (order 1) are candidates; how often such candidates were right, by their
-own record, is mixed in the logistic domain with weights that learn in the
-block, and gives the chances of either candidate and of neither. An id that is
-neither is coded by order 0: the counts of its class of ids so far, taken up at
-the steps of ``_REFRESH``, and its place in the class.
+before (order 1) are candidates, each with a record of how often it was right in
+a row. The chances of both candidates follow from how often candidates of their
+records were right in the block so far, mixed in the logistic domain: one set of
+weights where they agree, others where they differ. An id that is neither is
+coded by order 0: the counts of its class so far (classes are as wide as their
+ids are high) and its place in the class.
 
 The three chances of an id are nested into one interval, so the range coder
-takes one step for each id. All arithmetic is on whole numbers, so that encoder
-and decoder agree everywhere. A numpy pass codes the next id of many blocks at
-once.
+takes one step for each id. Chances and weights learn at the end of each stretch
+of ``STRETCH`` ids, which a numpy pass does for many blocks at once; candidates
+and the coder move id by id. All arithmetic is on whole numbers, so that encoder
+and decoder agree everywhere.
 """
 
 from __future__ import annotations
@@ -21,162 +23,260 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS = 4096  # int16 counts hold twice as many at least
+BLOCK_IDS = 4096
 #: Blocks that one pass codes side by side.
 LANES = 1024
-MAGIC = b"SLB2"
+STRETCH = 256
+MAGIC = b"SLB3"
 
-_ONE = 12  # bits of a chance
-_ORDER1, _ORDER2 = 1024, 2048  # slots of the candidates' tables
-_COUNTED = 13  # bits of order 0's total
-_LOW = 6  # bits of an id below its class of order 0
-_BITS = _ONE + _COUNTED + _LOW  # of the total of an id's nested chances
+_ORDER1, _ORDER2 = 512, 1024  # slots of the candidates' tables
+_FLAG = 10  # bits of a candidate's chance
+_COUNTED = 11  # bits of order 0's total
+_TAIL = 10  # bits of a place in the widest class
+_BITS = _FLAG + _COUNTED + _TAIL  # of the total of an id's nested chances
+_DEEP = _COUNTED + _TAIL
+_REST = (1 << 32) - 1
+_TOTAL = float(1 << _BITS)
 _CODE = 48  # bits of the code in hand; the range keeps 32 of them at least, one more than the total has
-_FLOOR = 32
+_FLOOR = 4
 _RENEWED = 512
+_CLASSES = 256
+_CASES = 32  # whether the candidates differ, and either one's record (0 to 3)
+#: Ids below the first number of a pair are in classes of as many bits as the second.
+_WIDTHS = [(256, 2), (1024, 3), (8192, 8), (1 << 17, _TAIL)]
 
-_X = np.arange((1 << _ONE) + 1)
-_STRETCH = np.round(256 * np.log(np.clip(_X, 1, 4095) / (4096 - np.clip(_X, 1, 4095)))).astype(np.int64)
-_SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256))), _FLOOR, 4096 - _FLOOR).astype(np.int64)
-#: A record's next state, by hit or miss (first and second eight): it grows by hits and halves by misses.
-_NEXT = np.array([min(s + 1, 7) for s in range(8)] + [s >> 1 if s > 1 else 0 for s in range(8)], np.int64)
+_X = np.arange((1 << 12) + 1)
+#: 256 times the logit of a chance of so many 4096ths, and back to 1024ths.
+_LOGIT = np.round(256 * np.log(np.clip(_X, 1, 4095) / (4096 - np.clip(_X, 1, 4095)))).astype(np.int64)
+_CHANCE = np.clip(np.round((1 << _FLAG) / (1 + np.exp(-np.arange(-2048, 2048) / 256))), _FLOOR, (1 << _FLAG) - _FLOOR).astype(np.int64)
+#: The next record of a candidate that held 1, 2 or 3 and was right (places 1 to 3), or of a new one.
+_RECORD = np.array([1, 2, 3, 3, 1], np.int32)
+_S1, _S2, _SAME = np.arange(_CASES) >> 2 & 3, np.arange(_CASES) & 3, np.arange(_CASES) < 16
 
 
-def _refresh_at(longest: int) -> set[int]:
-    """Places at which order 0 takes up its counts."""
-    return {64, 192} | set(range(_RENEWED, longest, _RENEWED))
+def _class_table(vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each id, and each class's first id and bits."""
+    of, base, bits = np.zeros(vocabulary, np.int64), [], []
+    at = 0
+    for upto, width in _WIDTHS:
+        while at < min(upto, vocabulary):
+            of[at : at + (1 << width)] = len(base)
+            base.append(at)
+            bits.append(width)
+            at += 1 << width
+    if len(base) > _CLASSES or at < vocabulary:
+        raise ValueError(f"a vocabulary of {vocabulary} is too large for this format")
+    return of, np.array(base, np.int64), np.array(bits, np.int64)
 
 
-class _Order0:
-    """Class counts of many lanes, and their running sums as of the last refresh."""
+class _Model:
+    """What the blocks of a pass have learnt, as of their last stretch."""
 
-    def __init__(self, lanes: int, vocabulary: int, reading: bool) -> None:
-        self.classes = (vocabulary >> _LOW) + 1
-        if 2 * self.classes > 1 << _COUNTED:
-            raise ValueError(f"a vocabulary of {vocabulary} is too large for this format")
-        self.counts = np.zeros(lanes * self.classes, np.int16)  # blocks have fewer ids than it holds
-        self.reading = reading
-        self.refresh(lanes)
+    def __init__(self, lanes: int, bits: np.ndarray, reading: bool) -> None:
+        classes = len(bits)
+        self.lanes, self.classes, self.bits, self.reading = lanes, classes, bits, reading
+        self.seen = np.zeros((lanes, _CASES, 3), np.int64)  # by case: candidate of order 2 right, that of order 1, neither
+        self.weights = np.tile(np.array([[20_000, 50_000, -5_000, 65_000, 65_000, -5_000]], np.int64), (lanes, 1))
+        self.counts = np.zeros((lanes, classes + 1), np.int64)  # the last stands for candidates
+        self.codes, self.found = np.zeros((STRETCH, lanes), np.int32), np.zeros((STRETCH, lanes), np.int32)
+        self.lane_code, self.lane_class = np.arange(lanes) * (3 * _CASES), np.arange(lanes) * (classes + 1)
+        self._mix()
+        self.renew()
 
-    def refresh(self, lanes: int) -> None:
+    def _mix(self) -> None:
+        """For each block and case: where the shares of the candidates of order 2 and order 1 end, of all ``_TOTAL``."""
+        s = self.seen
+        right2 = np.zeros((self.lanes, 4, 2), np.int64)
+        right1 = np.zeros((self.lanes, 4, 2), np.int64)
+        for r in range(4):
+            own = s[:, _S2 == r]
+            right2[:, r, 0], right2[:, r, 1] = own[:, :, 0].sum(1), own.sum((1, 2))
+            own, same = s[:, _S1 == r], _SAME[_S1 == r]
+            right1[:, r, 0], right1[:, r, 1] = own[:, same, 0].sum(1) + own[:, ~same, 1].sum(1), own.sum((1, 2))
+        logit = lambda n: _LOGIT[((4 * n[:, :, 0] + 2) << 12) // (4 * n[:, :, 1] + 5)]
+        x1, x2 = logit(right1)[:, _S1] * (_S1 > 0), logit(right2)[:, _S2] * (_S2 > 0)
+        w = self.weights[:, :, None]
+        chance = lambda a, b: _CHANCE[np.clip((a * x1 + b * x2) >> 16, -2048, 2047) + 2048]
+        one = 1 << _FLAG
+        self.p2 = np.where(_SAME, chance(w[:, 0], w[:, 1]), chance(w[:, 2], w[:, 3]))
+        self.p1 = chance(w[:, 4], w[:, 5])
+        f2 = self.p2 * (_S2 > 0)
+        f1 = np.maximum(1, ((one - f2) * self.p1) >> _FLAG) * (~_SAME & (_S1 > 0))
+        self.x1, self.x2 = x1, x2
+        self.end2, self.end1 = (f2 << _DEEP).astype(float).ravel(), ((f2 + f1) << _DEEP).astype(float).ravel()
+
+    def renew(self) -> None:
+        """Take up the classes' counts: begin and size of each class in order 0's total, and the class of each place of it."""
         total = 1 << _COUNTED
-        n = self.counts[: lanes * self.classes].reshape(lanes, self.classes).astype(np.int64)
         room = total - self.classes
-        seen = n.sum(1, keepdims=True)
-        size = 1 + np.where(seen > 0, n * room // np.maximum(seen, 1), room // self.classes)
+        counts = self.counts[:, : self.classes]
+        n = counts.sum(1, keepdims=True)
+        size = 1 + np.where(n > 0, counts * room // np.maximum(n, 1), room // self.classes)
         size[:, 0] += total - size.sum(1)
-        size = size.ravel()
-        start = (np.cumsum(size) - size) & (total - 1)  # each lane's sizes add up to the total
-        self.both = start.astype(np.int32) << 16 | size.astype(np.int32)
+        self.begin, self.step = ((np.cumsum(size, 1) - size) << _TAIL).astype(np.float32).ravel(), (size << (_TAIL - self.bits)).astype(np.float32).ravel()
         if self.reading:
-            self.of = np.repeat(np.tile(np.arange(self.classes, dtype=np.int16), lanes), size)
+            self.of = np.repeat(np.tile(np.arange(self.classes, dtype=np.uint8), self.lanes), size.ravel())
 
+    def learn(self, upto: int, first: int, sizes: np.ndarray) -> None:
+        """Take in the stretch from place ``first`` to ``upto``; ``sizes`` are the blocks' own."""
+        n = upto - first
+        codes, found = (self.codes[:n] + self.lane_code).ravel(), (self.found[:n] + self.lane_class).ravel()
+        if sizes[-1] < upto:
+            inside = (np.arange(first, upto)[:, None] < sizes[None, :]).ravel()
+            codes, found = codes[inside], found[inside]
+        now = np.bincount(codes, minlength=self.lanes * 3 * _CASES).reshape(self.lanes, _CASES, 3)
+        self.seen += now
+        self.counts += np.bincount(found, minlength=self.counts.size).reshape(self.counts.shape)
+        total = now.sum(2)
+        error2 = ((now[:, :, 0] << _FLAG) - total * self.p2) * (_S2 > 0)
+        error1 = ((now[:, :, 1] << _FLAG) - (total - now[:, :, 0]) * self.p1) * (~_SAME & (_S1 > 0))
+        half = _CASES // 2
+        pulls = (error2 * self.x1, error2 * self.x2, error1 * self.x1, error1 * self.x2)
+        for i, pull in enumerate((pulls[0][:, :half], pulls[1][:, :half], pulls[0][:, half:], pulls[1][:, half:], pulls[2][:, half:], pulls[3][:, half:])):
+            self.weights[:, i] += pull.sum(1) >> 10
+        np.clip(self.weights, -131_072, 131_072, out=self.weights)
+        self._mix()
+        if upto % _RENEWED == 0 or upto in (STRETCH, 3 * STRETCH):
+            self.renew()
 
-def _pass(sizes: np.ndarray, vocabulary: int, ids: np.ndarray | None, words: np.ndarray | None) -> tuple[np.ndarray, list[bytes]]:
-    """Code blocks of the given sizes, longest first, side by side: write ``ids`` (blocks, places) or read ``words``."""
-    lanes, longest = len(sizes), int(sizes.max())
-    reading = ids is None
-    order0 = _Order0(lanes, vocabulary, reading)
-    classes, total0 = order0.classes, 1 << _COUNTED
-    held1, held2 = np.zeros(lanes * _ORDER1, np.int32), np.zeros(lanes * _ORDER2, np.int32)  # (id + 1) * 8 + record
-    right1, right2 = np.full(lanes * 8, 1024, np.int64), np.full(lanes * 8, 1024, np.int64)
-    weight1, weight2 = np.full(lanes, 30_000, np.int64), np.full(lanes, 45_000, np.int64)
-    before, last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    low, span, at = np.zeros(lanes, np.int64), np.full(lanes, 1 << _CODE, np.int64), np.zeros(lanes, np.int64)
-    if reading:
-        ids = np.zeros((longest, lanes), np.int32)
-        words = np.ascontiguousarray(words.T)
-        for j in range(_CODE // 16):
-            low = (low << 16) | words[j]
-        at += _CODE // 16
-    else:
-        ids = np.ascontiguousarray(ids.T)
-        words = np.zeros((3 * longest + 8, lanes), np.uint32)
-    flat = words.ravel()  # a lane's words stand below each other
-    width = len(words)
-    active = np.searchsorted(-sizes, -np.arange(longest), "left")  # lanes longer than each place
-    renew = _refresh_at(longest)
-    every = np.arange(lanes)
-    for t in range(longest):
-        k = int(active[t])
-        if t in renew:
-            order0.refresh(k)
-        lane = every[:k]
-        a, b = before[:k], last[:k]
-        at1 = lane * _ORDER1 + ((b * 40_503 >> 4) & (_ORDER1 - 1))
-        at2 = lane * _ORDER2 + (((a * 50_021 + b * 30_011) >> 3) & (_ORDER2 - 1))
-        e1, e2 = held1.take(at1).astype(np.int64), held2.take(at2).astype(np.int64)
-        c1, c2, s1, s2 = e1 >> 3, e2 >> 3, e1 & 7, e2 & 7  # candidates as id + 1, 0 for none
-        r1, r2 = lane * 8 + s1, lane * 8 + s2
-        p1, p2 = right1.take(r1), right2.take(r2)
-        agree = c1 == c2
-        x1, x2 = _STRETCH.take(p1) * agree, _STRETCH.take(p2)
-        mixed = _SQUASH.take(np.maximum(np.minimum((weight1[:k] * x1 + weight2[:k] * x2) >> 16, 2047), -2048) + 2048)
-        f2 = mixed * (c2 > 0)
-        rest = 4096 - f2
-        f1 = np.maximum(1, (rest * p1) >> _ONE) * (~agree & (c1 > 0))
-        upto, none = f2 + f1, rest - f1
-        unit = span[:k] >> _BITS
-        if reading:
-            place = np.minimum((low[:k] / unit).astype(np.int64), (1 << _BITS) - 1)
-            flag = place >> (_COUNTED + _LOW)
-            first, second = flag < f2, flag < upto
-            inner = np.maximum(place - (upto << (_COUNTED + _LOW)), 0) // none
-            row = order0.of.take((lane << _COUNTED) + (inner >> _LOW)).astype(np.int64) + lane * classes
-            both = order0.both.take(row).astype(np.int64)
-            start0, size0 = both >> 16, both & 0xFFFF
-            tail = np.minimum((inner - (start0 << _LOW)) // size0, (1 << _LOW) - 1)
-            now = np.where(first, c2, np.where(second, c1, ((row - lane * classes) << _LOW) + tail + 1))
-        else:
-            now = ids[t, :k].astype(np.int64) + 1
-            first = (now == c2) & (f2 > 0)
-            second = first | ((now == c1) & (f1 > 0))
-            row = ((now - 1) >> _LOW) + lane * classes
-            both = order0.both.take(row).astype(np.int64)
-            start0, size0 = both >> 16, both & 0xFFFF
-            tail = (now - 1) & ((1 << _LOW) - 1)
-        start = np.where(first, 0, np.where(second, f2 << (_COUNTED + _LOW), (upto << (_COUNTED + _LOW)) + none * ((start0 << _LOW) + size0 * tail)))
-        size = np.where(first, f2 << (_COUNTED + _LOW), np.where(second, f1 << (_COUNTED + _LOW), none * size0))
-        wide = unit * size
-        if reading:
-            ids[t, :k] = now - 1
-            code = low[:k] - unit * start
-            small = np.flatnonzero(wide < 1 << 32)
-            while len(small):  # a damaged block may ask for more words than there are
-                code[small] = (code[small] << 16) | flat.take(np.minimum(at[small], width - 1) * lanes + small)
-                at[small] += 1
-                wide[small] <<= 16
-                small = small[wide[small] < 1 << 32]
-        else:
-            code = low[:k] + unit * start
-            small = np.flatnonzero(wide < 1 << 32)
-            while len(small):
-                flat[at[small] * lanes + small] = code[small] >> (_CODE - 16)
-                code[small] = (code[small] & ((1 << (_CODE - 16)) - 1)) << 16
-                at[small] += 1
-                wide[small] <<= 16
-                small = small[wide[small] < 1 << 32]
-        low[:k], span[:k] = code, wide
-        counted = np.flatnonzero(~second)
-        order0.counts[row[counted]] += 1
-        hit1, hit2 = now == c1, now == c2
-        error = ((hit2.astype(np.int64) << _ONE) - mixed) * (c2 > 0)
-        weight2[:k] += (x2 * error) >> 10
-        weight1[:k] += (x1 * error) >> 10
-        for hit, p, r, s, c, right, held, place in ((hit1, p1, r1, s1, c1, right1, held1, at1), (hit2, p2, r2, s2, c2, right2, held2, at2)):
-            right[r] = np.maximum(p + (((hit.astype(np.int64) << _ONE) - p) >> 5), _FLOOR)
-            held[place] = (np.where(hit | (s > 1), c, now) << 3) | _NEXT.take(s + 8 * (1 - hit))
-        before[:k], last[:k] = b, now
-    if reading:
-        return ids.T, []
+
+def _slots(before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the contexts of an id: the one before, and the two before."""
+    return (last * 40_503 >> 4) & (_ORDER1 - 1), ((before * 50_021 + last * 30_011) >> 3) & (_ORDER2 - 1)
+
+
+def _written(sizes: np.ndarray, vocabulary: int, ids: np.ndarray) -> list[bytes]:
+    """Code blocks of the given sizes side by side; ``ids`` is (places, blocks)."""
+    lanes, longest = len(sizes), len(ids)
+    of, base, bits = _class_table(vocabulary)
+    model = _Model(lanes, bits, False)
+    lane = np.arange(lanes)
+    held1, held2 = np.zeros(lanes * _ORDER1, np.int32), np.zeros(lanes * _ORDER2, np.int32)  # (id + 1) * 4 + record
+    now = (ids + 1).astype(np.int64)
+    low, span, at = np.zeros(lanes, np.int64), np.full(lanes, 1 << _CODE, np.int64), lane.copy()
+    words = np.zeros((2 * longest + 8) * lanes, np.uint32)  # a block's words stand below each other
+    e1, e2 = np.zeros((STRETCH, lanes), np.int32), np.zeros((STRETCH, lanes), np.int32)
+    zero, sixteen, every = np.zeros((1, lanes), np.int64), np.full(lanes, 16, np.int64), np.full(lanes, lanes, np.int64)
+    for first in range(0, longest, STRETCH):
+        upto = min(first + STRETCH, longest)
+        n = upto - first
+        own = now[first:upto]
+        last = np.concatenate([now[first - 1 : first] if first else zero, own[:-1]])
+        before = np.concatenate([now[first - 2 : first - 1] if first else zero, last[:-1]])
+        slot1, slot2 = _slots(before, last)
+        slot1 += lane * _ORDER1
+        slot2 += lane * _ORDER2
+        whole = (own << 2).astype(np.int32)
+        for t in range(n):
+            for held, slot, e in ((held1, slot1[t], e1[t]), (held2, slot2[t], e2[t])):
+                held.take(slot, out=e, mode="clip")
+                held[slot] = whole[t] + _RECORD.take(np.minimum((e - whole[t]).view(np.uint32), 4))
+        a, b = e1[:n], e2[:n]
+        differ = (a ^ b) > 3
+        case = np.where(differ, 16, 0) + ((a & 3) << 2) + (b & 3)
+        end2, end1 = model.end2.take(case + lane * _CASES), model.end1.take(case + lane * _CASES)
+        hit2 = ((b >> 2) == own) & (end2 > 0)
+        hit1 = ((a >> 2) == own) & ~hit2 & (end1 > end2)
+        kind = of.take(own - 1)
+        model.codes[:n] = case * 3 + np.where(hit2, 0, np.where(hit1, 1, 2))
+        model.found[:n] = np.where(hit2 | hit1, model.classes, kind)
+        begin, step = (x.take(kind + lane * model.classes).astype(float) for x in (model.begin, model.step))
+        none = (_TOTAL - end1) / (1 << _DEEP)
+        start = np.where(hit2, 0.0, np.where(hit1, end2, end1 + none * (begin + (own - 1 - base.take(kind)) * step))).astype(np.int64)
+        size = np.where(hit2, end2, np.where(hit1, end1 - end2, none * step)).astype(np.int64)
+        for t in range(n):
+            k = int(np.searchsorted(-sizes, -(first + t), "left")) if sizes[-1] <= first + t else lanes  # blocks longer than this place
+            unit = span[:k] >> _BITS
+            code = low[:k] + unit * start[t, :k]
+            wide = unit * size[t, :k]
+            small = wide < 1 << 32
+            words[at[:k]] = code >> (_CODE - 16)  # written over where it isn't left behind
+            code = np.where(small, (code & _REST) << 16, code)
+            wide <<= small * sixteen[:k]
+            at[:k] += small * every[:k]
+            again = np.flatnonzero(wide < 1 << 32)
+            while len(again):
+                words[at[again]] = code[again] >> (_CODE - 16)
+                code[again] = (code[again] & _REST) << 16
+                wide[again] <<= 16
+                at[again] += lanes
+                again = again[wide[again] < 1 << 32]
+            low[:k], span[:k] = code, wide
+        model.learn(upto, first, sizes)
     for shift in range(_CODE - 16, -1, -16):
-        words[at, every] = (low >> shift) & (0xFFFF if shift < _CODE - 16 else 0x1FFFF)
-        at += 1
-    for j in range(int(at.max()) - 1, 0, -1):  # carries run back through the words only now
+        words[at] = (low >> shift) & (0xFFFF if shift < _CODE - 16 else 0x1FFFF)
+        at += lanes
+    n = at // lanes
+    words = words.reshape(-1, lanes)[: int(n.max())]
+    for j in range(len(words) - 1, 0, -1):  # carries run back through the words only now
         words[j - 1] += words[j] >> 16
         words[j] &= 0xFFFF
-    words = words.T.astype("<u2")
-    return ids.T, [words[i, : at[i]].tobytes() for i in range(lanes)]
+    words = np.ascontiguousarray(words.T.astype("<u2"))
+    return [words[i, : n[i]].tobytes() for i in range(lanes)]
+
+
+def _read(sizes: np.ndarray, vocabulary: int, words: np.ndarray) -> np.ndarray:
+    """The ids (places, blocks) of blocks of the given sizes, longest first; ``words`` is (words, blocks)."""
+    lanes, longest = len(sizes), int(sizes.max())
+    _, base, bits = _class_table(vocabulary)
+    first_of = base + 1.0
+    model = _Model(lanes, bits, True)
+    lane = np.arange(lanes)
+    lane1, lane2, lane_case, lane_class, lane_of = lane * _ORDER1, lane * _ORDER2, lane * _CASES, lane * model.classes, lane << _COUNTED
+    held1, held2 = np.zeros(lanes * _ORDER1, np.int32), np.zeros(lanes * _ORDER2, np.int32)
+    ids = np.zeros((longest, lanes), np.int32)
+    last = np.zeros(lanes, np.int64)
+    # whole numbers below 2**53 in floating point: their sums, products and rounded quotients are exact
+    low, span = np.zeros(lanes), np.full(lanes, float(1 << _CODE))
+    for j in range(_CODE // 16):
+        low = low * 65_536 + words[j]
+    flat = words.ravel()
+    at = lane + _CODE // 16 * lanes
+    most = flat.size - lanes + lane
+    slot1, slot2 = _slots(last, last)
+    slot1, slot2 = slot1 + lane1, slot2 + lane2
+    part, one, every = 1.0 / (1 << _BITS), 1.0 / (1 << _DEEP), np.full(lanes, lanes, np.int64)
+    for first in range(0, longest, STRETCH):
+        upto = min(first + STRETCH, longest)
+        for t in range(upto - first):
+            e1, e2 = held1.take(slot1), held2.take(slot2)
+            case = ((e1 & 3) << 2) + (e2 & 3) + (((e1 ^ e2) > 3) << 4)
+            where = case + lane_case
+            end2, end1 = model.end2.take(where), model.end1.take(where)
+            unit = np.floor(span * part)
+            place = np.minimum(np.floor(low / unit), _TOTAL - 1)
+            hit2, escape = place < end2, place >= end1
+            none = (_TOTAL - end1) * one
+            inner = np.floor(np.maximum(place - end1, 0.0) / none)
+            kind = model.of.take((inner * (1.0 / (1 << _TAIL))).astype(np.int64) + lane_of).astype(np.int64)
+            where = kind + lane_class
+            begin, step = model.begin.take(where), model.step.take(where)
+            tail = np.floor((inner - begin) / step)
+            now = np.where(escape, (first_of.take(kind) + tail).astype(np.int64), np.where(hit2, e2, e1) >> 2)
+            low -= unit * np.where(escape, end1 + none * (begin + tail * step), np.where(hit2, 0.0, end2))
+            span = unit * np.where(escape, none * step, np.where(hit2, end2, end1 - end2))
+            small = span < 4_294_967_296.0
+            low = np.where(small, low * 65_536.0 + flat.take(np.minimum(at, most)), low)  # a damaged block may ask for more words than there are
+            span = np.where(small, span * 65_536.0, span)
+            at += small * every
+            again = np.flatnonzero(span < 4_294_967_296.0)
+            while len(again):
+                low[again] = low[again] * 65_536.0 + flat.take(np.minimum(at[again], most[again]))
+                span[again] = np.maximum(span[again], 1.0) * 65_536.0
+                at[again] += lanes
+                again = again[span[again] < 4_294_967_296.0]
+            ids[first + t] = now - 1
+            model.codes[t] = case * 3 + np.where(escape, 2, ~hit2)
+            model.found[t] = np.where(escape, kind, model.classes)
+            whole = (now << 2).astype(np.int32)
+            held1[slot1] = whole + _RECORD.take(np.minimum((e1 - whole).view(np.uint32), 4))
+            held2[slot2] = whole + _RECORD.take(np.minimum((e2 - whole).view(np.uint32), 4))
+            slot1, slot2 = _slots(last, now)
+            slot1 += lane1
+            slot2 += lane2
+            last = now
+        model.learn(upto, first, sizes)
+    return ids
 
 
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
@@ -190,7 +290,7 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
             ids = np.zeros((len(order), int(sizes.max())), np.int32)
             for j, i in enumerate(order):
                 ids[j, : sizes[j]] = blocks[i]
-            coded = _pass(sizes, vocabulary, ids, None)[1]
+            coded = _written(sizes, vocabulary, np.ascontiguousarray(ids.T))
         for j, i in enumerate(order):
             done[i] = MAGIC + struct.pack("<III", len(blocks[i]), zlib.crc32(blocks[i].astype("<u4").tobytes()), vocabulary) + coded[j]
     return done
@@ -217,10 +317,11 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
             for j, i in enumerate(order):
                 own = np.frombuffer(payloads[i], "<u2", offset=16)
                 words[j, : len(own)] = own
-            ids = _pass(sizes, vocabulary, None, words)[0]
+            with np.errstate(over="ignore"):  # a damaged block's numbers may grow out of range
+                ids = _read(sizes, vocabulary, np.ascontiguousarray(words.T)).T
             for j, i in enumerate(order):
                 done[i] = ids[j, : sizes[j]]
     for i, (n, crc, _) in enumerate(heads):
-        if len(done[i]) != n or zlib.crc32(done[i].astype("<u4").tobytes()) != crc:
+        if len(done[i]) != n or zlib.crc32(np.ascontiguousarray(done[i]).astype("<u4").tobytes()) != crc:
             raise ValueError("a block of token ids fails its checksum")
     return done

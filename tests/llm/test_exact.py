@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from strandlake.llm import decontaminate, licenses, packing, quality, rangecoder, secrets, simhash, simhash_wide, tokenfile
 from strandlake.llm.components import components
-from strandlake.llm.tokens import encoder, tokenizer_path
+from tokenizers import Tokenizer
+
+from strandlake.llm.tokens import PieceEncoder, tokenizer_path
 from strandlake.llm.words import runs
 from tests.llm.corpus import documents, lower, rows_of, spaced, words
 
@@ -234,13 +236,13 @@ def test_trees_keep_their_signs():
 def test_piece_encoder_equals_the_library():
     from tests.llm.corpus import texts
 
-    own = encoder(tokenizer_path())
-    rows = [*texts(), " a  b\n\n c  ", "don't you'll 's 'sit x's", "tab\t\tx \n y", "1234 5,6.7!! ok...", "<|endoftext|> x", "a \n", "’s “q”", "é è x  y"]
+    own, library = PieceEncoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    rows = [*texts(), "a <|endoftext|> b", " a  b\n\n c  ", "don't you'll 's 'sit x's", "tab\t\tx \n y", "1234 5,6.7!! ok...", "<|endoftext|> x", "a \n", "’s “q”", "é è x  y"]
     for run in runs([pa.RecordBatch.from_arrays([pa.array(rows)], ["text"])]):
         ids, counts = own.encode(run)
         ends = np.cumsum(counts)
         for i in range(len(run)):
-            assert ids[ends[i] - counts[i] : ends[i]].tolist() == own.tokenizer.encode(run.text(i), add_special_tokens=False).ids
+            assert ids[ends[i] - counts[i] : ends[i]].tolist() == library.encode(run.text(i), add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("sizes", [[0, 1, 5, 4096], [300]])
@@ -260,7 +262,7 @@ def test_token_files_round_trip(spark, tmp_path):
     df = documents(spark)
     tokenfile.write(df, f"file://{tmp_path}/t")
     got = sorted(((r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokenfile.read(spark, f"file://{tmp_path}/t").collect()))
-    own, start, want = encoder(tokenizer_path()).tokenizer, 0, []
+    own, start, want = Tokenizer.from_file(tokenizer_path()), 0, []
     rows = sorted(rows_of(df), key=lambda r: (r[0] is not None, r[0] or 0))
     for _, t in rows:
         ids = own.encode(t or "", add_special_tokens=False).ids + [2]
@@ -289,7 +291,7 @@ def test_bucket_boundaries_are_optimal():
 def test_packing_holds_every_token_once(spark):
     df = documents(spark)
     got = packing.pack(df, most=64, buckets=4, budget=256).toPandas()
-    own = encoder(tokenizer_path()).tokenizer
+    own = Tokenizer.from_file(tokenizer_path())
     assert got["n_tokens"].sum() == sum(len(own.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows_of(df))
     assert not got.duplicated(["bucket_len", "batch", "slot"]).any()
     per = got.groupby(["bucket_len", "batch"]).size().reset_index(name="n")
