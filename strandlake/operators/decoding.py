@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlake.operators import intervals
+from strandlake.shared import cut
 
 
 def per_orf_max(orfs: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -23,8 +24,8 @@ def decode(scored: DataFrame, threshold: float | None = None, nucleotide: bool =
     ``threshold`` rows carry their own in a column.
     """
     keys = ["sample"] if threshold is not None else ["threshold", "sample"]
-    cut = F.lit(threshold) if threshold is not None else F.col("threshold")
-    called = scored.filter(F.col("score") >= cut)
+    least = F.lit(threshold) if threshold is not None else F.col("threshold")
+    called = scored.filter(F.col("score") >= least)
     island = F.col("orf_idx") - F.row_number().over(Window.partitionBy(*keys).orderBy("orf_idx"))
     ends = (F.min_by("start", "orf_idx"), F.max_by("end", "orf_idx")) if nucleotide else (F.min("orf_idx"), F.max("orf_idx") + 1)
     return called.withColumn("_island", island).groupBy(*keys, "_island").agg(ends[0].cast("long").alias("start"), ends[1].cast("long").alias("end")).drop("_island")
@@ -40,18 +41,35 @@ def sweep(samples: DataFrame, orfs: DataFrame, annotations: DataFrame, truth: Da
     """A row per threshold: counts over all samples, ratios and F1 for regions and coding regions.
 
     The frames' scores don't depend on the threshold and are computed once; the
-    list of thresholds is a short constant and is broadcast. Samples without a
-    prediction still count their true regions.
+    list of thresholds is a short constant and is broadcast, and only frames at or
+    over each are kept. The regions that follow are stored and meet the true and
+    the coding regions of their sample once, whatever the threshold. Samples
+    without a prediction still count their true regions.
     """
-    scored = per_orf_max(orfs, annotations)
-    each = scored.crossJoin(F.broadcast(thresholds)).filter(F.col("score") >= F.col("threshold"))
-    predicted = decode(each, nucleotide=True)
-    keys = ("threshold", "sample")
-    spread = lambda df: df.crossJoin(F.broadcast(thresholds))
-    every = spread(samples.select("sample"))
-    regions = intervals.cluster_eval(every, spread(truth), predicted, keys)
-    frames = intervals.orf_eval(every, spread(coding), predicted, keys)
-    rows = regions.select(*keys, *intervals.COUNTS[:3]).join(frames.select(*keys, *intervals.COUNTS[3:]), list(keys))
+    known = samples.select("sample").distinct()
+    of = lambda df: df.join(known, "sample", "left_semi")
+    each = of(per_orf_max(orfs, annotations)).crossJoin(F.broadcast(thresholds)).filter(F.col("score") >= F.col("threshold"))
+    predicted = cut(decode(each, nucleotide=True).withColumn("region", F.monotonically_increasing_id()))
+    real = cut(of(truth).select("sample", "start", "end").withColumn("real", F.monotonically_increasing_id()))
+    coded = of(coding).select("sample", "locus_tag", "start", "end", "in_gt")
+
+    def met(other: DataFrame) -> DataFrame:
+        o = other.withColumnsRenamed({"sample": "of", "start": "from", "end": "to"})
+        return predicted.join(o, (F.col("sample") == F.col("of")) & intervals.overlap(F.col("start"), F.col("end"), F.col("from"), F.col("to")))
+
+    true = coded.filter("in_gt").select("sample", "locus_tag", "start", "end").distinct()
+    tags = true.select("sample", "locus_tag").distinct()
+    regions = predicted.groupBy("threshold").agg(F.count("*").alias("n_pred"))
+    touched = met(real).groupBy("threshold").agg(F.countDistinct("region").alias("tp"), F.countDistinct("real").alias("hit"))
+    covered = met(true).select("threshold", "sample", "locus_tag").distinct().groupBy("threshold").agg(F.count("locus_tag").alias("orf_covered_cds"))
+    under = met(coded).join(tags.withColumn("true", F.lit(1)), ["sample", "locus_tag"], "left")
+    under = under.groupBy("threshold").agg(F.count("locus_tag").alias("orf_n_pred_cds"), F.count("true").alias("orf_correct_pred_cds"))
+    whole = real.agg(F.count("*").alias("n_true")).crossJoin(tags.agg(F.count("locus_tag").alias("orf_n_gt_cds")))  # one row
+    out = thresholds.crossJoin(F.broadcast(whole))
+    for part in (regions, touched, covered, under):
+        out = out.join(F.broadcast(part), "threshold", "left")  # a row for each threshold at most
+    out = out.fillna(0)
+    rows = out.select("threshold", F.col("tp").alias("cluster_tp"), (F.col("n_pred") - F.col("tp")).alias("cluster_fp"), (F.col("n_true") - F.col("hit")).alias("cluster_fn"), *intervals.COUNTS[3:])
     out = intervals.micro(rows, ("threshold",))
     return out.select("threshold", *intervals.COUNTS, "cluster_precision", "cluster_recall", "cluster_f1", "orf_precision", "orf_recall", "orf_f1")
 

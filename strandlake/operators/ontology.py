@@ -61,11 +61,15 @@ def information_content(counts: DataFrame, closed: DataFrame, total: int) -> Dat
 
 def resnik(pairs: DataFrame, closed: DataFrame, ic: DataFrame) -> DataFrame:
     """(t1, t2, resnik): the greatest information content of a common ancestor; a term with itself has its own, and 0 stands for none."""
+    # the value is the same either way, so each pair is looked at once
+    low, high = F.least("t1", "t2"), F.greatest("t1", "t2")
+    once = pairs.filter("t1 <> t2").select(low.alias("t1"), high.alias("t2")).distinct()
     up = closed.select("term", "ancestor")
-    met = pairs.join(up.select(F.col("term").alias("t1"), "ancestor"), "t1").join(up.select(F.col("term").alias("t2"), "ancestor"), ["t2", "ancestor"])
+    met = once.join(up.select(F.col("term").alias("t1"), "ancestor"), "t1").join(up.select(F.col("term").alias("t2"), "ancestor"), ["t2", "ancestor"])
     best = met.join(ic.withColumnRenamed("term", "ancestor"), "ancestor").groupBy("t1", "t2").agg(F.max("ic").alias("best"))
+    best = best.select(F.col("t1").alias("low"), F.col("t2").alias("high"), "best")
     own = ic.select(F.col("term").alias("t1"), F.col("ic").alias("own"))
-    out = pairs.join(best, ["t1", "t2"], "left").join(own, "t1", "left")
+    out = pairs.withColumns({"low": low, "high": high}).join(best, ["low", "high"], "left").join(own, "t1", "left")
     value = F.when(F.col("t1") == F.col("t2"), F.col("own")).otherwise(F.col("best"))
     return out.select("t1", "t2", F.coalesce(value, F.lit(0.0)).alias("resnik"))
 
@@ -90,6 +94,7 @@ def best_match_average(sets: DataFrame, compared: DataFrame, scored: DataFrame,
 
     ``sets``: (entity, term), distinct; ``compared``: (a, b); ``scored``: (t1, t2, value) both ways.
     """
+    scored = cut(scored)  # both ways read it
     there = _best(sets, sets, compared, scored, value)
     back = _best(sets, sets, compared.select(F.col("b").alias("a"), F.col("a").alias("b")), scored, value).select(F.col("b").alias("a"), F.col("a").alias("b"), "term", "best")
     mean = there.unionByName(back).groupBy("a", "b").agg(F.avg(F.col("best").cast("decimal(28,14)")).cast("double").alias("score"))
