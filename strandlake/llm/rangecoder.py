@@ -24,7 +24,7 @@ import zlib
 import numpy as np
 
 BLOCK_IDS = 4096
-#: Blocks that one pass codes side by side.
+#: Blocks that one pass codes side by side, about: passes are made equal, since a small one takes nearly as long.
 LANES = 1024
 STRETCH = 256
 MAGIC = b"SLB3"
@@ -235,6 +235,8 @@ def _read(sizes: np.ndarray, vocabulary: int, words: np.ndarray) -> np.ndarray:
     most = flat.size - lanes + lane
     slot1, slot2 = _slots(last, last)
     slot1, slot2 = slot1 + lane1, slot2 + lane2
+    seen, kinds = np.zeros((STRETCH, lanes), np.int32), np.zeros((STRETCH, lanes), np.int32)
+    right2, neither = np.zeros((STRETCH, lanes), bool), np.zeros((STRETCH, lanes), bool)
     part, one, every = 1.0 / (1 << _BITS), 1.0 / (1 << _DEEP), np.full(lanes, lanes, np.int64)
     for first in range(0, longest, STRETCH):
         upto = min(first + STRETCH, longest)
@@ -266,8 +268,7 @@ def _read(sizes: np.ndarray, vocabulary: int, words: np.ndarray) -> np.ndarray:
                 at[again] += lanes
                 again = again[span[again] < 4_294_967_296.0]
             ids[first + t] = now - 1
-            model.codes[t] = case * 3 + np.where(escape, 2, ~hit2)
-            model.found[t] = np.where(escape, kind, model.classes)
+            seen[t], right2[t], neither[t], kinds[t] = case, hit2, escape, kind
             whole = (now << 2).astype(np.int32)
             held1[slot1] = whole + _RECORD.take(np.minimum((e1 - whole).view(np.uint32), 4))
             held2[slot2] = whole + _RECORD.take(np.minimum((e2 - whole).view(np.uint32), 4))
@@ -275,15 +276,23 @@ def _read(sizes: np.ndarray, vocabulary: int, words: np.ndarray) -> np.ndarray:
             slot1 += lane1
             slot2 += lane2
             last = now
+        n = upto - first
+        model.codes[:n] = seen[:n] * 3 + np.where(neither[:n], 2, ~right2[:n])
+        model.found[:n] = np.where(neither[:n], kinds[:n], model.classes)
         model.learn(upto, first, sizes)
     return ids
 
 
+def _passes(n: int) -> list[tuple[int, int]]:
+    cuts = np.linspace(0, n, max(1, round(n / LANES)) + 1).astype(int).tolist()
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
 def encode_blocks(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
     """Payload of each block of ids: magic, number of ids, their CRC-32, vocabulary, then the coder's words."""
     done: list[bytes] = [b""] * len(blocks)
-    for s in range(0, len(blocks), LANES):
-        order = sorted(range(s, min(s + LANES, len(blocks))), key=lambda i: -len(blocks[i]))
+    for s, e in _passes(len(blocks)):
+        order = sorted(range(s, e), key=lambda i: -len(blocks[i]))
         sizes = np.array([len(blocks[i]) for i in order], np.int64)
         coded: list[bytes] = [b""] * len(order)
         if sizes.max():
@@ -308,8 +317,8 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
     for i, h in enumerate(heads):
         groups.setdefault(h[2], []).append(i)
     for vocabulary, members in groups.items():
-        for s in range(0, len(members), LANES):
-            order = sorted(members[s : s + LANES], key=lambda i: -heads[i][0])
+        for s, e in _passes(len(members)):
+            order = sorted(members[s:e], key=lambda i: -heads[i][0])
             sizes = np.array([heads[i][0] for i in order], np.int64)
             if not sizes.max():
                 continue

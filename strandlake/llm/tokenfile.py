@@ -79,11 +79,11 @@ class _Writer:
         return entries
 
     def blocks(self, last: bool) -> Iterator[pa.RecordBatch]:
-        """The whole blocks so far, or all that is left."""
+        """A pass of blocks, or all that is left."""
         ids = np.concatenate(self.rest) if self.rest else np.zeros(0, np.int32)
-        n = len(ids) if last else len(ids) // BLOCK_IDS * BLOCK_IDS
-        for s in range(0, n, LANES * BLOCK_IDS):
-            group = [ids[i : min(i + BLOCK_IDS, n)] for i in range(s, min(s + LANES * BLOCK_IDS, n), BLOCK_IDS)]
+        n = len(ids) if last else LANES * BLOCK_IDS
+        if n:
+            group = [ids[i : min(i + BLOCK_IDS, n)] for i in range(0, n, BLOCK_IDS)]
             first = self.first + np.cumsum([0, *map(len, group)])
             columns = [
                 pa.array([self.part] * len(group), pa.int32()),
@@ -102,7 +102,7 @@ def _written(batches: Iterator[pa.RecordBatch], path: str, end: int, vocabulary:
     for run in runs(batches):
         ids, counts = own.encode(run)
         out.add(np.insert(ids, np.cumsum(counts), np.int32(end)), run.batch.column(0).to_pylist(), (counts + 1).tolist())
-        if out.held >= LANES * BLOCK_IDS:
+        while out.held >= 2 * LANES * BLOCK_IDS:
             yield from out.blocks(False)
     yield from out.blocks(True)
 
@@ -118,22 +118,22 @@ def write(documents: DataFrame, folder: str, path: str | None = None, end: int =
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What each document has in each block, ``LANES`` blocks at a time."""
+    """What each document has in each block, about ``LANES`` blocks at a time."""
     held: list[pa.RecordBatch] = []
 
     def work(last: bool) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks() if held else None
         n = rows.num_rows if held else 0
-        n = n if last else n // LANES * LANES
-        for s in range(0, n, LANES):
-            batch = rows.slice(s, min(LANES, n - s)).to_pydict()
+        n = n if last else LANES
+        if n:
+            batch = rows.slice(0, n).to_pydict()
             out: list[tuple] = []
             for part, block, first, entries, ids in zip(*(batch[c] for c in ("part", "block", "first", "documents")), decode_blocks(batch["payload"])):
                 raw, at = memoryview(np.ascontiguousarray(ids).astype("<u4").tobytes()), 0
                 for i, e in enumerate(entries):
                     m = e["n"]
                     # the last of a block goes on if it doesn't end there, the first may have begun before
-                    whole = e["ends"] and (i > 0 or not at and e["number"] == 0)
+                    whole = e["ends"] and (i > 0 or first == 0)
                     out.append((part, e["number"], e["doc_id"], block, first + at, m, zlib.crc32(raw[4 * at : 4 * (at + m)]), whole))
                     at += m
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), _KINDS)], [f.split()[0] for f in _PIECES.split(", ")])
@@ -141,7 +141,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= LANES:
+        while sum(b.num_rows for b in held) >= 2 * LANES:
             yield from work(False)
     yield from work(True)
 
