@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
+from strandlake import logs
 from strandlake.operators import sequences
 from strandlake.plans import clustering
 from strandlake.session import get_session
@@ -34,9 +35,14 @@ def _contigs(a: argparse.Namespace, spark) -> int:
         return 1
     contigs = files.fasta(spark, a.fna) if a.fna else files.genbank(spark, a.gbk).withColumn("ord", F.col("record"))
     ids = sequences.passing(contigs, a.min_length)
-    files.write_text(files.fasta_text(sequences.keep(contigs, ids)).select("value"), f"{a.out_dir}/filtered.fna")
+    kept = sequences.keep(contigs, ids)
+    files.write_text(files.fasta_text(kept), f"{a.out_dir}/filtered.fna", order="ord")
+    if a.gbk and not a.fna:
+        held = files.distinct_ids(kept)
+        features = files.genbank_features(spark, a.gbk).join(held.select("path", "record", "id"), ["path", "record"])
+        files.write_text(files.genbank_text(held, features), f"{a.out_dir}/filtered.gbk", order="id")
     if a.faa:
-        files.write_text(files.fasta_text(sequences.keep_proteins(files.fasta(spark, a.faa), ids)), f"{a.out_dir}/filtered.faa")
+        files.write_text(files.fasta_text(sequences.keep_proteins(files.fasta(spark, a.faa), ids)), f"{a.out_dir}/filtered.faa", order="ord")
     if a.gff:
         files.write_text(sequences.keep_gff(files.gff(spark, a.gff), ids).withColumnRenamed("raw", "value"), f"{a.out_dir}/filtered.gff", order="line_no")
     return 0
@@ -117,6 +123,8 @@ def _project(a: argparse.Namespace, spark) -> int:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="strandlake")
+    top.add_argument("--log-level", default="INFO")
+    top.add_argument("--log-file")
     commands = top.add_subparsers(dest="command", required=True)
     c = commands.add_parser("cluster")
     c.add_argument("--input", required=True)
@@ -170,7 +178,11 @@ def parser() -> argparse.ArgumentParser:
 
 def main(args: Sequence[str] | None = None) -> int:
     a = parser().parse_args(args)
-    return a.run(a, get_session())
+    log = logs.setup(a.log_level, a.log_file)
+    log.info("started", command=a.command)
+    code = a.run(a, get_session())
+    log.info("ended", command=a.command, code=code)
+    return code
 
 
 if __name__ == "__main__":

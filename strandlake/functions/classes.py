@@ -16,12 +16,121 @@ BASE_NAMES = {"polyketide": "Polyketide", "nrp": "NRP", "ripp": "RiPP", "terpene
 
 # Product types of each class, written with underscores.
 PRODUCT_TYPES = {
-    "Polyketide": "benzoxazole t1pks t2pks t3pks transat_pks hgle_ks prodigiosin ppys_ks arylpolyene ladderane hr_t2pks pufa pks_like transat_pks_like",
-    "NRP": "nrps cdps fungal_cdps rcdps thioamide_nrp napaa mycosporine t3nrps_iterative nrp_metallophore isocyanide_nrp nrps_like",
-    "RiPP": "atropopeptide lanthipeptide_class_i lanthipeptide_class_ii lanthipeptide_class_iii lanthipeptide_class_iv lanthipeptide_class_v lipolanthine azole_containing_ripp thioamitides linaridin cyanobactin glycocin lassopeptide sactipeptide bottromycin microviridin proteusin ranthipeptide redox_cofactor darobactin triceptide archaeal_ripp epipeptide cyclic_lactone_autoinducer spliceotide ras_ripp fungal_ripp guanidinotides crocagin methanobactin ripp_like rre_containing thiopeptide lap lanthipeptide lassopeptide_like",
-    "Terpene": "terpene terpene_precursor",
-    "Saccharide": "oligosaccharide",
-    "Other": "aureonuclemycin polyhalogenated_pyrrole leupeptin resorcinol blactam 2dos amglyccycl aminocoumarin azoxy_crosslink azoxy_dimer cytokinin ni_siderophore ectoine naggn butyrolactone indole lincosamides nucleoside phosphoglycolipid melanin furan hserlactone phenazine phosphonate other acyl_amino_acids pbde polyyne betalactone tropodithietic_acid pyrrolidine nitropropanoic_acid opine_like_metallophore aminopolycarboxylic_acid isocyanide hydrogen_cyanide hydroxytropolone deazapurine phosphonate_like",
+    "Polyketide": [
+        "benzoxazole",
+        "t1pks",
+        "t2pks",
+        "t3pks",
+        "transat_pks",
+        "hgle_ks",
+        "prodigiosin",
+        "ppys_ks",
+        "arylpolyene",
+        "ladderane",
+        "hr_t2pks",
+        "pufa",
+        "pks_like",
+        "transat_pks_like",
+    ],
+    "NRP": [
+        "nrps",
+        "cdps",
+        "fungal_cdps",
+        "rcdps",
+        "thioamide_nrp",
+        "napaa",
+        "mycosporine",
+        "t3nrps_iterative",
+        "nrp_metallophore",
+        "isocyanide_nrp",
+        "nrps_like",
+    ],
+    "RiPP": [
+        "atropopeptide",
+        "lanthipeptide_class_i",
+        "lanthipeptide_class_ii",
+        "lanthipeptide_class_iii",
+        "lanthipeptide_class_iv",
+        "lanthipeptide_class_v",
+        "lipolanthine",
+        "azole_containing_ripp",
+        "thioamitides",
+        "linaridin",
+        "cyanobactin",
+        "glycocin",
+        "lassopeptide",
+        "sactipeptide",
+        "bottromycin",
+        "microviridin",
+        "proteusin",
+        "ranthipeptide",
+        "redox_cofactor",
+        "darobactin",
+        "triceptide",
+        "archaeal_ripp",
+        "epipeptide",
+        "cyclic_lactone_autoinducer",
+        "spliceotide",
+        "ras_ripp",
+        "fungal_ripp",
+        "guanidinotides",
+        "crocagin",
+        "methanobactin",
+        "ripp_like",
+        "rre_containing",
+        "thiopeptide",
+        "lap",
+        "lanthipeptide",
+        "lassopeptide_like",
+    ],
+    "Terpene": [
+        "terpene",
+        "terpene_precursor",
+    ],
+    "Saccharide": [
+        "oligosaccharide",
+    ],
+    "Other": [
+        "aureonuclemycin",
+        "polyhalogenated_pyrrole",
+        "leupeptin",
+        "resorcinol",
+        "blactam",
+        "2dos",
+        "amglyccycl",
+        "aminocoumarin",
+        "azoxy_crosslink",
+        "azoxy_dimer",
+        "cytokinin",
+        "ni_siderophore",
+        "ectoine",
+        "naggn",
+        "butyrolactone",
+        "indole",
+        "lincosamides",
+        "nucleoside",
+        "phosphoglycolipid",
+        "melanin",
+        "furan",
+        "hserlactone",
+        "phenazine",
+        "phosphonate",
+        "other",
+        "acyl_amino_acids",
+        "pbde",
+        "polyyne",
+        "betalactone",
+        "tropodithietic_acid",
+        "pyrrolidine",
+        "nitropropanoic_acid",
+        "opine_like_metallophore",
+        "aminopolycarboxylic_acid",
+        "isocyanide",
+        "hydrogen_cyanide",
+        "hydroxytropolone",
+        "deazapurine",
+        "phosphonate_like",
+    ],
 }
 
 # The older exact map.
@@ -33,7 +142,7 @@ FAMILIES = ["antismash", "gecco", "sanntis", "mibig"]
 @lru_cache(1)
 def product_classes() -> dict[str, str]:
     """Class of every product type and base name; a type goes before a base name."""
-    return {**BASE_NAMES, **{t: c for c, types in PRODUCT_TYPES.items() for t in types.split()}}
+    return {**BASE_NAMES, **{t: c for c, types in PRODUCT_TYPES.items() for t in types}}
 
 
 def tokens_pattern() -> str:

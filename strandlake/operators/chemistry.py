@@ -132,15 +132,18 @@ def _asked(batches: Iterator[pd.DataFrame], load: Callable[[], Service], polls:
         yield pd.DataFrame(rows, columns=["smiles", "inchikey", "chemont_ids", "direct_parent", "classification", "error"])
 
 
-def classify_remote(compounds: DataFrame, load: Callable[[], Service], cache: DataFrame | None = None, polls: int = 30) -> DataFrame:
+def classify_remote(compounds: DataFrame, load: Callable[[], Service], cache: DataFrame | None = None, polls: int = 30, strict: bool = False) -> DataFrame:
     """(id, smiles, inchikey, chemont_ids, direct_parent, classification, error), each distinct compound asked for once.
 
-    ``cache``: earlier results by smiles, which are joined first and not asked for again.
+    ``cache``: earlier results by smiles, which are joined first and not asked for again. A service that can't be
+    reached or gives no answer leaves its error in the row; with ``strict`` it fails the query.
     """
     schema = "smiles string, inchikey string, chemont_ids array<string>, direct_parent string, classification string, error string"
     wanted = compounds.select("smiles").filter("smiles is not null").distinct()
     if cache is not None:
         wanted = wanted.join(cache.select("smiles"), "smiles", "left_anti")
     asked = wanted.mapInPandas(partial(_asked, load=load, polls=polls), schema)
+    if strict:
+        asked = asked.filter(F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("the service failed: "), "error")).cast("boolean")).otherwise(True))
     known = asked if cache is None else asked.unionByName(cache)
     return compounds.select("id", "smiles").join(known, "smiles", "left").select("id", "smiles", "inchikey", "chemont_ids", "direct_parent", "classification", "error")

@@ -112,3 +112,9 @@ def by_greatest(scores: DataFrame, ic: DataFrame) -> DataFrame:
     most = ic.agg(F.coalesce(F.max("ic"), F.lit(0.0)).alias("_most"))
     value = F.when(F.col("_most") > 0, F.least(F.col("score") / F.col("_most"), F.lit(1.0))).otherwise(0.0)
     return scores.crossJoin(F.broadcast(most)).withColumn("score", value).drop("_most")
+
+
+def lineage_patterns(terms: DataFrame, closed: DataFrame) -> DataFrame:
+    """(term, ancestor, dist, smarts): the patterns of each term and of all above it; terms (id, smarts) without one add none."""
+    held = terms.filter("smarts is not null").select(F.col("id").alias("ancestor"), "smarts")
+    return closed.join(held, "ancestor").select("term", "ancestor", "dist", "smarts")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,8 +100,9 @@ def gff(spark: SparkSession, path: str) -> DataFrame:
 
 
 def obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Terms (ord, id, name, smarts) and links (child, parent, ord) of an OBO file; the last of several terms of an id counts."""
-    raw = spark.read.option("lineSep", "\n[").text(path).select(F.monotonically_increasing_id().alias("ord"), "value")
+    """Terms (ord, id, name, smarts) and links (child, parent, ord) of an OBO file, or of a zip archive with one; the last
+    of several terms of an id counts."""
+    raw = _obo_stanzas(spark, path)
     stanza = raw.filter(F.regexp_replace("value", r"^\[", "").startswith("Term]"))
     tag = lambda n: F.regexp_extract("value", rf"(?m)^{n}:[ \t]*(.*?)[ \t\r]*$", 1)
     smarts = F.nullif(F.regexp_extract("value", r'(?m)^xref: SMARTS "(.*)"', 1), F.lit(""))
@@ -109,13 +113,25 @@ def obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return last.select("ord", "id", "name", "smarts"), links
 
 
-def obo_text(archive: bytes) -> str:
-    """Text of the first .obo file in a zip archive."""
-    import io
+def _stanzas(archives: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The stanzas of the first .obo file of each zip archive."""
+    for batch in archives:
+        out = []
+        for archive in batch:
+            with zipfile.ZipFile(io.BytesIO(archive.as_py())) as z:
+                name = next((n for n in z.namelist() if n.endswith(".obo")), None)
+                if name is None:
+                    raise ValueError("the archive holds no .obo file")
+                out.append(z.read(name).decode("utf-8").split("\n["))
+        yield pa.array(out, pa.list_(pa.string()))
 
-    with zipfile.ZipFile(io.BytesIO(archive)) as z:
-        name = next(n for n in z.namelist() if n.endswith(".obo"))
-        return z.read(name).decode("utf-8")
+
+def _obo_stanzas(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, value) of an OBO file or of a zip archive that holds one."""
+    if path.endswith(".zip"):
+        held = spark.read.format("binaryFile").load(path)
+        return held.select(F.posexplode(F.arrow_udf(_stanzas, "array<string>")("content")).alias("ord", "value")).select(F.col("ord").cast("long"), "value")
+    return spark.read.option("lineSep", "\n[").text(path).select(F.monotonically_increasing_id().alias("ord"), "value")
 
 
 def tsv(spark: SparkSession, path: str, needed: tuple[str, ...]) -> DataFrame:
@@ -132,7 +148,8 @@ def tsv(spark: SparkSession, path: str, needed: tuple[str, ...]) -> DataFrame:
 def fasta_text(records: DataFrame) -> DataFrame:
     """(value): a FASTA entry for each record (description, seq), lines of 60 letters."""
     lines = F.regexp_replace("seq", f"(.{{{_WRAP}}})(?=.)", "$1\n")
-    return records.select(F.concat(F.lit(">"), "description", F.lit("\n"), lines).alias("value"))
+    rest = [c for c in ("ord",) if c in records.columns]
+    return records.select(*rest, F.concat(F.lit(">"), "description", F.lit("\n"), lines).alias("value"))
 
 
 def origin(seq: Column) -> Column:
@@ -181,8 +198,9 @@ def write_regions(regions: DataFrame, path: str, features: DataFrame | None = No
 
 
 def write_table(df: DataFrame, path: str, metadata: dict | None = None) -> None:
-    """Parquet with zstd, and the metadata as a JSON row beside it."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """Parquet with zstd, NaN as null, and the metadata as a JSON row beside it."""
+    whole = lambda c, t: F.nullif(F.col(c), F.lit(float("nan")).cast(t)).alias(c) if t in ("float", "double") else F.col(c)
+    df.select(*(whole(f"`{c}`", t).alias(c) for c, t in df.dtypes)).write.mode("overwrite").option("compression", "zstd").parquet(path)
     if metadata is not None:
         df.sparkSession.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "value string").write.mode("overwrite").text(path.rstrip("/") + "_metadata")
 
@@ -192,12 +210,11 @@ def write_matches(matches: DataFrame, path: str) -> None:
 
 
 def unwrap_ids(text: Column, qualifiers: tuple[str, ...] = ("locus_tag", "protein_id", "gene")) -> Column:
-    """Joins wrapped values of identifier qualifiers onto one line, over a whole GenBank text; others stay as they are.
-
-    Each pass joins one continuation of every value, so it is repeated for long ones; joined text comes out unchanged.
-    """
-    pattern = rf'(\n {{21}}/(?:{"|".join(qualifiers)})="[^"\n]*?)[ \t]*\n {{21}}(?! */)[ \t]*([^"\n]*?"?)[ \t]*(?=\n|$)'
-    out = F.concat(F.lit("\n"), text)
-    for _ in range(6):
-        out = F.regexp_replace(out, pattern, "$1$2")
+    """Joins wrapped values of identifier qualifiers onto one line, over a whole GenBank text, however many lines they
+    take; others stay as they are, and joined text comes out unchanged."""
+    value = rf'\n {{21}}/(?:{"|".join(qualifiers)})="[^"\n]*+(?:\n {{21}}(?! */)[^"\n]*+)*+"?'
+    whole = F.concat(F.lit("\n"), text)
+    joined = F.transform(F.regexp_extract_all(whole, F.lit(value), 0), lambda v: F.concat(F.lit("\n"), F.regexp_replace(F.substring(v, 2, 2_147_483_647), r"[ \t\r]*\n[ \t]*", "")))
+    between = F.split(whole, value)
+    out = F.array_join(F.zip_with(between, F.concat(joined, F.array(F.lit(""))), lambda t, v: F.concat(t, v)), "")
     return F.substring(out, 2, 2_147_483_647)

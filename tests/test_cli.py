@@ -63,6 +63,7 @@ def test_json_log_lines(tmp_path):
     from strandlake import logs
 
     log = logs.setup("info", str(tmp_path / "l"))
-    log.info("héllo %d", 3)
-    assert json.loads((tmp_path / "l").read_text())["message"] == "héllo 3"
+    log.info("héllo", n=3)
+    line = json.loads((tmp_path / "l").read_text())
+    assert line["msg"] == "héllo" and line["context"]["n"] in (3, "3")
     assert logs.package_version("pyspark") and logs.package_version("no-such-package") == ""

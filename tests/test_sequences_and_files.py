@@ -164,3 +164,48 @@ def test_settings(tmp_path):
     assert got == {"a": {"b": "there", "c": 7, "e": 9}, "d": 5}
     with pytest.raises(KeyError):
         config.expand("${NOT_SET}", {})
+
+
+def test_long_wrapped_ids_come_on_one_line(spark):
+    pad = "\n" + " " * 21
+    parts = [f"part{i}" for i in range(12)]
+    text = f"     CDS             1..9{pad}/locus_tag=\"{pad.join(parts)}\"{pad}/product=\"two{pad}lines\"{pad}/gene=\"open{pad}/note=\"x\""
+    got = spark.createDataFrame([(text,)], "t string").select(files.unwrap_ids(F.col("t"))).first()[0]
+    assert got == f"     CDS             1..9{pad}/locus_tag=\"{''.join(parts)}\"{pad}/product=\"two{pad}lines\"{pad}/gene=\"open{pad}/note=\"x\""
+
+
+def test_obo_in_an_archive_equals_the_plain_file(spark, tmp_path):
+    import zipfile
+
+    text = 'format-version: 1.2\n\n[Term]\nid: T:1\nname: one\nxref: SMARTS "C"\n\n[Term]\nid: T:2\nname: two\nis_a: T:1 ! one\n'
+    (tmp_path / "o.obo").write_text(text)
+    with zipfile.ZipFile(tmp_path / "o.zip", "w") as z:
+        z.writestr("o.obo", text)
+    rows = lambda p: [sorted(tuple(r)[1:] for r in t.collect()) if i == 0 else sorted(tuple(r) for r in t.collect()) for i, t in enumerate(files.obo(spark, str(tmp_path / p)))]
+    assert rows("o.zip") == rows("o.obo") and len(rows("o.zip")[0]) == 2
+
+
+def test_nan_is_written_as_null(spark, tmp_path):
+    files.write_table(spark.createDataFrame([(1, float("nan")), (2, 0.5)], "id long, x double"), str(tmp_path / "t"))
+    assert [r["x"] for r in spark.read.parquet(str(tmp_path / "t")).orderBy("id").collect()] == [None, 0.5]
+
+
+def test_lineage_patterns(spark):
+    from strandlake.operators import ontology
+
+    terms = spark.createDataFrame([("A", "C"), ("B", None), ("D", "N")], "id string, smarts string")
+    closed = ontology.closure(terms, spark.createDataFrame([("B", "A"), ("D", "B")], "child string, parent string"))
+    assert sorted(tuple(r) for r in ontology.lineage_patterns(terms, closed).collect()) == [("A", "A", 0, "C"), ("B", "A", 1, "C"), ("D", "A", 2, "C"), ("D", "D", 0, "N")]
+
+
+def test_a_service_that_fails_can_fail_the_query(spark):
+    from strandlake.operators import chemistry
+
+    class Gone(chemistry.FakeService):
+        def lookup(self, key):
+            raise ConnectionError("unreachable")
+
+    df = spark.createDataFrame([("1", "CCO")], "id string, smiles string")
+    assert chemistry.classify_remote(df, Gone).first()["error"] == "unreachable"
+    with pytest.raises(Exception, match="unreachable"):
+        chemistry.classify_remote(df, Gone, strict=True).collect()
