@@ -8,8 +8,9 @@ item's k-gram those around it there; a hit is extended by comparing both. Items
 of fewer than ``SPAN`` words are one window each and meet the documents' grams
 of just that length.
 
-Defined results: null and empty texts have no words and no hit; repeated rows
-come back as often as they stand; items without a word match nothing; repeated
+Defined results: null and empty texts have no words and no hit; a text of any
+length is read whole; repeated rows come back as often as they stand, those of a
+null doc_id too; further columns are left out, or pass through ``clean``; items without a word match nothing; repeated
 items count once for each item_id, all of a null id as one, which stands last in
 items and has no part in their hash; an empty benchmark leaves every row clean.
 """
@@ -31,8 +32,8 @@ from strandlake.llm.words import ALNUM, LOWER, U64, Run, Words, grams, runs, sam
 
 SPAN = 10
 GRAM = 5
-#: Items' k-grams up to this many are sent to every task; beyond it both sides are shuffled.
-BROADCAST_GRAMS = 1_000_000
+#: Items' k-grams up to this many (some 130 bytes each) are sent to every task; beyond it both sides are shuffled.
+BROADCAST_GRAMS = 250_000
 
 _FIELDS = "doc_id long, row_hash long, pos int, h long, near binary"
 
@@ -190,7 +191,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
 
 def clean(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
     """The rows, with their own columns, that share no item's window."""
-    found, _ = hits(documents, benchmark, span, k)
+    # which item it is doesn't matter here, so grams that many items hold are joined once
+    found, _ = hits(documents, benchmark.withColumn("item_id", F.lit(None).cast("string")), span, k)
     bad = stored(found.select("doc_id", "row_hash").distinct(), "contaminated")
     same = documents["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & (text_hash(documents["text"]) == bad["row_hash"])
     return documents.join(bad, same, "left_anti")

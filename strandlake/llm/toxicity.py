@@ -3,10 +3,11 @@
 The kernel of two words counts the three-letter subsequences (word ends
 included) they share, each weighted by ``DECAY`` to the power of its span in
 both, so that a gap or an inserted character costs a factor rather than the
-match. A bounded sample of labelled documents teaches it: words inherit the
-labels of their sentences, landmarks are the words that lean most to either
+match. A bounded sample of labelled documents teaches it: all their words inherit
+the labels of their sentences, landmarks are the words that lean most to either
 side, the kernel with the landmarks is whitened (Nyström) and a linear support
-vector machine is trained on it. The machine's sum over the landmarks is linear
+vector machine is trained on it by Newton steps, whose sums over the words are
+taken by Spark. The machine's sum over the landmarks is linear
 in the subsequence weights of a word, so it is folded into one table by
 subsequence, and every word of every whole text is scored by looking up its
 subsequences. A logistic step turns the decisions on a document's words into a
@@ -16,9 +17,11 @@ Marks inside words are dropped, digits read as the letters they stand for, and
 runs of single letters joined ("i d i o t") before scoring.
 
 Defined results: a text that is null, empty or without words gets the score of
-a document with no toxic word; without labels of both classes every score is 0;
-repeated rows come back as often as they stand; ties between landmarks go by
-name; an empty table gives an empty result.
+a document with no toxic word; texts and words of any length are read whole;
+without labels of both classes every score is 0; labels of one document that
+contradict each other count as toxic; repeated rows come back as often as they
+stand, those of a null doc_id too; ties between landmarks go by name; an empty
+table gives an empty result; further columns are left out.
 """
 
 from __future__ import annotations
@@ -32,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import held_out, labelled_sample, mapped, stored, table
+from strandlake.llm.common import dropped, held_out, labelled_sample, mapped, stored, table
 from strandlake.llm.words import Run, runs
 
 #: Labelled documents that the machine is trained on, at most; two thirds teach the words, the rest the documents' step.
 FIT_ROWS = 8000
-#: Words that the machine is trained on, at most.
-FIT_WORDS = 24_000
 LANDMARKS = 768
+#: Newton steps at most, tasks that take their sums, words side by side in one, and letters of a word that takes a pass of its own.
+STEPS, PARTS, TOGETHER, LONG = 6, 6, 500, 64
 DECAY = 0.7
 RIDGE = 1e-7
 #: Weight of words that lean to toxic documents, for each standard deviation that they do.
@@ -140,11 +143,11 @@ def _subsequences(words: Stream) -> Iterator[tuple[np.ndarray, np.ndarray, float
             yield at, outer + x[at - j] * SYMBOLS, DECAY**d
 
 
-def decisions(words: Stream, weights: np.ndarray) -> np.ndarray:
-    """Sum of the weights of each word's subsequences, over its length; weights may have several columns."""
+def decisions(words: Stream, weights: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """Sum of the weights of each word's subsequences, over its length; weights may have several columns, and ``rows`` their row for each subsequence."""
     total = np.zeros((len(words.x), *weights.shape[1:]), np.float32)
     for at, code, w in _subsequences(words):
-        total[at] += np.float32(w) * weights[code]
+        total[at] += np.float32(w) * weights[code if rows is None else rows[code]]
     if not len(words.begins):
         return np.zeros((0, *weights.shape[1:]), np.float32)
     ends = words.begins + words.sizes + 2
@@ -222,51 +225,104 @@ def _adam(slope, size: int, steps: int, rate: float) -> np.ndarray:
     return state
 
 
-def train_words(words: pd.DataFrame, landmarks: int = LANDMARKS) -> tuple[np.ndarray, float]:
-    """The folded table and bias, from words (word, toxic, clean: documents that hold it)."""
-    words = words.sort_values("word").reset_index(drop=True)
-    toxic, clean = words["toxic"].to_numpy(float), words["clean"].to_numpy(float)
-    prior = toxic.sum() / (toxic.sum() + clean.sum())
-    lean = (toxic - (toxic + clean) * prior) / np.sqrt((toxic + clean) * prior * (1 - prior))
-    order = np.lexsort((np.arange(len(words)), -np.abs(lean)))
-    up = [i for i in order if lean[i] > 0][: landmarks * 2 // 3]
-    down = [i for i in np.lexsort((np.arange(len(words)), -clean)) if lean[i] <= 0][: landmarks - len(up)]
-    marks = _stream_of([words["word"][i] for i in up + down])
-    phi = np.zeros((TABLE, len(up + down)), np.float32)
-    of = np.repeat(np.arange(len(marks.sizes)), marks.sizes + 1)  # of each place after a word's first mark
-    norm = _norms(int(marks.sizes.max()))[marks.sizes]
-    for at, code, w in _subsequences(marks):
-        np.add.at(phi, (code, of[at - 1]), w / norm[of[at - 1]])
-    kernel = phi.T @ phi
-    values, vectors = np.linalg.eigh(kernel + 1e-3 * np.eye(len(kernel)))
-    whiten = (vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    # 500 words at a time: what stands beside the features stays small
-    cuts = range(0, len(words), 500)
-    texts = words["word"].to_numpy()
-    wide = np.empty((len(words), len(kernel) + 1), np.float32)
-    for s in cuts:
-        wide[s : s + 500, :-1] = decisions(_stream_of(list(texts[s : s + 500])), phi) @ whiten
-    wide[:, -1] = 1
-    root = np.sqrt(toxic + clean)  # or else the commonest words are all that counts
-    toxic, clean = toxic * np.where(lean > 2, 1 + GAIN * lean, 1.0) / root, clean / root
-    total = toxic.sum() + clean.sum()
-    toxic, clean = toxic / total, clean / total
-    held = np.diag(np.append(np.full(len(kernel), RIDGE), 1e-9))
-    state = np.zeros(wide.shape[1])
-    for _ in range(20):  # Newton steps on the squared hinge: exact once the same words are inside the margin
-        square, pull = held.copy(), np.zeros(wide.shape[1])
-        for s in cuts:
-            part = wide[s : s + 500].astype(float)
-            f = part @ state
-            a, c = toxic[s : s + 500] * (f < 1), clean[s : s + 500] * (f > -1)
-            square += (part.T * (a + c)) @ part
-            pull += part.T @ (a - c)
-        now = np.linalg.solve(square, pull)
+@dataclass
+class Landmarks:
+    """The landmarks' subsequences: number, landmark and weight of each, over the landmark's length."""
+
+    code: np.ndarray
+    of: np.ndarray
+    weight: np.ndarray
+    n: int
+
+    @classmethod
+    def from_words(cls, words: list[str]) -> Landmarks:
+        marks = _stream_of(words)
+        of = np.repeat(np.arange(len(marks.sizes)), marks.sizes + 1)  # of each place after a word's first mark
+        norm = _norms(int(marks.sizes.max()))[marks.sizes]
+        parts = [(code, of[at - 1], w / norm[of[at - 1]]) for at, code, w in _subsequences(marks)]
+        key = np.concatenate([c.astype(np.int64) * len(words) + o for c, o, _ in parts])
+        held, place = np.unique(key, return_inverse=True)
+        return cls(held // len(words), held % len(words), np.bincount(place, np.concatenate([w for _, _, w in parts])), len(words))
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Row of each subsequence and the rows (landmarks wide); the last row, of zeros, is for those in no landmark."""
+        used, row = np.unique(self.code, return_inverse=True)
+        rows = np.full(TABLE, len(used), np.int64)
+        rows[used] = np.arange(len(used))
+        table = np.zeros((len(used) + 1, self.n), np.float32)
+        table[row, self.of] = self.weight
+        return rows, table
+
+    def whitening(self) -> np.ndarray:
+        _, table = self.table()
+        values, vectors = np.linalg.eigh(table.T @ table + 1e-3 * np.eye(self.n))
+        return ((vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T).astype(np.float32)
+
+
+def _kernels(words: list[str], rows: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """(words, landmarks): the kernel of each word with each landmark."""
+    out = np.zeros((len(words), table.shape[1]), np.float32)
+    short = [i for i, w in enumerate(words) if len(w) <= LONG]
+    for s in range(0, len(short), TOGETHER):
+        some = short[s : s + TOGETHER]
+        out[some] = decisions(_stream_of([words[i] for i in some]), table, rows)
+    for i in (i for i, w in enumerate(words) if len(w) > LONG):
+        one = _stream_of([words[i]])
+        total = np.zeros(len(table))
+        for _, code, w in _subsequences(one):
+            total += w * np.bincount(rows[code], minlength=len(table))
+        out[i] = total @ table / _norms(int(one.sizes[0]))[one.sizes[0]]
+    return out
+
+
+def _newton(batches: Iterator[pa.RecordBatch], marks: Landmarks, whiten: np.ndarray, state: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The sums (square, pull) of a Newton step of the squared hinge over rows (word, toxic, clean), the latter two weights."""
+    rows, table = marks.table()
+    square, pull = np.zeros((marks.n + 1, marks.n + 1)), np.zeros(marks.n + 1)
+    for batch in batches:
+        for s in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(s, TOGETHER)
+            x = np.ones((part.num_rows, marks.n + 1), np.float32)
+            x[:, :-1] = _kernels(part.column(0).to_pylist(), rows, table) @ whiten
+            f = x @ state
+            a, c = part.column(1).to_numpy() * (f < 1), part.column(2).to_numpy() * (f > -1)
+            square += (x.T * (a + c).astype(np.float32)) @ x
+            pull += x.T @ (a - c)
+    yield pa.RecordBatch.from_arrays([pa.array([square.tobytes()], pa.binary()), pa.array([pull.tobytes()], pa.binary())], ["square", "pull"])
+
+
+def train_words(words: DataFrame, landmarks: int = LANDMARKS) -> tuple[np.ndarray, float] | None:
+    """The folded table and bias, from words (word, toxic, clean: documents that hold it); None without both classes.
+
+    What reaches the driver are the landmarks and, for each step, sums of a fixed size.
+    """
+    toxic, clean = words.agg(F.sum("toxic"), F.sum("clean")).first()
+    if not toxic or not clean:
+        return None
+    prior, n = toxic / (toxic + clean), F.col("toxic") + F.col("clean")
+    lean = (F.col("toxic") - n * prior) / F.sqrt(n * (prior * (1 - prior)))
+    leaning = words.withColumn("lean", lean)
+    up = [r["word"] for r in leaning.filter("lean > 0").orderBy(F.desc("lean"), "word").limit(landmarks * 2 // 3).collect()]
+    down = [r["word"] for r in leaning.filter("lean <= 0").orderBy(F.desc("clean"), "word").limit(landmarks - len(up)).collect()]
+    marks = Landmarks.from_words(up + down)
+    whiten = marks.whitening()
+    root = F.sqrt(n)  # or else the commonest words are all that counts
+    weighed = leaning.select("word", (F.col("toxic") * F.when(F.col("lean") > 2, 1 + GAIN * F.col("lean")).otherwise(1.0) / root).alias("toxic"), (F.col("clean") / root).alias("clean"))
+    weighed = stored(weighed.repartition(PARTS, "word").sortWithinPartitions("word"), "toxic-words")
+    total = weighed.agg(F.sum((F.col("toxic") + F.col("clean")).cast("decimal(28,9)"))).first()[0]
+    held = np.diag(np.append(np.full(marks.n, RIDGE), 1e-9))
+    state = np.zeros(marks.n + 1)
+    for _ in range(STEPS):  # exact once the same words are inside the margin
+        sums = mapped(weighed, partial(_newton, marks=marks, whiten=whiten, state=state), "square binary, pull binary").collect()
+        square = sum(np.frombuffer(r["square"]).reshape(marks.n + 1, -1) for r in sums) / float(total) + held
+        now = np.linalg.solve(square, sum(np.frombuffer(r["pull"]) for r in sums) / float(total))
         done = np.abs(now - state).max() < 1e-6
         state = now
         if done:
             break
-    return phi @ (whiten @ state[:-1]).astype(np.float32), float(state[-1])
+    dropped(weighed)
+    rows, table = marks.table()
+    return (table @ (whiten @ state[:-1]).astype(np.float32))[rows], float(state[-1])
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +330,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for run in runs(batches):
         words = stream(run)
         letters = (words.x + 96).tobytes().decode("latin-1")
-        seen = {(r, letters[b + 1 : b + 1 + n]) for r, b, n in zip(words.row.tolist(), words.begins.tolist(), words.sizes.tolist()) if n <= 40}
+        seen = {(r, letters[b + 1 : b + 1 + n]) for r, b, n in zip(words.row.tolist(), words.begins.tolist(), words.sizes.tolist()) }
         toxic = np.asarray(run.batch.column(1).to_pylist())
         rows = np.array([r for r, _ in seen], np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([w for _, w in seen], pa.string()), pa.array(toxic[rows].astype(np.int64) if len(rows) else [], pa.int64())], ["word", "toxic"])
@@ -288,20 +344,16 @@ def _documents(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: flo
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Machine | None:
-    """Train on at most ``rows`` labelled documents; None without both classes.
-
-    Words are counted by Spark. At most ``FIT_WORDS`` of them, those of most
-    documents and then by hash, reach the driver.
-    """
+    """Train on at most ``rows`` labelled documents and all their words; None without both classes."""
     sample = labelled_sample(labels.filter("toxic is not null"), documents, rows, ["toxic"])
     sample = stored(sample.select("doc_id", F.col("toxic").cast("int"), "text"), "toxic-sample")
     first = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(3)) > 0
     counted = mapped(sample.filter(first), _word_rows, "word string, toxic long")
-    counted = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
-    held = counted.orderBy(F.desc(F.col("toxic") + F.col("clean")), F.xxhash64("word"), "word").limit(FIT_WORDS).toPandas()
-    if not len(held) or not held["toxic"].sum() or not held["clean"].sum():
+    counted = stored(counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean")), "toxic-counts")
+    trained = train_words(counted)
+    if trained is None:
         return None
-    weights, bias = train_words(held)
+    weights, bias = trained
     seen = mapped(sample.filter(~first), partial(_documents, weights=weights, bias=bias), "doc_id long, toxic int, x array<double>").toPandas().sort_values("doc_id")
     y = seen["toxic"].to_numpy(float)
     if len(set(y)) < 2:
