@@ -81,7 +81,7 @@ def test_labels_and_unions(spark):
 
 
 def test_vocabulary_size():
-    types = [t for x in classes.PRODUCT_TYPES.values() for t in x.split()]
+    types = [t for x in classes.PRODUCT_TYPES.values() for t in x]
     assert len(types) == len(set(types)) == 103
 
 
