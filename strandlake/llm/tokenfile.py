@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from strandlake.llm.common import mapped, shared_dir, stored, table, text_hash
 from strandlake.llm.rangecoder import BLOCK_IDS, LANES, decode_blocks, encode_blocks
-from strandlake.llm.tokens import PieceEncoder, tokenizer_path
+from strandlake.llm.tokens import kept_encoder, tokenizer_path
 from strandlake.llm.words import runs
 
 END = 2
@@ -98,7 +98,7 @@ class _Writer:
 
 
 def _written(batches: Iterator[pa.RecordBatch], path: str, end: int, vocabulary: int) -> Iterator[pa.RecordBatch]:
-    own, out = PieceEncoder(path), _Writer(TaskContext.get().partitionId(), vocabulary)
+    own, out = kept_encoder(path), _Writer(TaskContext.get().partitionId(), vocabulary)
     for run in runs(batches):
         ids, counts = own.encode(run)
         out.add(np.insert(ids, np.cumsum(counts), np.int32(end)), run.batch.column(0).to_pylist(), (counts + 1).tolist())

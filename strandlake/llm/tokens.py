@@ -56,7 +56,7 @@ class PieceEncoder:
     grows with use; once it holds ``most`` pieces, the next run starts it afresh.
     """
 
-    def __init__(self, path: str, most: int = 1 << 19) -> None:
+    def __init__(self, path: str, most: int = 1 << 18) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -259,5 +259,11 @@ class PieceEncoder:
         return self.tokenizer.encode_batch([run.text(i) for i in rows.tolist()], add_special_tokens=False) if len(rows) else []
 
 
+@lru_cache(1)
+def kept_encoder(path: str) -> PieceEncoder:
+    """An encoder that stays with the worker, for tasks that do little else than encode: what one learns serves the next."""
+    return PieceEncoder(path, 1 << 21)
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
