@@ -117,6 +117,19 @@ def embed(sequences: DataFrame, load: Callable[[], Embedder], budget: int = 6000
     return held.select("sha256", "seq").mapInPandas(partial(_embedded, load=load, budget=budget), "sha256 string, sequence_length int, layers array<array<float>>, error string")
 
 
+def outcomes(found: DataFrame) -> DataFrame:
+    """(n, embedded, failed) over the rows of ``embed``: one row."""
+    return found.agg(F.count("*").alias("n"), F.count_if(F.col("error").isNull()).alias("embedded"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+def require_success(found: DataFrame) -> DataFrame:
+    """The rows that were embedded; an error if there were rows and none was."""
+    n = outcomes(found).first()
+    if n["n"] and not n["embedded"]:
+        raise ValueError(f"none of {n['n']} sequences could be embedded")
+    return found.filter("error is null")
+
+
 def pack_blob(layers: Column) -> Column:
     """Row-major bytes of float32, as stored in embedding tables."""
 

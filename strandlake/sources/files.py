@@ -198,9 +198,12 @@ def write_regions(regions: DataFrame, path: str, features: DataFrame | None = No
 
 
 def write_table(df: DataFrame, path: str, metadata: dict | None = None) -> None:
-    """Parquet with zstd, NaN as null, and the metadata as a JSON row beside it."""
+    """Parquet with zstd, NaN as null, and the metadata in the first column's schema and as a JSON row beside it."""
     whole = lambda c, t: F.nullif(F.col(c), F.lit(float("nan")).cast(t)).alias(c) if t in ("float", "double") else F.col(c)
-    df.select(*(whole(f"`{c}`", t).alias(c) for c, t in df.dtypes)).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    held = df.select(*(whole(f"`{c}`", t).alias(c) for c, t in df.dtypes))
+    if metadata is not None:
+        held = held.withMetadata(held.columns[0], metadata)  # goes with the schema in the footer
+    held.write.mode("overwrite").option("compression", "zstd").parquet(path)
     if metadata is not None:
         df.sparkSession.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "value string").write.mode("overwrite").text(path.rstrip("/") + "_metadata")
 

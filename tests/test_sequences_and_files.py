@@ -209,3 +209,27 @@ def test_a_service_that_fails_can_fail_the_query(spark):
     assert chemistry.classify_remote(df, Gone).first()["error"] == "unreachable"
     with pytest.raises(Exception, match="unreachable"):
         chemistry.classify_remote(df, Gone, strict=True).collect()
+
+
+def test_metadata_goes_with_the_table(spark, tmp_path):
+    files.write_table(spark.createDataFrame([(1, 0.5)], "id long, x double"), str(tmp_path / "t"), {"backend": "b", "n": 3})
+    assert spark.read.parquet(str(tmp_path / "t")).schema["id"].metadata == {"backend": "b", "n": 3}
+
+
+def test_token_means_and_outcomes(spark):
+    rows = [("a", 0, t, [float(t), 2.0]) for t in range(4)] + [("a", 1, 0, [5.0, 6.0])]
+    got = {(r["id"], r["layer"]): list(r["vector"]) for r in embedding.token_means(spark.createDataFrame(rows, "id string, layer int, token int, vector array<float>")).collect()}
+    assert got == {("a", 0): [1.5, 2.0], ("a", 1): [5.0, 6.0]}
+    found = spark.createDataFrame([("s", None), ("t", "no")], "sha256 string, error string")
+    assert tuple(embedding.outcomes(found).first()) == (2, 1, 1) and embedding.require_success(found).count() == 1
+    with pytest.raises(ValueError, match="none of 1"):
+        embedding.require_success(found.filter("error is not null"))
+
+
+def test_unplaced_partials_are_counted(spark):
+    from strandlake.operators import similarity
+
+    partials = spark.createDataFrame([(i,) for i in range(4)], "id long")
+    signature = spark.createDataFrame([(i, "domain", f"f{i}") for i in range(1, 4)], "id long, kind string, feature string")
+    near = spark.createDataFrame([(2, 9, 0.05), (3, 9, 0.9)], "i long, j long, s double")
+    assert tuple(similarity.unplaced(partials, signature, partials.filter("id = 3"), near).first()) == (3, 1, 1, 1)
