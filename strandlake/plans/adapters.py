@@ -99,7 +99,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, tool, raw): detectors' strings made of the parts' names of each order."""
     from strandlake.functions.classes import PRODUCT_TYPES
 
-    names = [t for types in PRODUCT_TYPES.values() for t in types.split()]
+    names = [t for types in PRODUCT_TYPES.values() for t in types]
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     kinds = F.array(*(F.lit(n) for n in names))
     pick = lambda e: F.element_at(kinds, (e % len(names) + 1).cast("int"))

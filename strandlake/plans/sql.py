@@ -118,7 +118,7 @@ def _map(table: dict[str, str]) -> str:
 
 
 def _classes() -> str:
-    names = [t for types in classes.PRODUCT_TYPES.values() for t in types.split()]
+    names = [t for types in classes.PRODUCT_TYPES.values() for t in types]
     n = len(names)
     pick = lambda e: f"names[CAST(({e}) % {n} + 1 AS INT)]"
     clean = "trim(regexp_replace(replace(lower(raw), '-', '_'), '_+', '_', 'g'), '_')"
