@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,8 @@ def tidied(results: Iterator) -> Iterator:
     try:
         yield from results
     finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _trim()(0)
 
 

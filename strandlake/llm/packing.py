@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandlake.llm.common import mapped, stored, table
-from strandlake.llm.tokens import PieceEncoder, tokenizer_path
+from strandlake.llm.tokens import TOKEN_BYTES, PieceEncoder, tokenizer_path
 from strandlake.llm.words import runs
 
 MAX_LENGTH = 4096
@@ -39,7 +39,7 @@ SLICE_ROWS = 20_000
 
 def _lengths(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = PieceEncoder(path)  # for this task: a worker stays, and should hold nothing
-    for run in runs(batches):
+    for run in runs(batches, limit=TOKEN_BYTES):
         yield pa.RecordBatch.from_arrays([run.batch.column(0), pa.array(own.count(run) + 1)], ["doc_id", "n_tokens"])
 
 

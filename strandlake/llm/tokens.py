@@ -24,6 +24,8 @@ from strandlake.llm.words import U64, Run, eights, mix
 TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of the pieces that stand in the table; with their length they fill two numbers.
 _SHORT = 15
+#: Text of one pass where memory is short: the library's answers take many times the text.
+TOKEN_BYTES = 1 << 17
 #: New pieces that go to the library as one text.
 _TOGETHER = 200
 _BLANK = np.zeros(256, bool)
