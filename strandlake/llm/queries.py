@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlake.llm import divergence, interaction
 from strandlake.llm.decontaminate import op7_decontamination
+from strandlake.llm.divergence import op12_divergence
+from strandlake.llm.interaction import op13_interaction
 from strandlake.llm.langid import op2_language
 from strandlake.llm.licenses import op1_licenses
 from strandlake.llm.ordinal import op5_ordinal
@@ -30,10 +33,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_toxicity": op9_toxicity,
         "op10_tokenfile": op10_tokenfile,
+        "op12_divergence": op12_divergence,
+        "op13_interaction": op13_interaction,
     }
 
 
-#: Operator 7 over strings of words; the other queries learn, hash or tokenize in ways that SQL cannot express.
+#: Operator 7 over strings of words.
 _DECONTAMINATION = r"""WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS s FROM (SELECT item_id, w, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM iw WHERE len(w) > 0)),
@@ -46,4 +51,4 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": _DECONTAMINATION}
+    return {"op7_decontamination": _DECONTAMINATION, "op12_divergence": divergence.ORACLE_SQL, "op13_interaction": interaction.ORACLE_SQL}
