@@ -12,6 +12,7 @@ from strandlake.llm.divergence import op12_divergence
 from strandlake.llm.interaction import op13_interaction
 from strandlake.llm.langid import op2_language
 from strandlake.llm.licenses import op1_licenses
+from strandlake.llm.lm import op11_attention
 from strandlake.llm.ordinal import op5_ordinal
 from strandlake.llm.packing import op6_packing
 from strandlake.llm.quality import op3_quality
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_toxicity": op9_toxicity,
         "op10_tokenfile": op10_tokenfile,
+        "op11_attention": op11_attention,
         "op12_divergence": op12_divergence,
         "op13_interaction": op13_interaction,
     }
