@@ -36,7 +36,8 @@ TOP_TERMS = 10
 UNIT = 1_000_000_000
 #: Parts of a language's terms, for crossing them with its sources.
 SLICES = 64
-_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms, which are the matches of the complement.
+_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,13 +49,14 @@ def folded(text: Column) -> Column:
 def occurrences(documents: DataFrame) -> DataFrame:
     """(lang, source, term, n, df): occurrences, and the documents that hold the term.
 
-    A document's terms are sorted, and the first of equal ones stands for the
+    A document's terms are what its text falls into where it is split by all other
+    characters. They are sorted, and the first of equal ones stands for the
     document, so that both counts come out of one aggregation.
     """
-    terms = F.array_sort(F.regexp_extract_all("text", F.lit(_TERM), 0))
+    terms = F.array_sort(F.split("text", _BETWEEN))
     first = lambda t, i: F.struct(t.alias("term"), ((i == 0) | (t != F.get(F.col("terms"), i - 1))).cast("int").alias("first"))
     rows = documents.select("lang", "source", terms.alias("terms")).select("lang", "source", F.inline(F.transform("terms", first)))
-    return rows.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("df"))
+    return rows.filter("term <> ''").groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("df"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
