@@ -42,9 +42,15 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return similarity.similarity(A.signature(spark, d))
 
 
+def _near(spark: SparkSession, d: str, k: int) -> DataFrame:
+    signature = A.signature(spark, d)
+    return similarity.nearest(signature, signature, k, within=True).filter(F.col("s") >= similarity.PRUNE_BELOW)
+
+
 @query
 def dice_topk(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(similarity.top_neighbours(_pairs(spark, d), 5).withColumn("rank", F.col("rank").cast("long")))
+    near = _near(spark, d, 5)
+    return rounded(near.withColumn("rank", F.col("rank").cast("long")))
 
 
 @query
@@ -55,7 +61,7 @@ def composite_dice_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def knn_edges(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(similarity.knn_edges(_pairs(spark, d), 5))
+    return rounded(similarity.knn_edges(_near(spark, d, 5)))
 
 
 @query
@@ -65,7 +71,7 @@ def novelty_validated(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def novelty_pruned(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(similarity.novelty_pruned(A.entities(spark, d), _pairs(spark, d)))
+    return rounded(similarity.novelty_pruned(A.entities(spark, d), A.signature(spark, d)))
 
 
 @query
@@ -112,7 +118,7 @@ def layout_normalize(spark: SparkSession, d: str) -> DataFrame:
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The nearest-neighbour graph of composite Dice over all orders: vertices (id) and edges (a, b, weight)."""
     orders = A.entities(spark, d).select("id")
-    edges = cut(similarity.knn_edges(_pairs(spark, d), similarity.auto_k(orders.count())))
+    edges = cut(similarity.knn_edges(_near(spark, d, similarity.auto_k(orders.count()))))
     return orders, edges
 
 

@@ -70,8 +70,8 @@ def run(inputs: Inputs, path: str) -> dict:
     k = p.knn_k or similarity.auto_k(n)
     of = lambda rows: inputs.signature.join(rows.select("id"), "id", "left_semi")
     signature = cut(of(primary))
-    pairs = cut(similarity.similarity(signature, p.weights, p.prune_below))
-    edges = cut(similarity.knn_edges(pairs, k))
+    near = similarity.nearest(signature, signature, k, p.weights, within=True).filter(F.col("s") >= p.prune_below)
+    edges = cut(similarity.knn_edges(near))
     labels = hierarchy.nested_communities(primary.select("id"), edges, p.resolutions, p.seed)
     pathed = cut(hierarchy.paths(labels.withColumn("row_idx", F.col("id"))))
     members = hierarchy.memberships(pathed)
@@ -81,6 +81,7 @@ def run(inputs: Inputs, path: str) -> dict:
     placed = pathed.select("id", F.col(leaf).alias("path")).join(coords, "id")
     projected = similarity.project(partial.select("id", "is_validated"), of(partial), signature, placed, primary.filter("is_validated").select("id"), k, p.weights)
     write_table(pathed, f"{path}/hierarchy")
+    pairs = similarity.similarity(signature, p.weights, p.prune_below)  # medoids need them all
     write_table(hierarchy.nodes(members, pairs), f"{path}/gcf_nodes")
     write_table(coords.select("id", F.col("x").alias("umap_x"), F.col("y").alias("umap_y")), f"{path}/coords")
     write_table(scores.withColumnRenamed("novelty", "novelty_score"), f"{path}/scores")
