@@ -4,7 +4,8 @@ All rolling word k-gram hashes of the documents are joined with the positions of
 the same k-grams in the templates. A hit votes for the diagonal (document
 position less template position); the template's positions are gathered by
 diagonal, neighbouring diagonals are merged, as a few words more or less shift a
-quotation, and a span counts once it is verified: every hit's second hash, of
+quotation (every window of them is looked at, so that a stray hit nearby takes
+nothing away), and a span counts once it is verified: every hit's second hash, of
 words hashed with another seed, agrees, the distinct positions cover enough of
 the template and the span is about as long.
 
@@ -130,21 +131,23 @@ def spans(documents: DataFrame, templates: list[Template] = TEMPLATES, coverage:
     voted = voted.withColumn("size", size).withColumn("exact", exact)
     cols = [*key, "template"]
     whole = voted.filter(F.col("exact") & (covered(F.col) >= F.col("size") - (GRAM - 1))).select(*cols, F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("size")).alias("end"), F.lit(1.0).alias("score"))
+    # every window of neighbouring diagonals, from each diagonal on; of those that begin near each other the best counts
     near = Window.partitionBy(*cols).orderBy("diagonal")
+    window, around = near.rangeBetween(0, NEIGHBOUR), near.rangeBetween(-NEIGHBOUR, NEIGHBOUR)
     merged = (
         voted.filter(~F.col("exact"))
-        .withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(near) > NEIGHBOUR).cast("int"))
-        .withColumn("chain", F.sum(F.coalesce("new", F.lit(0))).over(near))
-        .withColumn("part", F.floor((F.col("diagonal") - F.min("diagonal").over(Window.partitionBy(*cols, "chain"))) / (NEIGHBOUR + 1)))
-        .groupBy(*cols, "chain", "part")
-        .agg(
-            covered(F.bit_or).alias("covered"),
-            F.min(F.col("diagonal") + F.col("low")).alias("first"),
-            (F.max(F.col("diagonal") + F.col("high")) + GRAM).alias("end"),
-            F.first("size").alias("size"),
+        .select(
+            *cols,
+            "diagonal",
+            "size",
+            covered(lambda c: F.bit_or(c).over(window)).alias("covered"),
+            F.min(F.col("diagonal") + F.col("low")).over(window).alias("first"),
+            (F.max(F.col("diagonal") + F.col("high")).over(window) + GRAM).alias("end"),
         )
         .withColumn("score", F.col("covered") / (F.col("size") - (GRAM - 1)))
         .filter((F.col("score") >= coverage) & (F.col("end") - F.col("first") <= 2 * F.col("size")))
+        .withColumn("best", F.max(F.struct("covered", -F.col("diagonal"))).over(around))
+        .filter(F.col("best") == F.struct("covered", -F.col("diagonal")))
         .select(*cols, "first", "end", "score")
     )
     return whole.unionByName(merged), rows
