@@ -81,11 +81,11 @@ def _embed(a: argparse.Namespace, spark) -> int:
     from strandlake.operators import embedding
 
     held = files.require_records(files.proteins(spark, a.input, a.format)).select("ord", "seq")
-    found = embedding.embed(held, _backend(a.backend), a.budget, distinct=False).filter("error is null")
-    if found.isEmpty():
-        print("no sequence could be embedded", file=sys.stderr)
+    found, counts = embedding.embed_once(held, _backend(a.backend), a.budget, distinct=False)
+    print(f"embedded {counts.written} of {counts.seen}: {counts.failed} failed, {counts.skipped} skipped, {counts.retried} asked for again", file=sys.stderr)
+    if not counts.written:
         return 1
-    files.write_table(found.select(F.col("sha256").alias("protein_sequence_sha256"), "sequence_length", embedding.pack_blob(F.col("layers")).alias("hidden_mean_blob")), a.output, {"backend": a.backend})
+    files.write_table(found.filter("error is null").select(F.col("sha256").alias("protein_sequence_sha256"), "sequence_length", embedding.pack_blob(F.col("layers")).alias("hidden_mean_blob")), a.output, {"backend": a.backend})
     return 0
 
 
@@ -93,9 +93,9 @@ def _embed_cluster(a: argparse.Namespace, spark) -> int:
     from strandlake.operators import embedding
 
     held = files.require_records(files.proteins(spark, a.input, a.format)).select("ord", "seq")
-    found = embedding.embed(held, _backend(a.backend), a.budget)
-    if not found.filter("error is not null").isEmpty():
-        print("a protein could not be embedded", file=sys.stderr)
+    found, counts = embedding.embed_once(held, _backend(a.backend), a.budget)
+    if counts.written < counts.seen:
+        print(f"{counts.seen - counts.written} of {counts.seen} proteins could not be embedded", file=sys.stderr)
         return 1
     order = held.select("ord", F.sha2(F.upper(F.trim("seq")), 256).alias("sha256"))
     layer = a.layer if a.layer == "final" else int(a.layer)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import partial
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandlake.operators.sequences import first_seen, require_valid
+from strandlake.shared import cut
 
 
 def layer_of(layers: Column, layer: int | str) -> Column:
@@ -88,46 +90,119 @@ class Embedder(Protocol):
     def __call__(self, sequences: list[str]) -> list[np.ndarray]: ...
 
 
-def _embedded(batches: Iterator[pd.DataFrame], load: Callable[[], Embedder], budget: int) -> Iterator[pd.DataFrame]:
+def filled(sizes: Sequence[int], budget: int) -> list[int]:
+    """Number of the batch of each size, in order: ``token_batches`` over what a task has before it.
+
+    A batch closes before the size that would take it over the budget; a size over the budget stands alone.
+    """
+    out, batch, used = [], 0, 0
+    for n in sizes:
+        if used and used + n > budget:
+            batch, used = batch + 1, 0
+        out.append(batch)
+        used += n
+    return out
+
+
+def _embedded(batches: Iterator[pd.DataFrame], load: Callable[[], Embedder], budget: int, longest: int) -> Iterator[pd.DataFrame]:
     model = load()
     for pdf in batches:
-        group = (pdf["seq"].str.len().cumsum() // budget).to_numpy()
-        for _, part in pdf.groupby(group, sort=False):
+        size = pdf["seq"].str.len()
+        fits = (size > 0) & (size <= longest)
+        if not fits.all():
+            yield _told(pdf[~fits], [ValueError(f"{n} letters, of {longest} at most") if n else ValueError("empty") for n in size[~fits]], "skipped", False)
+        kept = pdf[fits]
+        for _, part in kept.groupby(np.array(filled(size[fits].tolist(), budget), np.int64), sort=False):
+            again = False
             try:
                 found: list = list(model(part["seq"].tolist()))
+                if len(found) != len(part):
+                    raise ValueError(f"{len(found)} results for {len(part)} sequences")
             except Exception:  # each record once more, by itself
-                found = []
+                found, again = [], True
                 for seq in part["seq"]:
                     try:
                         found.append(model([seq])[0])
                     except Exception as e:
                         found.append(e)
-            good = [None if isinstance(x, Exception) else np.asarray(x, np.float32).tolist() for x in found]
-            yield pd.DataFrame({"sha256": part["sha256"], "sequence_length": part["seq"].str.len().astype("int32"), "layers": good, "error": [str(x) if isinstance(x, Exception) else None for x in found]})
-
-
-def embed(sequences: DataFrame, load: Callable[[], Embedder], budget: int = 6000, distinct: bool = True) -> DataFrame:
-    """(sha256, sequence_length, layers, error) of sequences (ord, seq): ``load`` makes the model once in each task.
-
-    A batch that fails is repeated record by record; what fails then has its
-    error and no layers.
+            yield _told(part, found, "failed", again)
+
+
+def _told(part: pd.DataFrame, found: list, otherwise: str, again: bool) -> pd.DataFrame:
+    bad = [isinstance(x, Exception) for x in found]
+    column = lambda values: pd.Series(list(values), part.index, object)
+    return pd.DataFrame(
+        {
+            "sha256": part["sha256"],
+            "sequence_length": part["seq"].str.len().astype("int32"),
+            "layers": column(None if b else np.asarray(x, np.float32).tolist() for x, b in zip(found, bad)),
+            "error": column(str(x) if b else None for x, b in zip(found, bad)),
+            "outcome": column(otherwise if b else "embedded" for b in bad),
+            "retried": again,
+        }
+    )
+
+
+def embed(sequences: DataFrame, load: Callable[[], Embedder], budget: int = 6000, distinct: bool = True, longest: int = 10_000) -> DataFrame:
+    """(sha256, sequence_length, layers, error, outcome, retried) of sequences (ord, seq): ``load`` makes the model once in each task.
+
+    Batches are filled up to the budget. A batch that fails is repeated record by
+    record (``retried``); what fails then has its error and no layers. Empty and
+    longer sequences than ``longest`` don't go to the model and are ``skipped``.
+    The rows aren't stored: each use of them runs the model (see ``embed_once``).
     """
     held = require_valid(sequences)
     held = first_seen(held) if distinct else held.select("ord", F.sha2("seq", 256).alias("sha256"), "seq")
-    return held.select("sha256", "seq").mapInPandas(partial(_embedded, load=load, budget=budget), "sha256 string, sequence_length int, layers array<array<float>>, error string")
+    schema = "sha256 string, sequence_length int, layers array<array<float>>, error string, outcome string, retried boolean"
+    return held.select("sha256", "seq").mapInPandas(partial(_embedded, load=load, budget=budget, longest=longest), schema)
+
+
+@dataclass(frozen=True)
+class Outcomes:
+    """How many rows went in, were embedded, failed, were skipped, and were asked for once more by themselves."""
+
+    seen: int
+    written: int
+    failed: int
+    skipped: int
+    retried: int
+
+    def require_success(self) -> None:
+        """An error if there were rows and none was embedded."""
+        if self.seen and not self.written:
+            raise ValueError(f"none of {self.seen} sequences could be embedded")
+
+
+def embed_once(sequences: DataFrame, load: Callable[[], Embedder], budget: int = 6000, distinct: bool = True, longest: int = 10_000) -> tuple[DataFrame, Outcomes]:
+    """The rows of ``embed`` as a stored table, and its counters, observed while it is written: the model runs once."""
+    seen = Observation("embedding")
+    of = lambda x: F.count_if(F.col("outcome") == x)
+    counters = [F.count(F.lit(1)).alias("seen"), of("embedded").alias("written"), of("failed").alias("failed"), of("skipped").alias("skipped"), F.count_if("retried").alias("retried")]
+    stored = cut(embed(sequences, load, budget, distinct, longest).observe(seen, *counters))
+    return stored, Outcomes(**seen.get)
+
+
+def embed_sequences(sequences: DataFrame, load: Callable[[], Embedder], budget: int = 6000, longest: int = 10_000) -> DataFrame:
+    """(ord, layers) for every row (ord, seq); ``layers`` is null where the sequence was skipped or failed. Equal sequences run once."""
+    found, _ = embed_once(sequences, load, budget, True, longest)
+    rows = require_valid(sequences.select("ord", "seq")).select("ord", F.sha2("seq", 256).alias("sha256"))
+    return rows.join(found.select("sha256", "layers"), "sha256", "left").select("ord", "layers")
 
 
-def outcomes(found: DataFrame) -> DataFrame:
-    """(n, embedded, failed) over the rows of ``embed``: one row."""
-    return found.agg(F.count("*").alias("n"), F.count_if(F.col("error").isNull()).alias("embedded"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+def aggregate_sequences(sequences: DataFrame, load: Callable[[], Embedder], dim: int, layer: int | str = 26, scale: float = 0.5, budget: int = 6000, longest: int = 10_000, **pooling: object) -> DataFrame:
+    """(bgc, vector) for every cluster of rows (bgc, ord, seq), pooled in order; null where any of its sequences has no embedding."""
+    found, _ = embed_once(sequences.select("ord", "seq"), load, budget, True, longest)
+    rows = require_valid(sequences.select("bgc", "ord", "seq")).select("bgc", "ord", F.sha2("seq", 256).alias("sha256"))
+    rows = rows.join(found.select("sha256", "layers"), "sha256", "left")
+    clusters = rows.groupBy("bgc").agg(F.count_if(F.col("layers").isNull()).alias("missing"))
+    whole = rows.join(clusters.filter("missing = 0"), "bgc", "left_semi")
+    return aggregate_embeddings(clusters.select("bgc"), whole, dim, layer, scale, **pooling)
 
 
-def require_success(found: DataFrame) -> DataFrame:
-    """The rows that were embedded; an error if there were rows and none was."""
-    n = outcomes(found).first()
-    if n["n"] and not n["embedded"]:
-        raise ValueError(f"none of {n['n']} sequences could be embedded")
-    return found.filter("error is null")
+def aggregate_embeddings(clusters: DataFrame, proteins: DataFrame, dim: int, layer: int | str = 26, scale: float = 0.5, **pooling: object) -> DataFrame:
+    """(bgc, vector) for every row of clusters (bgc), from embeddings (bgc, ord, layers) that are there already; null for one without any."""
+    pooled = pool(proteins, dim, layer, scale=scale, **pooling)
+    return clusters.select("bgc").join(pooled.select("bgc", "vector"), "bgc", "left")
 
 
 def pack_blob(layers: Column) -> Column:

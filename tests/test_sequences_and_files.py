@@ -216,14 +216,67 @@ def test_metadata_goes_with_the_table(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).schema["id"].metadata == {"backend": "b", "n": 3}
 
 
-def test_token_means_and_outcomes(spark):
+def test_token_means(spark):
     rows = [("a", 0, t, [float(t), 2.0]) for t in range(4)] + [("a", 1, 0, [5.0, 6.0])]
     got = {(r["id"], r["layer"]): list(r["vector"]) for r in embedding.token_means(spark.createDataFrame(rows, "id string, layer int, token int, vector array<float>")).collect()}
     assert got == {("a", 0): [1.5, 2.0], ("a", 1): [5.0, 6.0]}
-    found = spark.createDataFrame([("s", None), ("t", "no")], "sha256 string, error string")
-    assert tuple(embedding.outcomes(found).first()) == (2, 1, 1) and embedding.require_success(found).count() == 1
+
+
+class Counting:
+    """A model that writes down every sequence it is asked for; one with a W fails, and so does its batch."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def __call__(self):
+        return self.run
+
+    def run(self, seqs):
+        with open(self.path, "a") as out:
+            out.write("".join(f"{s} {sum(map(len, seqs))}\n" for s in seqs))
+        if any("W" in s for s in seqs):
+            raise RuntimeError("no W")
+        return [np.array([[len(s), 1.0], [s.count("A"), 2.0]]) for s in seqs]
+
+
+def asked(path):
+    return sorted(line.split()[0] for line in open(path)) if path.exists() else []
+
+
+def test_the_model_runs_once_and_its_outcomes_are_counted(spark, tmp_path):
+    seqs = ["ACD", "ACDE", "AAAA", "ACD", "C" * 30]
+    df = spark.createDataFrame(list(enumerate(seqs)), "ord long, seq string")
+    found, counts = embedding.embed_once(df, Counting(tmp_path / "a"), longest=20)
+    assert found.count() == 4 and found.filter("outcome = 'embedded'").count() == 3 and found.collect()
+    assert asked(tmp_path / "a") == ["AAAA", "ACD", "ACDE"]  # one call for each, whatever is done with the rows
+    assert counts == embedding.Outcomes(seen=4, written=3, failed=0, skipped=1, retried=0)
+    counts.require_success()
+    bad, counts = embedding.embed_once(df.limit(2).unionByName(spark.createDataFrame([(9, "AWA")], "ord long, seq string")).coalesce(1), Counting(tmp_path / "b"))
+    assert (counts.seen, counts.written, counts.failed, counts.skipped) == (3, 2, 1, 0) and counts.retried == bad.filter("retried").count() >= 1
     with pytest.raises(ValueError, match="none of 1"):
-        embedding.require_success(found.filter("error is not null"))
+        embedding.embed_once(df.filter("ord = 4"), Counting(tmp_path / "c"), longest=5)[1].require_success()
+    assert asked(tmp_path / "c") == []
+    embedding.embed_once(df.limit(0), Counting(tmp_path / "d"))[1].require_success()
+
+
+def test_batches_keep_to_the_budget(spark, tmp_path):
+    assert embedding.filled([1000, 5999, 5000, 1000, 7000, 1], 6000) == [0, 1, 2, 2, 3, 4]
+    df = spark.createDataFrame([(i, "A" * n) for i, n in enumerate((10, 59, 50, 10, 70, 1, 3))], "ord long, seq string").coalesce(1)
+    embedding.embed_once(df, Counting(tmp_path / "a"), budget=60, distinct=False)
+    assert all(int(line.split()[1]) <= 60 or len(line.split()[0]) == 70 for line in open(tmp_path / "a"))
+
+
+def test_library_functions_give_nothing_on_any_failure(spark, tmp_path):
+    rows = [("x", 0, "ACD"), ("x", 1, "AAAA"), ("y", 2, "ACD"), ("y", 3, "AWA"), ("z", 4, "ACD"), ("z", 5, "C" * 30)]
+    df = spark.createDataFrame(rows, "bgc string, ord long, seq string")
+    each = {r["ord"]: r["layers"] for r in embedding.embed_sequences(df, Counting(tmp_path / "a"), longest=20).collect()}
+    assert {o for o, x in each.items() if x is None} == {3, 5} and each[1] == [[4.0, 1.0], [4.0, 2.0]] and each[0] == each[2] == each[4]
+    got = {r["bgc"]: r["vector"] for r in embedding.aggregate_sequences(df, Counting(tmp_path / "b"), 2, "final", 0.0, longest=20).collect()}
+    assert got == {"x": [2.5, 2.0], "y": None, "z": None}
+    clusters = spark.createDataFrame([("x",), ("none",)], "bgc string")
+    held = spark.createDataFrame([("x", 1, [[4.0, 1.0]]), ("x", 0, [[2.0, 1.0]])], "bgc string, ord long, layers array<array<float>>")
+    got = {r["bgc"]: r["vector"] for r in embedding.aggregate_embeddings(clusters, held, 2, 0, 0.0, aggregation="max").collect()}
+    assert got == {"x": [4.0, 1.0], "none": None}
 
 
 def test_unplaced_partials_are_counted(spark):
