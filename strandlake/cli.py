@@ -38,9 +38,10 @@ def _contigs(a: argparse.Namespace, spark) -> int:
     kept = sequences.keep(contigs, ids)
     files.write_text(files.fasta_text(kept), f"{a.out_dir}/filtered.fna", order="ord")
     if a.gbk and not a.fna:
-        held = files.distinct_ids(kept)
-        features = files.genbank_features(spark, a.gbk).join(held.select("path", "record", "id"), ["path", "record"])
-        files.write_text(files.genbank_text(held, features), f"{a.out_dir}/filtered.gbk", order="id")
+        # the records as they are, each of a repeated id too
+        whole = files.genbank_records(spark, a.gbk).join(kept.select("path", "record"), ["path", "record"], "left_semi")
+        text = F.concat(files.unwrap_ids(F.col("value")), F.lit("\n//"))
+        files.write_text(whole.select("record", text.alias("value")), f"{a.out_dir}/filtered.gbk", order="record")
     if a.faa:
         files.write_text(files.fasta_text(sequences.keep_proteins(files.fasta(spark, a.faa), ids)), f"{a.out_dir}/filtered.faa", order="ord")
     if a.gff:

@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRAP = 60
+#: Letters of a line of a location.
+_LOCATION_WRAP = 58
+#: A part of a location that lies in another record.
+_REMOTE = r"[A-Za-z_][\w.]*:[^,)]*"
+_SEGMENT = r"(?:complement\()?<?\d+(?:(?:\.\.|\^|\.)>?\d+)?"
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -50,13 +55,22 @@ def genbank(spark: SparkSession, path: str) -> DataFrame:
     return _records(spark, path).select("path", "record", name.alias("id"), definition.alias("description"), seq.alias("seq"))
 
 
+def genbank_records(spark: SparkSession, path: str) -> DataFrame:
+    """(path, record, value) of whole records as they stand in the files, without the closing line."""
+    return _records(spark, path)
+
+
 def distinct_ids(records: DataFrame) -> DataFrame:
     """The last record of each id."""
     return records.groupBy("id").agg(F.max_by(F.struct("path", "record", "description", "seq"), "record").alias("r")).select("id", "r.*")
 
 
 def genbank_features(spark: SparkSession, path: str) -> DataFrame:
-    """(path, record, ord, type, location, start, end, strand, qualifiers): a row per feature; qualifiers map to their values in order."""
+    """(path, record, ord, type, location, start, end, strand, qualifiers): a row per feature; qualifiers map to their values in order.
+
+    ``location`` is the whole location, whatever parts it has (see ``segments``);
+    start and end are the least and the greatest of its places.
+    """
     block = _section("FEATURES", "(?:ORIGIN|CONTIG|BASE COUNT)")
     parts = F.split(F.concat(F.lit("\n"), block), r"\n {5}(?=\S)")
     rows = _records(spark, path).select("path", "record", F.posexplode(parts).alias("ord", "f")).filter("ord > 0")
@@ -66,7 +80,7 @@ def genbank_features(spark: SparkSession, path: str) -> DataFrame:
     pair = F.transform(quals, lambda q: F.struct(F.regexp_extract(q, r"^/([^=\s]+)", 1).alias("k"), F.regexp_replace(F.regexp_replace(F.regexp_extract(q, r"(?s)^/[^=]+=(.*)$", 1), r"\s*\n\s*", " "), r'^"|"\s*$', "").alias("v")))
     keys = F.array_distinct(F.transform(pair, lambda p: p["k"]))
     grouped = F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(pair, lambda p: p["k"] == k), lambda p: p["v"])))
-    numbers = F.transform(F.regexp_extract_all("location", F.lit(r"(\d+)"), 1), lambda x: x.cast("long"))
+    numbers = F.transform(F.regexp_extract_all(F.regexp_replace("location", _REMOTE, ""), F.lit(r"(\d+)"), 1), lambda x: x.cast("long"))
     strand = F.when(F.col("location").contains("complement"), -1).otherwise(1)
     return rows.select("path", "record", "ord", kind.alias("type"), location.alias("location"), grouped.alias("qualifiers")).select(
         "path", "record", "ord", "type", "location", (F.array_min(numbers) - 1).alias("start"), F.array_max(numbers).alias("end"), strand.alias("strand"), "qualifiers"
@@ -152,6 +166,35 @@ def fasta_text(records: DataFrame) -> DataFrame:
     return records.select(*rest, F.concat(F.lit(">"), "description", F.lit("\n"), lines).alias("value"))
 
 
+def segments(location: Column) -> Column:
+    """The parts of a location in their order: structs (start, end, strand, open_start, open_end), 0-based and half-open.
+
+    Parts inside a ``complement`` are on the other strand, one by one or all
+    together; < and > mark ends that lie beyond. Parts of other records are left out.
+    """
+    own = F.regexp_replace(location, _REMOTE, "")
+    turned = own.rlike(r"^complement\((?:join|order)\(")
+
+    def part(x: Column) -> Column:
+        ends = F.transform(F.regexp_extract_all(x, F.lit(r"(\d+)"), 1), lambda n: n.cast("long"))
+        strand = F.when(turned | x.startswith("complement"), -1).otherwise(1)
+        return F.struct((F.element_at(ends, 1) - 1).alias("start"), F.element_at(ends, -1).alias("end"), strand.alias("strand"), x.contains("<").alias("open_start"), x.contains(">").alias("open_end"))
+
+    return F.transform(F.regexp_extract_all(own, F.lit(_SEGMENT), 0), part)
+
+
+def moved_location(location: Column, by: Column) -> Column:
+    """The location with all places of its own record moved by so many letters; parts, strands and open ends stay."""
+    tokens = F.regexp_extract_all(location, F.lit(rf"{_REMOTE}|\d+|[A-Za-z_]+|[^\dA-Za-z_]+"), 0)
+    return F.array_join(F.transform(tokens, lambda t: F.when(t.rlike(r"^\d+$"), (t.cast("long") + by).cast("string")).otherwise(t)), "")
+
+
+def _wrapped(location: Column) -> Column:
+    """Broken after commas where a line is full."""
+    lines = F.regexp_replace(location, rf"(.{{1,{_LOCATION_WRAP - 1}}},)(?=.)", "$1\n" + " " * 21)
+    return F.when(F.length(location) > _LOCATION_WRAP, lines).otherwise(location)
+
+
 def origin(seq: Column) -> Column:
     """The ORIGIN block of a sequence: 60 letters a line, in tens, each line numbered."""
     lines = F.regexp_extract_all(F.lower(seq), F.lit(f"(.{{1,{_WRAP}}})"), 1)
@@ -161,11 +204,15 @@ def origin(seq: Column) -> Column:
 
 def genbank_text(records: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """(id, value): a GenBank record for each of (id, description, seq), with the features (id, start, end, type, strand,
-    qualifiers) that lie in it; every qualifier stands on one line, so that no identifier is wrapped."""
+    qualifiers[, location]) that lie in it; every qualifier stands on one line, so that no identifier is wrapped.
+
+    A location is written as it is, with all its parts; without one, it's start to end.
+    """
     held = records
     if features is not None:
         span = F.concat((F.col("start") + 1).cast("string"), F.lit(".."), F.col("end").cast("string"))
         place = F.when(F.col("strand") < 0, F.concat(F.lit("complement("), span, F.lit(")"))).otherwise(span)
+        place = _wrapped(F.coalesce("location", place) if "location" in features.columns else place)
         quals = F.flatten(F.transform(F.map_entries("qualifiers"), lambda e: F.transform(e["value"], lambda v: F.concat(F.lit("\n" + " " * 21 + "/"), e["key"], F.lit('="'), v, F.lit('"')))))
         line = F.concat(F.lit("     "), F.rpad("type", 16, " "), place, F.array_join(quals, ""))
         lines = features.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", line.alias("line")))).alias("f"))
@@ -178,10 +225,11 @@ def genbank_text(records: DataFrame, features: DataFrame | None = None) -> DataF
 
 
 def region_features(regions: DataFrame, features: DataFrame) -> DataFrame:
-    """Features (seqid, start, end, type, strand, qualifiers) that lie whole in a region (id, seqid, start, end), moved to its own coordinates."""
+    """Features (seqid, start, end, type, strand, qualifiers[, location]) that lie whole in a region (id, seqid, start, end), moved to its own coordinates."""
     r = regions.select("id", "seqid", F.col("start").alias("_s"), F.col("end").alias("_e"))
     held = features.join(r, "seqid").filter((F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e")))
-    return held.select("id", (F.col("start") - F.col("_s")).alias("start"), (F.col("end") - F.col("_s")).alias("end"), "type", "strand", "qualifiers")
+    place = [moved_location(F.col("location"), -F.col("_s")).alias("location")] if "location" in features.columns else []
+    return held.select("id", (F.col("start") - F.col("_s")).alias("start"), (F.col("end") - F.col("_s")).alias("end"), "type", "strand", "qualifiers", *place)
 
 
 def write_text(lines: DataFrame, path: str, order: str | None = None) -> None:

@@ -286,3 +286,77 @@ def test_unplaced_partials_are_counted(spark):
     signature = spark.createDataFrame([(i, "domain", f"f{i}") for i in range(1, 4)], "id long, kind string, feature string")
     near = spark.createDataFrame([(2, 9, 0.05), (3, 9, 0.9)], "i long, j long, s double")
     assert tuple(similarity.unplaced(partials, signature, partials.filter("id = 3"), near).first()) == (3, 1, 1, 1)
+
+
+COMPOUND = """LOCUS       C1                       120 bp    DNA     linear   BCT 01-JAN-2020
+DEFINITION  first of
+            two lines.
+ACCESSION   C1
+VERSION     C1.1
+COMMENT     kept as it stands
+  ORGANISM  Some thing
+FEATURES             Location/Qualifiers
+     source          1..120
+                     /organism="Some thing"
+     CDS             join(11..19,
+                     complement(31..40),<51..>60)
+                     /locus_tag="a_1"
+     CDS             complement(order(21..29,J00194.1:100..202,41..50))
+                     /locus_tag="a_2"
+     misc_feature    70^71
+                     /note="between"
+ORIGIN
+        1 acgtacgtac
+//
+LOCUS       C1                        20 bp    DNA
+VERSION     C1.1
+FEATURES             Location/Qualifiers
+     CDS             1..9
+                     /locus_tag="b_1"
+ORIGIN
+        1 acgtacgtac gtacgtacgt
+//
+LOCUS       C2                         4 bp    DNA
+VERSION     C2.1
+ORIGIN
+        1 acgt
+//
+"""
+
+
+def test_locations_are_parsed_moved_and_written_whole(spark, tmp_path):
+    (tmp_path / "a.gbk").write_text(COMPOUND)
+    got = files.genbank_features(spark, str(tmp_path / "a.gbk")).withColumn("parts", files.segments(F.col("location"))).orderBy("record", "ord").collect()
+    assert [r["location"] for r in got] == ["1..120", "join(11..19,complement(31..40),<51..>60)", "complement(order(21..29,J00194.1:100..202,41..50))", "70^71", "1..9"]
+    assert [tuple(p) for p in got[1]["parts"]] == [(10, 19, 1, False, False), (30, 40, -1, False, False), (50, 60, 1, True, True)]
+    assert [tuple(p) for p in got[2]["parts"]] == [(20, 29, -1, False, False), (40, 50, -1, False, False)]
+    assert [(r["start"], r["end"]) for r in got] == [(0, 120), (10, 60), (20, 50), (69, 71), (0, 9)]
+    moved = spark.createDataFrame([(r["location"],) for r in got], "x string").select(files.moved_location(F.col("x"), F.lit(-10)).alias("x")).collect()
+    assert [r["x"] for r in moved[1:4]] == ["join(1..9,complement(21..30),<41..>50)", "complement(order(11..19,J00194.1:100..202,31..40))", "60^61"]
+    # written and read again, a long one over several lines
+    long = "join(" + ",".join(f"{i}..{i + 5}" for i in range(1, 400, 10)) + ")"
+    features = spark.createDataFrame([("r", 0, 396, "CDS", 1, {"gene": ["g"]}, long), ("r", 5, 9, "CDS", -1, {"gene": ["h"]}, None)], "id string, start long, end long, type string, strand int, qualifiers map<string,array<string>>, location string")
+    text = files.genbank_text(spark.createDataFrame([("r", "d", "ACGT" * 100)], "id string, description string, seq string"), features).first()["value"]
+    assert max(map(len, text.split("\n"))) < 81
+    (tmp_path / "b.gbk").write_text(text + "\n")
+    again = files.genbank_features(spark, str(tmp_path / "b.gbk")).orderBy("ord").collect()
+    assert [(r["location"], r["start"], r["end"], r["strand"]) for r in again] == [(long, 0, 396, 1), ("complement(6..9)", 5, 9, -1)]
+
+
+def test_filtered_records_stay_as_they_are(spark, tmp_path):
+    from strandlake import cli
+
+    (tmp_path / "a.gbk").write_text(COMPOUND)
+    assert cli.main(["contig-filter", "--gbk", str(tmp_path / "a.gbk"), "--min-length", "10", "--out-dir", str(tmp_path / "out")]) == 0
+    out = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "out" / "filtered.gbk")).collect()) + "\n"
+    assert out == COMPOUND[: COMPOUND.index("LOCUS       C2")]
+    of = lambda p: [tuple(r)[2:] for r in files.genbank_features(spark, p).orderBy("record", "ord").collect()]
+    assert of(str(tmp_path / "out" / "filtered.gbk")) == of(str(tmp_path / "a.gbk"))
+
+
+def test_regions_keep_compound_locations(spark, tmp_path):
+    (tmp_path / "a.gbk").write_text(COMPOUND)
+    features = files.genbank_features(spark, str(tmp_path / "a.gbk")).filter("location <> '1..9'").withColumn("seqid", F.lit("C1.1"))
+    regions = spark.createDataFrame([("r1", "C1.1", 10, 65), ("r2", "C1.1", 15, 65)], "id string, seqid string, start long, end long")
+    got = {(r["id"], r["location"]) for r in files.region_features(regions, features).collect()}
+    assert got == {("r1", "join(1..9,complement(21..30),<41..>50)"), ("r1", "complement(order(11..19,J00194.1:100..202,31..40))"), ("r2", "complement(order(6..14,J00194.1:100..202,26..35))")}
