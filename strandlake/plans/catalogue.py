@@ -375,7 +375,7 @@ def token_batches(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def seq_validation(spark: SparkSession, d: str) -> DataFrame:
-    found = sequences.validated(A.contigs(spark, d).select("ord", F.replace(F.element_at(F.split("seq", " "), 1), F.lit("ß"), F.lit("s")).alias("seq")))
+    found = sequences.validated(A.contigs(spark, d).select("ord", F.replace("seq", F.lit("ß"), F.lit("s")).alias("seq")))
     return found.select("ord", "seq", "bad")
 
 

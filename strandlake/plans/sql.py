@@ -215,7 +215,7 @@ def statements() -> dict[str, str]:
  CASE WHEN used = 0 AND n > 6000 THEN 0 WHEN used > 0 AND used + n > 6000 THEN n ELSE used + n END, (used = 0 AND n > 6000)::BIGINT FROM r JOIN k ON k.file = r.file AND k.p = r.p + 1)
  SELECT file, ord, batch FROM r""",
         "seq_validation": """SELECT doc_id AS ord, upper(trim(w)) AS seq, CASE WHEN length(trim(w)) = 0 THEN 'empty' ELSE coalesce(array_to_string(list_sort(list_filter(list_distinct(string_split(upper(trim(w)), '')), lambda c: NOT regexp_full_match(c, '[A-Z]'))), ''), '') END AS bad
- FROM (SELECT doc_id, replace(string_split(text, ' ')[1], 'ß', 's') AS w FROM documents)""",
+ FROM (SELECT doc_id, replace(text, 'ß', 's') AS w FROM documents)""",
         "bgc_pool_mean": f"WITH {PRO} SELECT bgc, count(*) AS n_proteins, k, round(avg(CAST(x AS DECIMAL(28, 14)))::DOUBLE, 6) AS x FROM pro GROUP BY bgc, k",
         "bgc_pool_max": f"WITH {PRO} SELECT bgc, count(*) AS n_proteins, k, round(max(x), 6) AS x FROM pro GROUP BY bgc, k",
         "bgc_pool_pe": f"WITH {PEN} SELECT bgc, n AS n_proteins, k, round(x / m, 6) AS x FROM pol JOIN pon USING (bgc)",
