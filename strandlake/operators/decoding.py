@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strandlake.operators import intervals
-from strandlake.shared import cut
+from strandlake.shared import cut, drop
 
 
 def per_orf_max(orfs: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -37,38 +43,141 @@ def grid(spark, step: float = 0.005) -> DataFrame:
     return spark.range(n + 1).select((F.col("id").cast("double") * F.lit(step)).alias("threshold"))
 
 
+#: Consecutive frames of a sample that are looked at together; longer samples are parted there and their regions joined again.
+BLOCK = 4096
+
+
+def _nearest_less(level: np.ndarray, step: int, ties: bool) -> np.ndarray:
+    """For each place the nearest one before it (``step`` -1) or after it (1) whose level is less, or with ``ties`` as low;
+    0 stands at both ends. All places jump at once, over what places between have already passed."""
+    near = np.arange(len(level)) + step
+    near[[0, -1]] = 0, len(level) - 1
+    over = np.greater if ties else np.greater_equal
+    left = np.flatnonzero(level)
+    while len(left := left[over(level[near[left]], level[left])]):
+        near[left] = near[near[left]]
+    return near
+
+
+def _regions(thresholds: list[float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Regions of sorted frames (sample, orf_idx, start, end, score), each with the thresholds between which it lives."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sample, index = batch.column("sample"), batch.column("orf_idx").to_numpy()
+            level = np.searchsorted(thresholds, batch.column("score").to_numpy(), "right")
+            other = np.ones(batch.num_rows - 1, bool)
+            if len(other):
+                same = pc.equal(sample.slice(0, batch.num_rows - 1), sample.slice(1))
+                other = ~same.fill_null(False).to_numpy(zero_copy_only=False) | (np.diff(index) != 1)
+            # a place of level 0 before each stretch of frames and after the last one
+            place = np.arange(batch.num_rows) + 1 + np.cumsum(np.r_[False, other])
+            at = np.zeros(place[-1] + 2, np.int64)
+            at[place] = level
+            frame = np.full(len(at), -1)
+            frame[place] = np.arange(batch.num_rows)
+            before, after = _nearest_less(at, -1, True), _nearest_less(at, 1, False)
+            # the first of a region's lowest frames stands for it
+            own = np.flatnonzero((at > 0) & (at[before] < at))
+            first, last = frame[before[own] + 1], frame[after[own] - 1]
+            # where this batch or a block ends, the region may go on elsewhere
+            inner = (first > 0) & (last < batch.num_rows - 1) & ((index[first] % BLOCK != 0) | (index[first] == 0)) & (index[last] % BLOCK != BLOCK - 1)
+            columns = [sample.take(pa.array(first)), index[first], index[last], batch.column("start").take(pa.array(first)), batch.column("end").take(pa.array(last))]
+            columns += [np.maximum(at[before[own]], at[after[own]]), at[own], ~inner]
+            yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["sample", "first", "last", "start", "end", "above", "upto", "open"])
+
+    return found
+
+
+def regions_by_threshold(scored: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(sample, first, last, start, end, above, upto): every region that ``decode`` gives at some threshold, once.
+
+    It is one at the thresholds numbered above + 1 to upto, in rising order from 1.
+    Frames (sample, orf_idx, start, end, score) are numbered from 0 in their sample.
+    As the threshold falls, regions are born, grow and merge: a region lives from its
+    lowest frame's score down to the higher of the two frames beside it, so there
+    are no more of them than frames, however many thresholds there are. A long
+    sample is dealt out in blocks of frames; what touches a block's end is joined
+    across blocks at each threshold, some two rows a block and threshold. The rows
+    rest on a table of ``cut``, which ``drop`` deletes.
+    """
+    called = scored.filter(F.col("score") >= F.lit(min(thresholds, default=float("nan")))).select("sample", F.col("orf_idx").cast("long"), F.col("start").cast("long"), F.col("end").cast("long"), F.col("score").cast("double"))
+    block = F.greatest(F.floor(F.col("orf_idx") / BLOCK), F.lit(0))
+    dealt = called.repartition("sample", block).sortWithinPartitions("sample", "orf_idx")
+    counted = [T.StructField(c, T.LongType()) for c in ("first", "last", "start", "end", "above", "upto")]
+    pieces = cut(dealt.mapInArrow(_regions(sorted(thresholds)), T.StructType([called.schema["sample"], *counted, T.StructField("open", T.BooleanType())])))
+    at = pieces.filter("open").withColumn("k", F.explode(F.sequence(F.col("above") + 1, F.col("upto"))))
+    along = Window.partitionBy("sample", "k").orderBy("first")
+    begins = F.coalesce(F.lag("last").over(along) + 1 != F.col("first"), F.lit(True)).cast("long")
+    chained = at.withColumn("begins", begins).withColumn("chain", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    joined = chained.groupBy("sample", "k", "chain").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("start", "first").alias("start"), F.max_by("end", "last").alias("end"))
+    joined = joined.groupBy("sample", "first", "last", "start", "end").agg((F.min("k") - 1).alias("above"), F.max("k").alias("upto"))
+    out = pieces.filter("not open").drop("open").unionByName(joined)
+    out.stored_at = pieces.stored_at
+    return out
+
+
+def _lives(rows: DataFrame, **counts: Column) -> DataFrame:
+    """(k, counts): what begins to count at threshold k, and from which on it doesn't."""
+    first = F.struct((F.col("above") + 1).alias("k"), *(c.cast("long").alias(n) for n, c in counts.items()))
+    then = F.struct((F.col("upto") + 1).alias("k"), *((-c.cast("long")).alias(n) for n, c in counts.items()))
+    return rows.select(F.explode(F.array(first, then)).alias("e")).groupBy("e.k").agg(*(F.sum(f"e.{n}").alias(n) for n in counts))
+
+
+def _ever(rows: DataFrame, *keys: str) -> DataFrame:
+    """(above, upto) without overlaps of a key: the thresholds at which at least one of its rows lives."""
+    order = Window.partitionBy(*keys).orderBy("above", "upto").rowsBetween(Window.unboundedPreceding, -1)
+    begun = F.greatest(F.col("above"), F.coalesce(F.max("upto").over(order), F.lit(0)))
+    return rows.select(begun.alias("above"), "upto").filter("above < upto")
+
+
 def sweep(samples: DataFrame, orfs: DataFrame, annotations: DataFrame, truth: DataFrame, coding: DataFrame, thresholds: DataFrame) -> DataFrame:
     """A row per threshold: counts over all samples, ratios and F1 for regions and coding regions.
 
-    The frames' scores don't depend on the threshold and are computed once; the
-    list of thresholds is a short constant and is broadcast, and only frames at or
-    over each are kept. The regions that follow are stored and meet the true and
-    the coding regions of their sample once, whatever the threshold. Samples
-    without a prediction still count their true regions.
+    Thresholds are a short list, read by the driver. Neither frames nor regions are
+    repeated by threshold: each region of any threshold meets the true and the coding
+    regions of its sample once, and counts are sums of what begins and ends at each
+    threshold. Samples without a prediction still count their true regions. A null or
+    NaN threshold counts nothing as predicted.
     """
     known = samples.select("sample").distinct()
     of = lambda df: df.join(known, "sample", "left_semi")
-    each = of(per_orf_max(orfs, annotations)).crossJoin(F.broadcast(thresholds)).filter(F.col("score") >= F.col("threshold"))
-    predicted = cut(decode(each, nucleotide=True).withColumn("region", F.monotonically_increasing_id()))
+    listed = thresholds.select(F.col("threshold").cast("double").alias("threshold")).distinct()
+    steps = sorted(r[0] for r in listed.filter("threshold is not null and not isnan(threshold)").collect())
+    regions = regions_by_threshold(of(per_orf_max(orfs, annotations)), steps)
+    predicted = cut(regions.drop("first", "last"))
+    drop(regions)
     real = cut(of(truth).select("sample", "start", "end").withColumn("real", F.monotonically_increasing_id()))
     coded = of(coding).select("sample", "locus_tag", "start", "end", "in_gt")
 
-    def met(other: DataFrame) -> DataFrame:
+    def met(other: DataFrame, how: str = "inner") -> DataFrame:
         o = other.withColumnsRenamed({"sample": "of", "start": "from", "end": "to"})
-        return predicted.join(o, (F.col("sample") == F.col("of")) & intervals.overlap(F.col("start"), F.col("end"), F.col("from"), F.col("to")))
+        return predicted.join(o, (F.col("sample") == F.col("of")) & intervals.overlap(F.col("start"), F.col("end"), F.col("from"), F.col("to")), how)
 
+    one = F.lit(1)
     true = coded.filter("in_gt").select("sample", "locus_tag", "start", "end").distinct()
     tags = true.select("sample", "locus_tag").distinct()
-    regions = predicted.groupBy("threshold").agg(F.count("*").alias("n_pred"))
-    touched = met(real).groupBy("threshold").agg(F.countDistinct("region").alias("tp"), F.countDistinct("real").alias("hit"))
-    covered = met(true).select("threshold", "sample", "locus_tag").distinct().groupBy("threshold").agg(F.count("locus_tag").alias("orf_covered_cds"))
-    under = met(coded).join(tags.withColumn("true", F.lit(1)), ["sample", "locus_tag"], "left")
-    under = under.groupBy("threshold").agg(F.count("locus_tag").alias("orf_n_pred_cds"), F.count("true").alias("orf_correct_pred_cds"))
+    under = met(coded.join(tags.withColumn("true", one), ["sample", "locus_tag"], "left"))
+    parts = [
+        _lives(predicted, n_pred=one),
+        _lives(met(real, "left_semi"), tp=one),
+        _lives(_ever(met(real), "real"), hit=one),
+        _lives(_ever(met(true), "sample", "locus_tag"), orf_covered_cds=one),
+        _lives(under, orf_n_pred_cds=F.col("locus_tag").isNotNull(), orf_correct_pred_cds=F.col("true").isNotNull()),
+    ]
+    counted = parts[0]
+    for part in parts[1:]:
+        counted = counted.unionByName(part, allowMissingColumns=True)
+    names = ["n_pred", "tp", "hit", "orf_covered_cds", "orf_n_pred_cds", "orf_correct_pred_cds"]
+    counted = counted.groupBy("k").agg(*(F.sum(n).alias(n) for n in names))  # a row for each threshold at most
+    spark = predicted.sparkSession
+    numbered = spark.createDataFrame([(i + 1, t) for i, t in enumerate(steps)], "k long, step double")
+    down = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = numbered.join(counted, "k", "left").select("step", *(F.sum(F.coalesce(n, F.lit(0))).over(down).alias(n) for n in names))
     whole = real.agg(F.count("*").alias("n_true")).crossJoin(tags.agg(F.count("locus_tag").alias("orf_n_gt_cds")))  # one row
-    out = thresholds.crossJoin(F.broadcast(whole))
-    for part in (regions, touched, covered, under):
-        out = out.join(F.broadcast(part), "threshold", "left")  # a row for each threshold at most
-    out = out.fillna(0)
+    out = thresholds.crossJoin(F.broadcast(whole)).join(F.broadcast(held), F.col("threshold") == F.col("step"), "left").fillna(0, names)
     rows = out.select("threshold", F.col("tp").alias("cluster_tp"), (F.col("n_pred") - F.col("tp")).alias("cluster_fp"), (F.col("n_true") - F.col("hit")).alias("cluster_fn"), *intervals.COUNTS[3:])
     out = intervals.micro(rows, ("threshold",))
     return out.select("threshold", *intervals.COUNTS, "cluster_precision", "cluster_recall", "cluster_f1", "orf_precision", "orf_recall", "orf_f1")

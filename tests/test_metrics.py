@@ -57,6 +57,38 @@ def test_decoding(spark):
     assert [tuple(r)[1:] for r in decoding.decode(scored, 0.0).collect()] == [(0, 7)]
 
 
+@pytest.mark.parametrize("block", [4, 4096])
+def test_regions_of_all_thresholds(spark, monkeypatch, block):
+    monkeypatch.setattr(decoding, "BLOCK", block)
+    rng, steps = np.random.default_rng(block), [0.0, 0.1, 0.25, 0.5, 0.7, 1.0]
+    rows = [(s, i, 100 * i + 3, 100 * i + 90, float(rng.integers(-1, 11)) / 10) for s, n in (("s", 60), ("t", 25), ("u", 1)) for i in range(n) if rng.random() < 0.95]
+    scored = spark.createDataFrame(rows, "sample string, orf_idx int, start int, end int, score double").repartition(3)
+    found = decoding.regions_by_threshold(scored, steps).collect()
+    for k, t in enumerate(steps, 1):
+        want = sorted(tuple(r) for r in decoding.decode(scored, t, nucleotide=True).collect())
+        assert sorted((r["sample"], r["start"], r["end"]) for r in found if r["above"] < k <= r["upto"]) == want
+    assert len({(r["sample"], r["first"], r["last"]) for r in found}) == len(found) <= len(rows)
+
+
+def test_sweep_equals_counts_of_each_threshold(spark, monkeypatch):
+    monkeypatch.setattr(decoding, "BLOCK", 8)
+    rng, names = np.random.default_rng(5), ["s", "t", "lonely"]
+    orfs = spark.createDataFrame([(s, i, 10 * i, 10 * i + 8) for s in names[:2] for i in range(40)], "sample string, orf_idx long, start long, end long")
+    ann = spark.createDataFrame([(s, i, float(rng.random())) for s in names[:2] for i in range(40)], "sample string, orf_idx long, score double")
+    truth = spark.createDataFrame([("s", 20, 95), ("s", 90, 130), ("t", 300, 320), ("lonely", 0, 5), ("unknown", 0, 5)], "sample string, start long, end long")
+    coding = orfs.select("sample", F.concat(F.lit("c"), F.expr("orf_idx div 2")).alias("locus_tag"), "start", "end", (F.col("orf_idx") % 5 == 0).alias("in_gt"))
+    known = spark.createDataFrame([(s,) for s in names], "sample string")
+    steps = spark.createDataFrame([(0.0,), (0.2,), (0.5,), (0.9,), (1.0,), (None,)], "threshold double")
+    got = {r["threshold"]: r for r in decoding.sweep(known, orfs, ann, truth, coding, steps).collect()}
+    scored = decoding.per_orf_max(orfs, ann)
+    for t in (0.0, 0.2, 0.5, 0.9, 1.0):
+        pred = decoding.decode(scored, t, nucleotide=True)
+        c, o = intervals.cluster_eval(known, truth.filter("sample <> 'unknown'"), pred), intervals.orf_eval(known, coding, pred)
+        want = {n: sum(r[n] for r in df.collect()) for df, some in ((c, intervals.COUNTS[:3]), (o, intervals.COUNTS[3:])) for n in some}
+        assert {n: got[t][n] for n in intervals.COUNTS} == want
+    assert (got[None]["cluster_tp"], got[None]["cluster_fn"], got[None]["orf_n_pred_cds"]) == (0, 4, 0)
+
+
 def test_curves(spark):
     rng = np.random.default_rng(0)
     rows = [(float(round(s, 1)), int(t)) for s, t in zip(rng.random(60), rng.random(60) < 0.4)]
