@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strandlake.operators import intervals
-from strandlake.shared import cut, drop
+from strandlake.shared import cut
 
 
 def per_orf_max(orfs: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -100,8 +100,7 @@ def regions_by_threshold(scored: DataFrame, thresholds: list[float]) -> DataFram
     lowest frame's score down to the higher of the two frames beside it, so there
     are no more of them than frames, however many thresholds there are. A long
     sample is dealt out in blocks of frames; what touches a block's end is joined
-    across blocks at each threshold, some two rows a block and threshold. The rows
-    rest on a table of ``cut``, which ``drop`` deletes.
+    across blocks at each threshold, some two rows a block and threshold.
     """
     called = scored.filter(F.col("score") >= F.lit(min(thresholds, default=float("nan")))).select("sample", F.col("orf_idx").cast("long"), F.col("start").cast("long"), F.col("end").cast("long"), F.col("score").cast("double"))
     block = F.greatest(F.floor(F.col("orf_idx") / BLOCK), F.lit(0))
@@ -114,9 +113,7 @@ def regions_by_threshold(scored: DataFrame, thresholds: list[float]) -> DataFram
     chained = at.withColumn("begins", begins).withColumn("chain", F.sum("begins").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     joined = chained.groupBy("sample", "k", "chain").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("start", "first").alias("start"), F.max_by("end", "last").alias("end"))
     joined = joined.groupBy("sample", "first", "last", "start", "end").agg((F.min("k") - 1).alias("above"), F.max("k").alias("upto"))
-    out = pieces.filter("not open").drop("open").unionByName(joined)
-    out.stored_at = pieces.stored_at
-    return out
+    return pieces.filter("not open").drop("open").unionByName(joined)
 
 
 def _lives(rows: DataFrame, **counts: Column) -> DataFrame:
@@ -146,11 +143,9 @@ def sweep(samples: DataFrame, orfs: DataFrame, annotations: DataFrame, truth: Da
     of = lambda df: df.join(known, "sample", "left_semi")
     listed = thresholds.select(F.col("threshold").cast("double").alias("threshold")).distinct()
     steps = sorted(r[0] for r in listed.filter("threshold is not null and not isnan(threshold)").collect())
-    regions = regions_by_threshold(of(per_orf_max(orfs, annotations)), steps)
-    predicted = cut(regions.drop("first", "last"))
-    drop(regions)
+    predicted = regions_by_threshold(of(per_orf_max(orfs, annotations)), steps).drop("first", "last")
     real = cut(of(truth).select("sample", "start", "end").withColumn("real", F.monotonically_increasing_id()))
-    coded = of(coding).select("sample", "locus_tag", "start", "end", "in_gt")
+    coded = cut(of(coding).select("sample", "locus_tag", "start", "end", "in_gt"))
 
     def met(other: DataFrame, how: str = "inner") -> DataFrame:
         o = other.withColumnsRenamed({"sample": "of", "start": "from", "end": "to"})

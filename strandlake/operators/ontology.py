@@ -64,10 +64,10 @@ def resnik(pairs: DataFrame, closed: DataFrame, ic: DataFrame) -> DataFrame:
     # the value is the same either way, so each pair is looked at once
     low, high = F.least("t1", "t2"), F.greatest("t1", "t2")
     once = pairs.filter("t1 <> t2").select(low.alias("t1"), high.alias("t2")).distinct()
-    up = closed.select("term", "ancestor")
-    met = once.join(up.select(F.col("term").alias("t1"), "ancestor"), "t1").join(up.select(F.col("term").alias("t2"), "ancestor"), ["t2", "ancestor"])
-    best = met.join(ic.withColumnRenamed("term", "ancestor"), "ancestor").groupBy("t1", "t2").agg(F.max("ic").alias("best"))
-    best = best.select(F.col("t1").alias("low"), F.col("t2").alias("high"), "best")
+    # a term's ancestors travel as one array, so a pair of terms stays one row
+    above = closed.join(ic.withColumnRenamed("term", "ancestor"), "ancestor").groupBy("term").agg(F.collect_set(F.struct("ic", "ancestor")).alias("up"))
+    met = once.join(above.select(F.col("term").alias("t1"), F.col("up").alias("u1")), "t1").join(above.select(F.col("term").alias("t2"), F.col("up").alias("u2")), "t2")
+    best = met.select(F.col("t1").alias("low"), F.col("t2").alias("high"), F.array_max(F.array_intersect("u1", "u2"))["ic"].alias("best"))
     own = ic.select(F.col("term").alias("t1"), F.col("ic").alias("own"))
     out = pairs.withColumns({"low": low, "high": high}).join(best, ["low", "high"], "left").join(own, "t1", "left")
     value = F.when(F.col("t1") == F.col("t2"), F.col("own")).otherwise(F.col("best"))
@@ -83,28 +83,33 @@ def lin(pairs: DataFrame, closed: DataFrame, ic: DataFrame) -> DataFrame:
     return r.join(one, "t1", "left").join(two, "t2", "left").select("t1", "t2", F.when(total > 0, F.least(2 * F.col("resnik") / total, F.lit(1.0))).otherwise(0.0).alias("lin"))
 
 
-def _best(sets_a: DataFrame, sets_b: DataFrame, compared: DataFrame, scored: DataFrame, value: str) -> DataFrame:
-    """(a, b, term, best): for each term of entity a its best match in entity b, over the entity pairs ``compared``."""
-    met = compared.join(sets_a.select(F.col("entity").alias("a"), F.col("term").alias("t1")), "a").join(sets_b.select(F.col("entity").alias("b"), F.col("term").alias("t2")), "b")
-    return met.join(scored, ["t1", "t2"]).groupBy("a", "b", F.col("t1").alias("term")).agg(F.max(value).alias("best"))
+def _met(sets: DataFrame, compared: DataFrame, scored: DataFrame, value: str) -> DataFrame:
+    """(a, b, t1, t2, value): the terms of entity a beside those of entity b, a row for each two that are scored."""
+    met = compared.select("a", "b").join(sets.select(F.col("entity").alias("a"), F.col("term").alias("t1")), "a").join(sets.select(F.col("entity").alias("b"), F.col("term").alias("t2")), "b")
+    return met.join(scored.select("t1", "t2", value), ["t1", "t2"])
+
+
+def _mean(best: DataFrame, compared: DataFrame) -> DataFrame:
+    mean = best.groupBy("a", "b").agg(F.avg(F.col("best").cast("decimal(28,14)")).cast("double").alias("score"))
+    return compared.join(mean, ["a", "b"], "left").fillna(0.0, ["score"])
 
 
 def best_match_average(sets: DataFrame, compared: DataFrame, scored: DataFrame, value: str) -> DataFrame:
     """(a, b, score): mean of both sides' best matches, pooled; 0 where a side has no term.
 
-    ``sets``: (entity, term), distinct; ``compared``: (a, b); ``scored``: (t1, t2, value) both ways.
+    ``sets``: (entity, term), distinct; ``compared``: (a, b); ``scored``: (t1, t2, value),
+    the terms of a with those of b. The value is one for both ways, so the terms are
+    expanded once, and dealt by entity pair once: both sides' maxima and the mean
+    are taken where the rows then are.
     """
-    scored = cut(scored)  # both ways read it
-    there = _best(sets, sets, compared, scored, value)
-    back = _best(sets, sets, compared.select(F.col("b").alias("a"), F.col("a").alias("b")), scored, value).select(F.col("b").alias("a"), F.col("a").alias("b"), "term", "best")
-    mean = there.unionByName(back).groupBy("a", "b").agg(F.avg(F.col("best").cast("decimal(28,14)")).cast("double").alias("score"))
-    return compared.join(mean, ["a", "b"], "left").fillna(0.0, ["score"])
+    met = _met(sets, compared, scored, value).repartition("a", "b")
+    there, back = (met.groupBy("a", "b", F.col(t).alias("term")).agg(F.max(value).alias("best")) for t in ("t1", "t2"))
+    return _mean(there.unionByName(back), compared)
 
 
 def coverage(sets: DataFrame, compared: DataFrame, scored: DataFrame) -> DataFrame:
     """(a, b, score): mean over the terms of a, the target, of their best Lin match in b, the query."""
-    mean = _best(sets, sets, compared, scored, "lin").groupBy("a", "b").agg(F.avg(F.col("best").cast("decimal(28,14)")).cast("double").alias("score"))
-    return compared.join(mean, ["a", "b"], "left").fillna(0.0, ["score"])
+    return _mean(_met(sets, compared, scored, "lin").groupBy("a", "b", "t1").agg(F.max("lin").alias("best")), compared)
 
 
 def by_greatest(scores: DataFrame, ic: DataFrame) -> DataFrame:

@@ -262,40 +262,41 @@ def ic_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _compared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Orders compared with the next one of their customer, and all pairs of terms that this takes."""
+    """Orders compared with the next one of their customer, and the pairs of terms, of the one with the other, that this takes."""
     from pyspark.sql.window import Window
 
     after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     compared = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), after.alias("b")).filter("b is not null")
     sets = A.term_sets(spark, d)
     one = compared.join(sets.select(F.col("entity").alias("a"), F.col("term").alias("t1")), "a").join(sets.select(F.col("entity").alias("b"), F.col("term").alias("t2")), "b")
-    both = one.select("t1", "t2").unionByName(one.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"))).distinct()
-    return compared, both
+    return compared, one.select("t1", "t2").distinct()
 
 
 @query
 def lin_pairs(spark: SparkSession, d: str) -> DataFrame:
     closed, ic = _content(spark, d)
-    return rounded(ontology.lin(_compared(spark, d)[1], closed, ic))
+    there = _compared(spark, d)[1]
+    both = there.unionByName(there.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"))).distinct()
+    return rounded(ontology.lin(both, closed, ic))
 
 
 @query
 def semantic_bma(spark: SparkSession, d: str) -> DataFrame:
-    (closed, ic), (compared, both) = _content(spark, d), _compared(spark, d)
-    return rounded(ontology.best_match_average(A.term_sets(spark, d), compared, ontology.lin(both, closed, ic), "lin"), 8)
+    (closed, ic), (compared, met) = _content(spark, d), _compared(spark, d)
+    return rounded(ontology.best_match_average(A.term_sets(spark, d), compared, ontology.lin(met, closed, ic), "lin"), 8)
 
 
 @query
 def resnik_bma(spark: SparkSession, d: str) -> DataFrame:
-    (closed, ic), (compared, both) = _content(spark, d), _compared(spark, d)
-    found = ontology.best_match_average(A.term_sets(spark, d), compared, ontology.resnik(both, closed, ic), "resnik")
+    (closed, ic), (compared, met) = _content(spark, d), _compared(spark, d)
+    found = ontology.best_match_average(A.term_sets(spark, d), compared, ontology.resnik(met, closed, ic), "resnik")
     return rounded(ontology.by_greatest(found, ic), 8)
 
 
 @query
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    (closed, ic), (compared, both) = _content(spark, d), _compared(spark, d)
-    return rounded(ontology.coverage(A.term_sets(spark, d), compared, ontology.lin(both, closed, ic)), 8)
+    (closed, ic), (compared, met) = _content(spark, d), _compared(spark, d)
+    return rounded(ontology.coverage(A.term_sets(spark, d), compared, ontology.lin(met, closed, ic)), 8)
 
 
 # -- classes -----------------------------------------------------------------

@@ -10,6 +10,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from strandlake.shared import cut
 
 _WRAP = 60
 #: Letters of a line of a location.
@@ -19,12 +22,36 @@ _REMOTE = r"[A-Za-z_][\w.]*:[^,)]*"
 _SEGMENT = r"(?:complement\()?<?\d+(?:(?:\.\.|\^|\.)>?\d+)?"
 
 
+def in_order(spark: SparkSession, path: str, separator: str, number: str) -> DataFrame:
+    """(path, number, value) of text split at a separator; numbers rise with the path, then with the place in the file.
+
+    Spark deals files to tasks by size and numbers rows by task, which is the file's
+    order where there is one file. Of several, a first pass counts the rows of each
+    split of a file, which Spark makes, and their sums in order of path and offset
+    are where a split's numbers begin. That table has a row for each split, is stored,
+    and is broadcast only where the planner finds its stored size small enough.
+    """
+    row = F.monotonically_increasing_id().alias("_row")
+    raw = spark.read.option("lineSep", separator).text(path)
+    if len(raw.inputFiles()) < 2:
+        return raw.select(F.col("_metadata.file_path").alias("path"), row.alias(number), "value")
+    held = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), row, "value")
+    splits = cut(held.groupBy("path", "_block").agg(F.min("_row").alias("_first"), F.count("*").alias("_n")))
+    # files first, so that splits are summed within each of them and one task sums files only
+    files = splits.groupBy("path").agg(F.sum("_n").alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("path", before(Window.orderBy("path")).alias("_file"))
+    splits = splits.select("path", "_block", "_first", before(Window.partitionBy("path").orderBy("_block")).alias("_before"))
+    begins = cut(splits.join(files, "path").select("path", "_block", (F.col("_file") + F.col("_before") - F.col("_first")).alias("_begin")))
+    return held.join(begins, ["path", "_block"]).select("path", (F.col("_row") + F.col("_begin")).alias(number), "value")
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ord, id, description, seq): a record for each header, in file order; ord is unique over the files.
+    """(path, ord, id, description, seq): a record for each header; ord rises with the files' paths and the place in each.
 
     Records are split by Spark at the header sign, so a large file is read by many tasks.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("ord"), F.regexp_replace("value", "^>", "").alias("value"))
+    raw = in_order(spark, path, "\n>", "ord").withColumn("value", F.regexp_replace("value", "^>", ""))
     head = F.regexp_replace(F.substring_index("value", "\n", 1), "\r$", "")
     body = F.when(F.instr("value", "\n") > 0, F.regexp_replace(F.expr("substring(value, instr(value, '\n') + 1)"), r"\s", "")).otherwise("")
     return raw.filter(F.trim("value") != "").select("path", "ord", F.split_part(F.regexp_replace(head, r"\s", " "), F.lit(" "), F.lit(1)).alias("id"), head.alias("description"), body.alias("seq"))
@@ -36,8 +63,7 @@ def fasta_proteins(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("lineSep", "\n//").text(path)
-    return raw.select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("record"), F.regexp_replace("value", r"^\s+", "").alias("value")).filter("value <> ''")
+    return in_order(spark, path, "\n//", "record").withColumn("value", F.regexp_replace("value", r"^\s+", "")).filter("value <> ''")
 
 
 def _section(name: str, until: str) -> Column:
@@ -109,8 +135,8 @@ def require_records(records: DataFrame) -> DataFrame:
 
 
 def gff(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, raw) of a file's lines; numbers rise with the lines and have gaps between input splits."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("raw"))
+    """(line_no, raw) of the lines; numbers rise with the files' paths and the lines of each, and can have gaps."""
+    return in_order(spark, path, "\n", "line_no").select("line_no", F.regexp_replace("value", "\r$", "").alias("raw"))
 
 
 def obo(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +171,7 @@ def _obo_stanzas(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".zip"):
         held = spark.read.format("binaryFile").load(path)
         return held.select(F.posexplode(F.arrow_udf(_stanzas, "array<string>")("content")).alias("ord", "value")).select(F.col("ord").cast("long"), "value")
-    return spark.read.option("lineSep", "\n[").text(path).select(F.monotonically_increasing_id().alias("ord"), "value")
+    return in_order(spark, path, "\n[", "ord").select("ord", "value")
 
 
 def tsv(spark: SparkSession, path: str, needed: tuple[str, ...]) -> DataFrame:

@@ -360,3 +360,28 @@ def test_regions_keep_compound_locations(spark, tmp_path):
     regions = spark.createDataFrame([("r1", "C1.1", 10, 65), ("r2", "C1.1", 15, 65)], "id string, seqid string, start long, end long")
     got = {(r["id"], r["location"]) for r in files.region_features(regions, features).collect()}
     assert got == {("r1", "join(1..9,complement(21..30),<41..>50)"), ("r1", "complement(order(11..19,J00194.1:100..202,31..40))"), ("r2", "complement(order(6..14,J00194.1:100..202,26..35))")}
+
+
+@pytest.mark.parametrize("block", ["64", "128m"])
+def test_records_are_numbered_by_path_and_place(spark, tmp_path, block):
+    """The larger file comes later by its name, but first in Spark's packing; small blocks part each."""
+    (tmp_path / "fa").mkdir()
+    (tmp_path / "gff").mkdir()
+    names = [("a", 3), ("b", 40), ("c", 9)]
+    for name, n in names:
+        (tmp_path / "fa" / f"{name}.fa").write_text("".join(f">{name}{i} word\nAC\nGT\n" for i in range(n)))
+        (tmp_path / "gff" / f"{name}.gff").write_text("".join(f"{name}{i}\tx\r\n" for i in range(n)))
+    want = [f"{name}{i}" for name, n in names for i in range(n)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in held:
+            spark.conf.set(k, block)
+        records = files.fasta(spark, f"{tmp_path}/fa")
+        got = records.orderBy("ord").collect()
+        assert [r["id"] for r in got] == want and len({r["ord"] for r in got}) == len(want) and {r["seq"] for r in got} == {"ACGT"}
+        assert [r["raw"] for r in files.gff(spark, f"{tmp_path}/gff").orderBy("line_no").collect()] == [f"{w}\tx" for w in want]
+        one = files.fasta(spark, f"{tmp_path}/fa/b.fa").orderBy("ord").collect()
+        assert [r["id"] for r in one] == [w for w in want if w[0] == "b"]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
