@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import functions as F
 
-from strandlake import logs
+from strandlake import config, logs
 from strandlake.operators import sequences
 from strandlake.plans import clustering
 from strandlake.session import get_session
@@ -124,6 +124,7 @@ def _project(a: argparse.Namespace, spark) -> int:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="strandlake")
+    top.add_argument("--config", help="YAML file of settings, an object for each command")
     top.add_argument("--log-level", default="INFO")
     top.add_argument("--log-file")
     commands = top.add_subparsers(dest="command", required=True)
@@ -177,8 +178,37 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def arguments(args: Sequence[str] | None = None) -> argparse.Namespace:
+    """The arguments of a command: flags, over the environment (STRANDLAKE_<COMMAND>__<OPTION>) and .env, over a YAML
+    file (``--config``, which has an object for each command), over defaults.
+
+    A dash in a command's or an option's name may be an underscore in settings. What
+    settings give needn't be given as a flag; an option that a command doesn't have is an error.
+    """
+    first = argparse.ArgumentParser(add_help=False, allow_abbrev=False)
+    first.add_argument("--config")
+    path = first.parse_known_args(args)[0].config
+    top = parser()
+    commands = next(x for x in top._actions if isinstance(x, argparse._SubParsersAction)).choices
+    held = config.load({}, path)
+    given = {name.replace("_", "-"): values or {} for name, values in held.items() if name.replace("_", "-") in commands}
+    for name, values in given.items():
+        options = {x.dest: x for x in commands[name]._actions if x.option_strings and x.dest != "help"}
+        for key, value in values.items():
+            if (option := options.get(key.replace("-", "_"))) is None:
+                commands[name].error(f"settings give {key!r}, which is no option of {name}")
+            if isinstance(value, list) != (option.nargs is not None and option.nargs != 0):
+                commands[name].error(f"settings give {key!r} as {value!r}")
+            of = option.type or (bool if option.nargs == 0 else str)
+            option.default = [of(v) for v in value] if isinstance(value, list) else value if value is None else of(value)
+            if option.choices and option.default not in option.choices:
+                commands[name].error(f"settings give {key!r} as {value!r}, not one of {', '.join(option.choices)}")
+            option.required = False
+    return top.parse_args(args)
+
+
 def main(args: Sequence[str] | None = None) -> int:
-    a = parser().parse_args(args)
+    a = arguments(args)
     log = logs.setup(a.log_level, a.log_file)
     log.info("started", command=a.command)
     code = a.run(a, get_session())

@@ -57,6 +57,35 @@ def test_classify_and_embed(spark, tmp_path):
     assert (r["accession"], r["n_proteins"], r["vector_dim"], r["vector"][0]) == ("B1", 2, 8, 0.5)
 
 
+def test_settings_drive_each_command(spark, tmp_path, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "a.fna").write_text(">c1 long\n" + "A" * 100 + "\n>c2\n" + "C" * 20 + "\n>c3\nG\n")
+    (tmp_path / "s.yaml").write_text(
+        "contig-filter: {fna: '${HERE}/a.fna', min_length: 50, out_dir: '${HERE}/one'}\n"
+        "cluster: {input: i, output: o, knn_k: 7, resolutions: [0.1, 0.5], weight: [0.3, 0.7]}\n"
+        "regions: {gbk: g, gff: f, caller_name: gecco}\nproject_partials: {input: i, primary: p, output: o}\n"
+        "classify: {obo: o, backend: 'm:C'}\nembed: {input: i, output: o, backend: b, budget: 99}\n"
+        "embed-cluster: {input: i, output: o, backend: b, accession: B1, dim: 8, layer: 3, post_norm: true}\n"
+    )
+    monkeypatch.setenv("HERE", str(tmp_path))
+    of = lambda *more: cli.arguments(["--config", "s.yaml", *more])
+    a = of("cluster", "--knn-k", "9")
+    assert (a.input, a.output, a.knn_k, a.resolutions, a.weight, a.seed) == ("i", "o", 9, [0.1, 0.5], [0.3, 0.7], None)
+    assert (of("regions").caller_name, of("regions").prefix, of("project-partials").primary, of("classify").backend) == ("gecco", "sample", "p", "m:C")
+    a = of("embed-cluster", "--dim", "4")
+    assert (a.dim, a.layer, a.post_norm, a.per_protein_norm, of("embed").budget) == (4, "3", True, False, 99)
+    assert cli.main(["--config", "s.yaml", "contig-filter"]) == 0
+    assert [r["id"] for r in files.fasta(spark, str(tmp_path / "one/filtered.fna")).collect()] == ["c1"]
+    monkeypatch.setenv("STRANDLAKE_CONTIG_FILTER__MIN_LENGTH", "10")
+    assert of("contig-filter").min_length == 10 and of("contig-filter", "--min-length", "30").min_length == 30
+    for bad in ("embed: {colour: red}", "embed: {budget: [1]}", "embed: {format: pdf}"):
+        (tmp_path / "s.yaml").write_text(bad)
+        with pytest.raises(SystemExit):
+            of("embed", "--input", "i", "--output", "o", "--backend", "b")
+    with pytest.raises(SystemExit):
+        cli.arguments(["embed"])
+
+
 def test_json_log_lines(tmp_path):
     import json
 
