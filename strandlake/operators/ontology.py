@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandlake.shared import cut
 
@@ -123,3 +124,14 @@ def lineage_patterns(terms: DataFrame, closed: DataFrame) -> DataFrame:
     """(term, ancestor, dist, smarts): the patterns of each term and of all above it; terms (id, smarts) without one add none."""
     held = terms.filter("smarts is not null").select(F.col("id").alias("ancestor"), "smarts")
     return closed.join(held, "ancestor").select("term", "ancestor", "dist", "smarts")
+
+
+def lineage(terms: DataFrame, closed: DataFrame) -> DataFrame:
+    """(term, rank, ancestor, dist, smarts): ``lineage_patterns`` from the term itself up to the root, ranked from 1.
+
+    Of terms (id, ord, smarts) at the same distance the one that comes first in the
+    file (ord) leads, and then the smaller id. A term's lineage is a group of its own.
+    """
+    order = Window.partitionBy("term").orderBy("dist", "ord", "ancestor")
+    held = lineage_patterns(terms, closed).join(terms.select(F.col("id").alias("ancestor"), "ord"), "ancestor")
+    return held.select("term", F.row_number().over(order).alias("rank"), "ancestor", "dist", "smarts")

@@ -251,6 +251,14 @@ def ontology_descendants(spark: SparkSession, d: str) -> DataFrame:
     return ontology.descendants(_closed(spark, d)[2]).groupBy("term").agg(F.count("*").alias("n"), F.max("dist").cast("long").alias("farthest"))
 
 
+@query
+def lineage_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Brands, parts and the root have a pattern, types have none."""
+    terms, _, closed = _closed(spark, d)
+    known = terms.select("id", F.length("id").alias("ord"), F.when(~F.col("id").startswith("T:"), F.lower("id")).alias("smarts"))
+    return ontology.lineage(known, closed).withColumns({c: F.col(c).cast("long") for c in ("rank", "dist")})
+
+
 def _content(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     closed, counts = _closed(spark, d)[2], A.term_counts(spark, d)
     return closed, ontology.information_content(counts, closed, A.table(spark, d, "lineitem").count())

@@ -89,7 +89,10 @@ def run(inputs: Inputs, path: str) -> dict:
     nnz, width = signature.filter("kind = 'domain'").agg(F.count("*"), F.countDistinct("feature")).first()
     counts = members.groupBy("level").agg(F.countDistinct("path").alias("n")).collect()  # a row for each level
     by = {r["level"]: r["n"] for r in counts}
-    manifest = {"run_sha": fingerprint(p, k, n, last, nnz, width), "knn_k": k, "n_primary": n, "n_root_communities": by.get(0, 0), "n_leaf_communities": by.get(len(p.resolutions) - 1, 0), **asdict(p)}
+    assigned = spark.read.parquet(f"{path}/partial_assignments")
+    left = partial.join(assigned.select("id"), "id", "left_anti")
+    without = similarity.unplaced(partial, of(partial), assigned, similarity.nearest(of(left), signature, 1, p.weights)).first().asDict()
+    manifest = {"run_sha": fingerprint(p, k, n, last, nnz, width), "knn_k": k, "n_primary": n, "n_root_communities": by.get(0, 0), "n_leaf_communities": by.get(len(p.resolutions) - 1, 0), "unplaced_partials": without, **asdict(p)}
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").write.mode("overwrite").text(f"{path}/clustering_run")
     return manifest
 

@@ -192,6 +192,7 @@ def statements() -> dict[str, str]:
         "ontology_depth": f"WITH RECURSIVE {ONT} SELECT id AS term, coalesce((SELECT dist FROM clo WHERE term = id AND ancestor = 'ROOT'), 0)::BIGINT AS depth FROM trm",
         "ontology_ancestors": f"WITH RECURSIVE {ONT} SELECT term, ancestor, dist::BIGINT AS dist FROM clo WHERE dist > 0",
         "ontology_descendants": f"WITH RECURSIVE {ONT} SELECT ancestor AS term, count(*) AS n, max(dist)::BIGINT AS farthest FROM clo WHERE dist > 0 GROUP BY 1",
+        "lineage_patterns": f"WITH RECURSIVE {ONT} SELECT term, row_number() OVER (PARTITION BY term ORDER BY dist, length(ancestor), ancestor) AS rank, ancestor, dist::BIGINT AS dist, lower(ancestor) AS smarts FROM clo WHERE NOT starts_with(ancestor, 'T:')",
         "ic_values": f"WITH RECURSIVE {ICV} SELECT term, round(ic, 9) AS ic FROM icv",
         "lin_pairs": f"WITH RECURSIVE {LIN} SELECT t1, t2, round(lin, 9) AS lin FROM lin",
         "semantic_bma": f"WITH RECURSIVE {_bma('lin')} SELECT a, b, round(coalesce(score, 0), 8) AS score FROM cmp LEFT JOIN bma USING (a, b)",

@@ -196,6 +196,8 @@ def test_lineage_patterns(spark):
     terms = spark.createDataFrame([("A", "C"), ("B", None), ("D", "N")], "id string, smarts string")
     closed = ontology.closure(terms, spark.createDataFrame([("B", "A"), ("D", "B")], "child string, parent string"))
     assert sorted(tuple(r) for r in ontology.lineage_patterns(terms, closed).collect()) == [("A", "A", 0, "C"), ("B", "A", 1, "C"), ("D", "A", 2, "C"), ("D", "D", 0, "N")]
+    ranked = ontology.lineage(terms.withColumn("ord", F.lit(0)), closed)
+    assert sorted((r["term"], r["rank"], r["ancestor"]) for r in ranked.collect()) == [("A", 1, "A"), ("B", 1, "A"), ("D", 1, "D"), ("D", 2, "A")]
 
 
 def test_a_service_that_fails_can_fail_the_query(spark):
