@@ -108,11 +108,16 @@ def _written(batches: Iterator[pa.RecordBatch], path: str, end: int, vocabulary:
 
 
 def write(documents: DataFrame, folder: str, path: str | None = None, end: int = END, vocabulary: int = VOCABULARY, file_bytes: int = FILE_BYTES) -> None:
-    """Write the ids of all rows (doc_id, text) in ascending doc_id order; ``folder`` must be new."""
-    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """Write the ids of all rows (doc_id, text) in ascending doc_id order; ``folder`` must be new.
+
+    There is a file for each ``file_bytes`` of text, and one at least for each task that
+    the session can run at once, down to files of a megabyte of text.
+    """
+    size = int(documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    parts = max(size // file_bytes, min(size >> 20, documents.sparkSession.sparkContext.defaultParallelism)) + 1
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash().alias("hash"), F.monotonically_increasing_id().alias("row"))
     order = ["doc_id", "hash", "row"]  # rows that are equal in all else are told apart by their place, so that any range can be cut
-    ordered = rows.repartitionByRange(int(size) // file_bytes + 1, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     blocks = mapped(ordered, partial(_written, path=path or tokenizer_path(), end=end, vocabulary=vocabulary), BLOCKS)
     blocks.write.parquet(folder)
 
