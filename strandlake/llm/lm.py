@@ -6,13 +6,11 @@ each id is scored once, with the ids of its window before it, and then the end.
 Beside it stands the base score, of single words and the end with smoothed counts.
 
 What is learnt comes from all training documents. Words are counted over them
-all, in each task first. Subword ids are counted from the words' counts. Windows
-for training are drawn from every training document, one stretch of
-``STRETCH`` words in ``DRAWN``, so they grow with the corpus (a small corpus gives more of
-its stretches, as many as fill a shard, or all); they are dealt to
+all, in each task first. Subword ids are counted from the words' counts. The model
+trains on all windows of all training documents, as they are scored; they are dealt to
 shards of about ``SHARD`` windows, each a task's work. The first shard warms the
-model up (``WARM`` rounds), then all shards train side by side and their parameters are averaged,
-``ROUNDS`` times: exact decimals, so that the order of shards doesn't matter.
+model up (``WARM`` rounds), then the shards train side by side, an equal share of them in each of
+``ROUNDS`` rounds, after which their parameters are averaged: exact decimals, so that the order of shards doesn't matter.
 
 Scale: words of over a millionth of all training tokens are known to each task
 (2^20 of them at most, two numbers each). All other words of a document are
@@ -45,14 +43,14 @@ from strandlake.llm import attention
 from strandlake.llm.attention import BLOCK, Model, Vocabulary
 from strandlake.llm.common import dropped, mapped, small_batches, stored, table
 from strandlake.llm.tokens import PieceEncoder, tokenizer_path
-from strandlake.llm.words import LOWER, NON_SPACE, U64, Run, Words, mix, per_row, runs, span_hash, split
+from strandlake.llm.words import LOWER, NON_SPACE, U64, Run, Words, laid, mix, per_row, runs, span_hash, split
 
 IDS = 50_257
 END = 50_256
-#: Words of a stretch that training windows are cut from, and one in how many stretches is drawn, where that fills a shard.
-STRETCH, DRAWN = 32, 64
-#: Windows of a shard, about; steps of each shard in a round, windows of a step; rounds of the first shard alone, and of all.
-SHARD, STEPS, BATCH, WARM, ROUNDS = 65_536, 256, 256, 2, 2
+#: Blocks of ids that are stored as one row for training.
+STRETCH = 32
+#: Windows of a shard, about; steps to which small shards are gone through twice, windows of a step; rounds of the first shard alone, and those that all shards are dealt to.
+SHARD, STEPS, BATCH, WARM, ROUNDS = 262_144, 256, 1024, 2, 2
 RATE = 0.02
 #: A word is frequent with over one in so many of the training tokens, so that at most this many are.
 FREQUENT = 1 << 20
@@ -94,19 +92,6 @@ def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def laid(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lead: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """data[start:end] of all, one after the other, with ``lead`` blanks before each, and their offsets."""
-    size = ends - starts + lead
-    offsets = np.zeros(len(size) + 1, np.int64)
-    np.cumsum(size, out=offsets[1:])
-    at = np.repeat(starts - lead - offsets[:-1], size) + np.arange(offsets[-1])
-    if not lead:
-        return data[at], offsets
-    out = data[np.maximum(at, 0)]
-    out[offsets[:-1]] = 32
-    return out, offsets
-
-
 def encode(encoder: PieceEncoder, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the words data[start:end], a blank before each, and how many each has."""
     lined, offsets = laid(data, starts, ends, 1)
@@ -162,68 +147,73 @@ def id_counts(counts: DataFrame, path: str) -> np.ndarray:
 # -- training ----------------------------------------------------------------
 
 
-def _drawn(batches: Iterator[pa.RecordBatch], path: str, v: Vocabulary, one_in: int) -> Iterator[pa.RecordBatch]:
-    """(key, window): a window's ranks as bytes, and an even key."""
+def _lines(batches: Iterator[pa.RecordBatch], path: str, v: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """(key, blocks, line): the ranks of each stretch of a row, and an even key.
+
+    A line is the block before the stretch, the rank before its first, and the stretch's blocks, missing ranks filled up.
+    """
     own, end = _encoder(path), v.rank[END]
     for run in runs(batches):
-        data = LOWER[run.data]
-        words = split(run, NON_SPACE, data)
+        held = Distinct(run)
+        ids, sizes = held.encoded(own)
+        ids, sizes = joined(ids, sizes.astype(np.int64), held.of)
+        _, following, starts = attention.blocks(v.rank[ids].astype(np.int16), per_row(sizes, held.words), end, v.pad)
         doc = np.nan_to_num(run.batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64).astype(U64)
-        # the stretches of each row, the last one with the end
-        many = words.counts // STRETCH + 1
-        row = np.repeat(np.arange(len(run)), many)
-        number = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-        key = mix(mix(doc[row]) + number.astype(U64))
-        some = np.flatnonzero(key % U64(one_in) == 0)
-        row, number, key = row[some], number[some], key[some]
-        if not len(some):
-            continue
-        begin = words.first[row] + number * STRETCH
-        stop = np.minimum(begin + STRETCH, words.first[row + 1])
-        n = stop - begin
-        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        ids, sizes = encode(own, data, words.starts[at], words.ends[at])
-        counts = np.bincount(np.repeat(np.arange(len(n)), n), sizes, len(n)).astype(np.int64)
-        own_blocks, following, starts = attention.blocks(v.rank[ids].astype(np.int16), counts, end, v.pad)
-        pieces = np.diff(np.append(starts, len(own_blocks)))
-        # inside a text, neither its start nor its end is there
-        inner = starts[number > 0]
-        own_blocks[inner, 0] = v.pad
-        open_end = stop < words.first[row + 1]
-        last = starts + counts // BLOCK
-        following[last[open_end], (counts % BLOCK)[open_end]] = v.pad
-        following[inner, 0] = v.pad
-        held = attention.windows(own_blocks, following, starts, v.pad).astype(np.int16)
-        keys = mix(np.repeat(key, pieces) + np.arange(len(held), dtype=U64) - np.repeat(starts, pieces).astype(U64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(held[0].nbytes), len(held), [None, pa.py_buffer(np.ascontiguousarray(held))]).cast(pa.binary())], ["key", "window"])
-
-
-def drawn_windows(documents: DataFrame, v: Vocabulary, path: str, one_in: int) -> DataFrame:
-    """A stored (key, window) of one in so many stretches of every document."""
-    return stored(mapped(documents.select("doc_id", "text"), partial(_drawn, path=path, v=v, one_in=one_in), "key long, window binary"), "lm-windows")
+        of_row = mix(mix(doc) ^ run.row_hash())
+        many = np.diff(np.append(starts, len(following)))
+        # what stands before a row: nothing, and then the end of another
+        lead = np.full(BLOCK + 1, v.pad, np.int16)
+        lead[-1] = end
+        keys, blocks, lines = [], [], []
+        for row in range(len(run)):
+            line = np.concatenate([lead, following[starts[row] : starts[row] + many[row]].ravel()])
+            for number, at in enumerate(range(0, int(many[row]), STRETCH)):
+                n = min(STRETCH, int(many[row]) - at)
+                keys.append(of_row[row] + U64(number))
+                blocks.append(n)
+                lines.append(line[at * BLOCK : (at + n + 1) * BLOCK + 1].tobytes())
+        keys = mix(np.array(keys, U64)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(blocks, pa.int32()), pa.array(lines, pa.binary())], ["key", "blocks", "line"])
+
+
+def training_lines(documents: DataFrame, v: Vocabulary, path: str) -> DataFrame:
+    """A stored (key, blocks, line) of all stretches of every document."""
+    return stored(mapped(documents.select("doc_id", "text"), partial(_lines, path=path, v=v), "key long, blocks int, line binary"), "lm-lines")
+
+
+def unpacked(blocks: np.ndarray, lines: list[bytes]) -> np.ndarray:
+    """The windows (n, 3, BLOCK) of lines: the block before each block, the block, and what follows its places."""
+    ranks = np.frombuffer(b"".join(lines), np.int16)
+    size = (blocks + 1) * BLOCK + 1
+    first = np.repeat(np.cumsum(size) - size, blocks) + BLOCK * (np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    whole = np.lib.stride_tricks.sliding_window_view(ranks, 2 * BLOCK + 1)[first] if len(first) else np.zeros((0, 2 * BLOCK + 1), np.int16)
+    return np.stack([whole[:, at : at + BLOCK] for at in (0, BLOCK, BLOCK + 1)], 1)
 
 
 def _trainer(flat: np.ndarray, v: Vocabulary) -> Callable[[pa.Table], pa.Table]:
-    """What trains on one shard, in order of its keys."""
+    """What trains on all windows of one shard, in an order that follows from its keys."""
 
     def trained(shard: pa.Table) -> pa.Table:
-        held = shard.sort_by([("key", "ascending"), ("window", "ascending")]).column("window")
-        windows = np.frombuffer(b"".join(held.to_pylist()), np.int16).reshape(-1, 3, BLOCK)
-        steps = min(STEPS, 2 * -(-len(windows) // BATCH))  # few windows aren't learnt by heart
+        held = shard.sort_by([("key", "ascending"), ("line", "ascending")])
+        windows = unpacked(held.column("blocks").to_numpy().astype(np.int64), held.column("line").to_pylist())
+        windows = windows[np.random.default_rng(len(windows)).permutation(len(windows))]
+        whole = -(-len(windows) // BATCH)
+        steps = max(whole, min(STEPS, 2 * whole))  # few windows aren't learnt by heart
         found = attention.train(flat, v, windows, steps, BATCH, RATE)
         return pa.table({"n": pa.array([len(windows)]), "flat": pa.array([found.astype(float)], pa.list_(pa.float64()))})
 
     return trained
 
 
-def fitted(windows: DataFrame, v: Vocabulary) -> np.ndarray:
-    """Parameters after the warm-up and the rounds; those that tell nothing but shares where there is no window."""
+def fitted(lines: DataFrame, v: Vocabulary) -> np.ndarray:
+    """Parameters after the warm-up and the rounds, in which each shard has its turn; those that tell nothing but shares where there is no line."""
     flat = attention.started(v)
-    shards = max(1, round(windows.count() / SHARD))
-    small_batches(windows.sparkSession)
-    dealt = windows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    for turn in range(WARM + ROUNDS):
-        some = dealt if turn >= WARM else dealt.filter("shard = 0")
+    shards = max(1, round((lines.agg(F.sum("blocks")).first()[0] or 0) / SHARD))
+    small_batches(lines.sparkSession)
+    dealt = lines.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    rounds = min(ROUNDS, shards)
+    for turn in range(WARM + rounds):
+        some = dealt.filter(F.col("shard") % rounds == turn - WARM) if turn >= WARM else dealt.filter("shard = 0")
         trained = some.groupBy("shard").applyInArrow(_trainer(flat, v), "n long, flat array<double>")
         each = trained.select("n", F.posexplode("flat").alias("at", "x"))
         exact = F.sum((F.col("x").cast("decimal(20,10)") * F.col("n").cast("decimal(10,0)")))
@@ -283,9 +273,8 @@ def scores(documents: DataFrame, learnt: Column, path: str | None = None) -> Dat
     total, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
     ids = id_counts(counts, path)
     v = attention.vocabulary(ids, END)
-    one_in = int(min(max(ids.sum() // (BLOCK * SHARD), 1), DRAWN))
-    windows = drawn_windows(training, v, path, one_in)
-    flat = fitted(windows, v)
+    lines = training_lines(training, v, path)
+    flat = fitted(lines, v)
     frequent: pd.DataFrame = mapped(counts.filter(F.col("word").isNotNull() & (F.col("n") > total // FREQUENT)), _hashed, "hash long, n long").toPandas()
     hashes = frequent["hash"].to_numpy(np.int64).view(U64)
     order = np.argsort(hashes)
@@ -306,7 +295,7 @@ def scores(documents: DataFrame, learnt: Column, path: str | None = None) -> Dat
         "score",
     )
     out = stored(out, "lm-scores")
-    dropped(counts, windows, held)
+    dropped(counts, lines, held)
     return out
 
 

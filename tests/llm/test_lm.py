@@ -158,3 +158,33 @@ def test_scores_do_not_depend_on_partitions(spark, tables):
     learnt = ~lm.held_out(F.col("doc_id"))
     a, b = (sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 2)) for r in lm.scores(d, learnt).collect()) for d in (docs.coalesce(1), docs.repartition(7)))
     assert a == b
+
+
+def test_all_windows_of_all_training_documents_teach(spark, tables, monkeypatch):
+    docs = spark.read.parquet(f"{tables}/full/documents.parquet")
+    monkeypatch.setattr(lm, "SHARD", 64)
+    taught, trained = [], attention.train
+
+    def counting(*args):
+        taught.append(args)
+        return trained(*args)
+
+    counts = lm.word_counts(docs)
+    ids = lm.id_counts(counts, tokenizer_path())
+    v = attention.vocabulary(ids, lm.END)
+    monkeypatch.setattr(lm, "fitted", lambda rows, v: taught.append(rows.collect()) or attention.started(v))
+    lm.scores(docs, F.lit(True)).count()
+    windows = lm.unpacked(np.array([r["blocks"] for r in taught[0]], np.int64), [bytes(r["line"]) for r in taught[0]])
+    following = windows[:, 2]
+    assert np.array_equal(np.bincount(following[following != v.pad], minlength=v.pad), np.bincount(v.rank, ids, v.pad).astype(int))
+    # nothing but the row's end comes before its first window, and each other one has the block before it
+    first = windows[:, 0, 0] == v.pad
+    assert first.sum() == docs.count() and (windows[first, 1, 0] == v.rank[lm.END]).all()
+    # a shard trains on each of its windows
+    monkeypatch.setattr(attention, "train", counting)
+    monkeypatch.setattr(lm, "BATCH", 100)
+    monkeypatch.setattr(lm, "STEPS", 3)
+    taught.clear()
+    rows = lm.training_lines(docs, v, tokenizer_path()).toArrow()
+    lm._trainer(attention.started(v), v)(rows)
+    assert taught[0][3] * taught[0][4] >= len(windows) == len(taught[0][2])
