@@ -259,35 +259,63 @@ class Landmarks:
         return ((vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T).astype(np.float32)
 
 
-def _kernels(words: list[str], rows: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """(words, landmarks): the kernel of each word with each landmark."""
-    out = np.zeros((len(words), table.shape[1]), np.float32)
-    short = [i for i, w in enumerate(words) if len(w) <= LONG]
-    for s in range(0, len(short), TOGETHER):
-        some = short[s : s + TOGETHER]
-        out[some] = decisions(_stream_of([words[i] for i in some]), table, rows)
-    for i in (i for i, w in enumerate(words) if len(w) > LONG):
-        one = _stream_of([words[i]])
-        total = np.zeros(len(table))
-        for _, code, w in _subsequences(one):
-            total += w * np.bincount(rows[code], minlength=len(table))
-        out[i] = total @ table / _norms(int(one.sizes[0]))[one.sizes[0]]
-    return out
-
-
-def _newton(batches: Iterator[pa.RecordBatch], marks: Landmarks, whiten: np.ndarray, state: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The sums (square, pull) of a Newton step of the squared hinge over rows (word, toxic, clean), the latter two weights."""
-    rows, table = marks.table()
+class Kernels:
+    """The kernel of words with the landmarks: only what a word's subsequences have in landmarks is gone through."""
+
+    def __init__(self, marks: Landmarks) -> None:
+        self.rows, self.table = marks.table()
+        row = self.rows[marks.code]
+        order = np.argsort(row, kind="stable")
+        self.of, self.weight = marks.of[order], marks.weight[order]
+        self.first = np.searchsorted(row[order], np.arange(len(self.table)))  # of each row, its first landmark; the last row has none
+        self.many = np.bincount(row, minlength=len(self.table))
+
+    def of_short(self, words: list[str]) -> np.ndarray:
+        marks, n = _stream_of(words), self.table.shape[1]
+        word = np.repeat(np.arange(len(words)), marks.sizes + 1)  # of each place after a word's first mark
+        parts = [(word[at - 1], self.rows[code], np.full(len(at), w)) for at, code, w in _subsequences(marks)]
+        word, row, weight = (np.concatenate(x) for x in zip(*parts))
+        met = self.many[row]
+        place = np.repeat(self.first[row] - (np.cumsum(met) - met), met) + np.arange(int(met.sum()))
+        found = np.bincount(np.repeat(word * n, met) + self.of[place], np.repeat(weight, met) * self.weight[place], len(words) * n)
+        return found.reshape(-1, n) / _norms(int(marks.sizes.max()))[marks.sizes][:, None]
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """(words, landmarks)."""
+        out = np.zeros((len(words), self.table.shape[1]), np.float32)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        for s in range(0, len(short), TOGETHER):
+            some = short[s : s + TOGETHER]
+            out[some] = self.of_short([words[i] for i in some])
+        for i in (i for i, w in enumerate(words) if len(w) > LONG):
+            one = _stream_of([words[i]])
+            total = np.zeros(len(self.table))
+            for _, code, w in _subsequences(one):
+                total += w * np.bincount(self.rows[code], minlength=len(self.table))
+            out[i] = total @ self.table / _norms(int(one.sizes[0]))[one.sizes[0]]
+        return out
+
+
+def _newton(batches: Iterator[pa.RecordBatch], marks: Landmarks, folded: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
+    """The sums (square, pull) of a Newton step of the squared hinge over rows (word, toxic, clean), the latter two weights:
+    of the words inside the margin by their kernels with the landmarks. ``folded`` and ``bias`` decide on a word so far."""
+    kernels = Kernels(marks)
     square, pull = np.zeros((marks.n + 1, marks.n + 1)), np.zeros(marks.n + 1)
     for batch in batches:
         for s in range(0, batch.num_rows, TOGETHER):
             part = batch.slice(s, TOGETHER)
-            x = np.ones((part.num_rows, marks.n + 1), np.float32)
-            x[:, :-1] = _kernels(part.column(0).to_pylist(), rows, table) @ whiten
-            f = x @ state
+            words = part.column(0).to_pylist()
+            f = decisions(_stream_of(words), folded) + bias
             a, c = part.column(1).to_numpy() * (f < 1), part.column(2).to_numpy() * (f > -1)
-            square += (x.T * (a + c).astype(np.float32)) @ x
+            inside = np.flatnonzero(a + c)
+            if not len(inside):
+                continue
+            a, c = a[inside], c[inside]
+            x = np.ones((len(inside), marks.n + 1), np.float32)
+            x[:, :-1] = kernels([words[i] for i in inside.tolist()])
             pull += x.T @ (a - c)
+            x *= np.sqrt(a + c).astype(np.float32)[:, None]
+            square += x.T @ x
     yield pa.RecordBatch.from_arrays([pa.array([square.tobytes()], pa.binary()), pa.array([pull.tobytes()], pa.binary())], ["square", "pull"])
 
 
@@ -312,17 +340,22 @@ def train_words(words: DataFrame, landmarks: int = LANDMARKS) -> tuple[np.ndarra
     total = weighed.agg(F.sum((F.col("toxic") + F.col("clean")).cast("decimal(28,9)"))).first()[0]
     held = np.diag(np.append(np.full(marks.n, RIDGE), 1e-9))
     state = np.zeros(marks.n + 1)
+    rows, table = marks.table()
+    fold = lambda state: (table @ (whiten @ state[:-1]).astype(np.float32))[rows]
+    white = np.eye(marks.n + 1)  # takes sums over kernels to those over whitened ones
+    white[:-1, :-1] = whiten
+    # however many files there are, no more sums reach the driver than from PARTS tasks
+    weighed_in_parts = weighed.coalesce(PARTS)
     for _ in range(STEPS):  # exact once the same words are inside the margin
-        sums = mapped(weighed, partial(_newton, marks=marks, whiten=whiten, state=state), "square binary, pull binary").collect()
-        square = sum(np.frombuffer(r["square"]).reshape(marks.n + 1, -1) for r in sums) / float(total) + held
-        now = np.linalg.solve(square, sum(np.frombuffer(r["pull"]) for r in sums) / float(total))
+        sums = mapped(weighed_in_parts, partial(_newton, marks=marks, folded=fold(state), bias=float(state[-1])), "square binary, pull binary").collect()
+        square = white @ (sum(np.frombuffer(r["square"]).reshape(marks.n + 1, -1) for r in sums) / float(total)) @ white + held
+        now = np.linalg.solve(square, white @ (sum(np.frombuffer(r["pull"]) for r in sums) / float(total)))
         done = np.abs(now - state).max() < 1e-6
         state = now
         if done:
             break
     dropped(weighed)
-    rows, table = marks.table()
-    return (table @ (whiten @ state[:-1]).astype(np.float32))[rows], float(state[-1])
+    return fold(state), float(state[-1])
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

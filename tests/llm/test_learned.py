@@ -123,3 +123,32 @@ def test_pipeline_runs_and_keeps_columns(spark):
         n = docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert packed.select("doc_id").distinct().count() == n
+
+
+def test_few_sums_reach_the_driver_however_words_are_dealt(spark, monkeypatch):
+    """A session may read each file of the words by itself, as many as a repartition made."""
+    words = [("bad" + c, 5, 0) for c in "abcdefgh"] + [("good" + c, 0, 5) for c in "abcdefgh"] + [("x" * 300, 1, 1)]
+    df = spark.createDataFrame(words, "word string, toxic long, clean long")
+    sums, put = [], toxicity.mapped
+    repartition = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, n, *c: repartition(self, 40, *c))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    monkeypatch.setattr(toxicity, "mapped", lambda *a: sums.append(put(*a)) or sums[-1])
+    try:
+        for k in held:
+            spark.conf.set(k, "1")
+        weights, bias = toxicity.train_words(df, 8)
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert all(s.rdd.getNumPartitions() <= toxicity.PARTS for s in sums)
+    f = toxicity.decisions(toxicity._stream_of([w for w, _, _ in words[:16]]), weights) + bias
+    assert (f[:8] > 0).all() and (f[8:] < 0).all()
+
+
+def test_kernels_are_those_of_whole_tables():
+    marks = toxicity.Landmarks.from_words(["idiot", "lake", "aaaaaa", "fool"])
+    words = ["idiot", "a", "lak", "x" * 200, "foolidiot", "aaaa"]
+    rows, table = marks.table()
+    want = [toxicity.decisions(toxicity._stream_of([w]), table, rows)[0] for w in words]
+    assert np.allclose(toxicity.Kernels(marks)(words), want, atol=1e-5)
