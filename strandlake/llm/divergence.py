@@ -1,7 +1,7 @@
 """Operator 12: how far the sources of a language part in their words.
 
-Plain relational: the terms of every text are exploded and counted by language
-and source, each language keeps the terms that stand in enough of its documents,
+The terms of every text are counted by language
+and source, over runs of a few megabytes of text first (numpy) and then by an aggregation; all else is plain relational: each language keeps the terms that stand in enough of its documents,
 the occurring groups are crossed with their language's kept terms so that zeros
 count too, and a self-join on language and term sums the squared differences of
 smoothed shares of two sources. Shares are whole numbers out of a thousand
@@ -22,11 +22,16 @@ further columns aren't read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandlake.llm.common import dropped, stored, table
+from strandlake.llm.common import dropped, mapped, stored, table
+from strandlake.llm.words import LOWER, U64, laid, mix, runs, span_hash, split
 
 #: Documents of a language that a kept term must stand in.
 LEAST_DOCUMENTS = 10
@@ -36,27 +41,47 @@ TOP_TERMS = 10
 UNIT = 1_000_000_000
 #: Parts of a language's terms, for crossing them with its sources.
 SLICES = 64
-#: What stands between terms, which are the matches of the complement.
-_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def folded(text: Column) -> Column:
-    """Only A to Z lower-cased: the general function does that where all characters are ASCII, and is far faster."""
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+#: Bytes of text whose terms are counted together before they go to Spark.
+RUN_BYTES = 4 << 20
+#: Bytes of terms, [^\x00-\x40\x5B-\x60\x7B-\x7F], once A to Z are lower-cased.
+_TERM = np.zeros(256, bool)
+_TERM[0x61:0x7B] = True
+_TERM[0x80:] = True
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, df) of each run of rows (lang, source, text): occurrences, and rows that hold the term."""
+    for run in runs(batches, limit=RUN_BYTES, rows=1 << 16):
+        data = LOWER[run.data]
+        words = split(run, _TERM, data)
+        pair = pa.StructArray.from_arrays([run.batch.column(0), run.batch.column(1)], ["lang", "source"])
+        names: dict[tuple, int] = {}
+        group = np.array([names.setdefault((x["lang"], x["source"]), len(names)) for x in pair.to_pylist()], np.int64)
+        of = group[words.row]
+        # equal terms of a group beside each other, and there by row
+        key = mix(span_hash(data, words.starts, words.ends) ^ mix(of.astype(U64)))
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], words.row[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        other = new.copy()
+        other[1:] |= row[1:] != row[:-1]
+        n = np.diff(np.append(first, len(key)))
+        df = np.add.reduceat(other.astype(np.int64), first) if len(first) else n
+        at = order[first]
+        text, offsets = laid(data, words.starts[at], words.ends[at])
+        term = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(text)]).cast(pa.string())
+        of = pa.array(of[at])
+        lang, source = (pa.array([x[i] for x in names], pa.string()).take(of) for i in range(2))
+        yield pa.RecordBatch.from_arrays([lang, source, term, pa.array(n), pa.array(df)], ["lang", "source", "term", "n", "df"])
 
 
 def occurrences(documents: DataFrame) -> DataFrame:
-    """(lang, source, term, n, df): occurrences, and the documents that hold the term.
-
-    A document's terms are what its text falls into where it is split by all other
-    characters. They are sorted, and the first of equal ones stands for the
-    document, so that both counts come out of one aggregation.
-    """
-    terms = F.array_sort(F.split("text", _BETWEEN))
-    first = lambda t, i: F.struct(t.alias("term"), ((i == 0) | (t != F.get(F.col("terms"), i - 1))).cast("int").alias("first"))
-    rows = documents.select("lang", "source", terms.alias("terms")).select("lang", "source", F.inline(F.transform("terms", first)))
-    return rows.filter("term <> ''").groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("df"))
+    """(lang, source, term, n, df): occurrences, and the documents that hold the term. Terms are counted by run of
+    rows first, in which they are told apart by 64-bit hashes."""
+    counts = mapped(documents.select("lang", "source", "text"), _counted, "lang string, source string, term string, n long, df long")
+    return counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -73,7 +98,7 @@ def gap(p: Column, q: Column) -> Column:
 def dense(documents: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """The occurring groups (lang, source), and a stored row (lang, source, term, n, p, q) for each group and kept term of its language."""
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    read = documents.select(blank("lang"), blank("source"), folded(F.coalesce("text", F.lit(""))).alias("text"))
+    read = documents.select(blank("lang"), blank("source"), "text")
     groups = stored(read.select("lang", "source").distinct(), "divergence-groups")
     counts = stored(occurrences(read), "divergence-counts")
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("df").alias("df")).filter(F.col("df") >= least).drop("df")

@@ -113,3 +113,16 @@ def test_text_failures_of_a_mixed_run(spark, tables):
 def test_empty_tables(spark, tables, name):
     full, empty = (queries.queries()[name](spark, f"{tables}/{kind}") for kind in ("full", "empty"))
     assert full.count() > 0 and empty.count() == 0 and full.dtypes == empty.dtypes
+
+
+def test_terms_go_to_spark_once_for_each_run(spark, tables, monkeypatch):
+    docs = spark.createDataFrame([(i, "The wind of the lake " * 50, "en" if i % 2 else None, "s") for i in range(200)], "doc_id long, text string, lang string, source string")
+    sent, put = [], divergence.mapped
+    monkeypatch.setattr(divergence, "mapped", lambda *a: sent.append(put(*a)) or sent[-1])
+    got = {(r["lang"], r["source"], r["term"]): (r["n"], r["df"]) for r in divergence.occurrences(docs.coalesce(1)).collect()}
+    assert sent[0].count() == 8
+    assert got == {(lang, "s", t): (5000 * k, 100) for lang in ("en", None) for t, k in (("the", 2), ("wind", 1), ("of", 1), ("lake", 1))}
+    full = spark.read.parquet(f"{tables}/full/documents.parquet")
+    monkeypatch.setattr(divergence, "RUN_BYTES", 40)
+    got = sorted(tuple(r) for r in divergence.audit(full, 2, 3).select("lang", "source", "part", "item", "value", "rank").collect())
+    assert got == audited(full.collect(), 2, 3)
