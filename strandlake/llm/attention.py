@@ -115,16 +115,18 @@ def _distance() -> tuple[np.ndarray, np.ndarray]:
 _BACK, _FUTURE = _distance()
 
 
-def _log_sum(logits: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of the exponentials of each row; ``room`` is written over."""
-    held = room[: logits.size].reshape(logits.shape)
-    with np.errstate(over="ignore", divide="ignore"):
-        out = np.log(np.exp(logits, out=held) @ np.ones(logits.shape[1], F32))
-    odd = np.flatnonzero(~np.isfinite(out))
-    if len(odd):
-        most = logits[odd].max(1)
-        out[odd] = most + np.log(np.exp(logits[odd] - most[:, None]).sum(1))
-    return out
+def _exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of the exponentials of each row, which take the logits' place, and what was taken off a row's logits before."""
+    n = len(logits)
+    if not n:
+        return np.zeros(0, F32), np.zeros(0, F32)
+    off, ones = np.zeros(n, F32), np.ones(logits.shape[1], F32)
+    # most rows need nothing taken off; where the largest one might overflow, or all of them vanish, the row's largest is
+    if logits.max() > 80 or logits.min() < -80:
+        off = logits.max(1)
+        logits -= off[:, None]
+    np.exp(logits, out=logits)
+    return logits @ ones, off
 
 
 class Model:
@@ -135,160 +137,194 @@ class Model:
         self.refresh()
 
     def refresh(self) -> None:
-        p = self.p = named(self.flat, self.v)
+        v, p = self.v, named(self.flat, self.v)
+        self.p, n = p, v.pad
         np.clip(p["query"], -MOST, MOST, out=p["query"])
         np.clip(p["key"], -MOST, MOST, out=p["key"])
         np.clip(p["near"], -MOST * 4, MOST, out=p["near"])
-        n = self.v.pad
-        # one dimension more: what stands in for a missing id gets no weight
-        self.query = np.concatenate([p["query"] / np.sqrt(F32(KEY)), np.ones((n, 1), F32)], 1)
-        self.query = np.concatenate([self.query, self.query[-1:]])
-        self.key = np.zeros((n + 1, KEY + 1), F32)
+        if not hasattr(self, "query"):
+            # one dimension more: what stands in for a missing id gets no weight
+            self.query = np.ones((n + 1, KEY + 1), F32)
+            self.key = np.zeros((n + 1, KEY + 1), F32)
+            self.key[n, KEY] = -1e4
+            # a last entry of one, so that the weights' sum comes with what they bring
+            self.value = np.ones((n + 1, VALUE + 1), F32)
+            self.own = np.zeros((n + 1, HIDDEN), F32)
+            # class of each rank, and one after all of them for a missing id
+            self.of = np.repeat(np.arange(v.classes + 1, dtype=np.uint8), np.diff(np.append(v.bounds, [n, n + 1])))
+        np.divide(p["query"], np.sqrt(F32(KEY)), out=self.query[:n, :KEY])
+        self.query[n] = self.query[n - 1]
         self.key[:n, :KEY] = p["key"]
-        self.key[n, KEY] = -1e4
-        # a last entry of one, so that the weights' sum comes with what they bring
-        self.value = np.concatenate([p["value"], np.ones((n, 1), F32)], 1)
-        self.value = np.concatenate([self.value, self.value[-1:]])
-        self.own = np.concatenate([p["own"] + p["lift"], np.zeros((1, HIDDEN), F32)])
-        self.of = np.repeat(np.arange(self.v.classes, dtype=np.uint8), np.diff(np.append(self.v.bounds, n)))  # class of each rank
-        self.to_id = [np.ascontiguousarray(p["to_id"][:, a:b]) for a, b in zip(self.v.bounds, self.v.bounds[1:])]
+        self.value[:n, :VALUE] = p["value"]
+        self.value[n] = self.value[n - 1]
+        np.add(p["own"], p["lift"], out=self.own[:n])
+        # weights with their biases as a last row, which meets a last entry of one of the hidden units
+        self.to_class = np.concatenate([p["to_class"], p["class_bias"][None]])
+        to_id = np.concatenate([p["to_id"], p["id_bias"][None]])
+        self.to_id = [np.ascontiguousarray(to_id[:, a:b]) for a, b in zip(v.bounds, v.bounds[1:])]
         self.near = np.where(_FUTURE, F32(-1e4), p["near"][_BACK])
 
-    def attend(self, query: np.ndarray, keys: tuple[np.ndarray, np.ndarray], values: tuple[np.ndarray, np.ndarray], none: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    def attend(self, query: np.ndarray, keys: np.ndarray, values: np.ndarray, none: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """Weights (not yet summing to one) of what stands before and in the block, their sums, and what they bring.
 
         ``keys`` and ``values`` are those of the block before and of the block itself; blocks ``none`` have none before.
         """
-        weights = []
-        for i, k in enumerate(keys):
-            w = query @ k.transpose(0, 2, 1)
-            w += self.near[:, i * BLOCK : (i + 1) * BLOCK]
-            weights.append(np.exp(w, out=w))
+        weight = query @ keys.transpose(0, 2, 1)
+        weight += self.near
+        np.exp(weight, out=weight)
         if none is not None:
-            weights[0][none] = 0
-        met = weights[0] @ values[0]
-        met += weights[1] @ values[1]
+            weight[none, :, :BLOCK] = 0
+        met = weight @ values
         total = met[:, :, VALUE:] + F32(1e-30)
-        return weights[0], weights[1], total, met[:, :, :VALUE] / total
+        return weight, total, met[:, :, :VALUE] / total
 
     def hidden(self, own: np.ndarray, none: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
         """Of blocks (n + 1, BLOCK) that follow each other, all but the first; ``none``: which of them begin a row."""
-        k, v = self.key[own], self.value[own]
-        met = self.attend(self.query[own[1:]], (k[:-1], k[1:]), (v[:-1], v[1:]), none)[-1]
+        # each block's keys and values follow those of the block before
+        k, v = (_pairs(table.take(own, axis=0)) for table in (self.key, self.value))
+        met = self.attend(self.query.take(own[1:], axis=0), k, v, none)[-1]
         h = np.matmul(met.reshape(-1, VALUE), self.p["mixing"], out=out)
-        h += self.own[own[1:].ravel()]
+        h += self.own.take(own[1:].ravel(), axis=0)
         return np.maximum(h, 0, out=h)
 
+    def sorted_by_class(self, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places that something follows, by its class, and where the classes begin and end."""
+        of = self.of.take(following)
+        cuts = np.zeros(self.v.classes + 1, np.int64)
+        np.cumsum(np.bincount(of, minlength=self.v.classes + 1)[:-1], out=cuts[1:])
+        return np.argsort(of, kind="stable")[: cuts[-1]], cuts
+
     def log_chance(self, h: np.ndarray, following: np.ndarray) -> np.ndarray:
-        """Logarithm of the chance of each rank that follows; rows are gone through class by class."""
-        p, bounds = self.p, self.v.bounds
-        of = self.of[following]
-        order = np.argsort(of, kind="stable")
-        h, following = h[order], following[order]
-        cuts = np.searchsorted(of[order], np.arange(len(bounds) + 1))
-        widest = int(max(np.diff(bounds, prepend=0).max(), len(bounds))) * len(h)
-        if len(self.room) < 2 * widest:
-            self.room = np.empty(2 * widest, F32)
-        room, spare = self.room[:widest], self.room[widest:]
-        logits = np.matmul(h, p["to_class"], out=room[: len(h) * len(bounds)].reshape(len(h), -1))
-        logits += p["class_bias"]
-        found = np.empty(len(h), F32)
-        for c in range(len(bounds)):
-            found[cuts[c] : cuts[c + 1]] = logits[cuts[c] : cuts[c + 1], c]
-        found -= _log_sum(logits, spare)
+        """Logarithm of the chance of each rank that follows, 0 where none does; rows are gone through class by class."""
+        bounds, out = self.v.bounds, np.zeros(len(h), F32)
+        order, cuts = self.sorted_by_class(following)
+        n, following = len(order), following.take(order)
+        held = np.ones((n, HIDDEN + 1), F32)
+        held[:, :HIDDEN] = h.take(order, axis=0)
+        widest = max(int((np.diff(cuts)[:-1] * np.diff(bounds)).max()), n * len(bounds))
+        if len(self.room) < widest:
+            self.room = np.empty(widest, F32)
+        logits = np.matmul(held, self.to_class, out=self.room[: n * len(bounds)].reshape(n, -1))
+        found = np.concatenate([logits[x:y, c] for c, (x, y) in enumerate(zip(cuts, cuts[1:]))])
+        sums, off = _exponentials(logits)
+        found -= off
+        inner_sums = np.ones(n, F32)
         for c in range(len(bounds) - 1):
             a, b, x, y = bounds[c], bounds[c + 1], cuts[c], cuts[c + 1]
             if b - a > 1 and x < y:
-                inner = np.matmul(h[x:y], self.to_id[c], out=room[: (y - x) * (b - a)].reshape(y - x, -1))
-                inner += p["id_bias"][a:b]
-                found[x:y] += inner[np.arange(y - x), following[x:y] - a] - _log_sum(inner, spare)
-        out = np.empty(len(h), F32)
-        out[order] = found
+                inner = np.matmul(held[x:y], self.to_id[c], out=self.room[: (y - x) * (b - a)].reshape(y - x, -1))
+                found[x:y] += inner[np.arange(y - x), following[x:y] - a]
+                inner_sums[x:y], off = _exponentials(inner)
+                found[x:y] -= off
+        out[order] = found - np.log(sums) - np.log(inner_sums)
         return out
 
     def gradient(self, windows: np.ndarray) -> tuple[np.ndarray, float]:
         """Of the mean loss over the places of windows (n, 3, BLOCK) that something follows, and that loss."""
         p, v, flat = self.p, self.v, np.zeros_like(self.flat)
         g = named(flat, v)
-        before, own, following = windows[:, 0], windows[:, 1], windows[:, 2]
-        keys, values = (self.key[before], self.key[own]), (self.value[before], self.value[own])
-        *weight, total, met = self.attend(self.query[own], keys, values)
-        at = np.flatnonzero(following.ravel() != v.pad)
-        to = following.ravel()[at]
-        m2, o = met.reshape(-1, VALUE)[at], own.ravel()[at]
-        h = np.maximum(m2 @ p["mixing"] + self.own[o], 0)
-        n = max(1, len(at))
-        logits = h @ p["to_class"] + p["class_bias"]
-        logits -= logits.max(1, keepdims=True)
-        chance = np.exp(logits)
-        chance /= chance.sum(1, keepdims=True)
-        of = np.searchsorted(v.bounds, to, "right") - 1
-        loss = -float(np.log(chance[np.arange(n), of] + 1e-30).sum()) if len(at) else 0.0
-        chance[np.arange(len(at)), of] -= 1
-        chance /= n
-        g["to_class"][:] = h.T @ chance
-        g["class_bias"][:] = chance.sum(0)
+        ranks, own, following = windows[:, :2].reshape(len(windows), 2 * BLOCK), windows[:, 1], windows[:, 2].ravel()
+        query, keys, values = (table.take(x, axis=0) for table, x in ((self.query, own), (self.key, ranks), (self.value, ranks)))
+        weight, total, met = self.attend(query, keys, values)
+        at, cuts = self.sorted_by_class(following)
+        to = following.take(at)
+        m2, o, n = met.reshape(-1, VALUE).take(at, axis=0), own.ravel().take(at), max(1, len(at))
+        held, ones, each = np.ones((len(at), HIDDEN + 1), F32), np.ones(len(at), F32), F32(1 / n)
+        h = m2 @ p["mixing"]
+        h += self.own.take(o, axis=0)
+        np.maximum(h, 0, out=h)
+        held[:, :HIDDEN] = h
+        chance = held @ self.to_class
+        sums, _ = _exponentials(chance)
+        lost = np.ones(len(at), F32)
+        for c, (x, y) in enumerate(zip(cuts, cuts[1:])):
+            lost[x:y] = chance[x:y, c]
+        lost /= sums
+        chance *= (each / sums)[:, None]
+        for c, (x, y) in enumerate(zip(cuts, cuts[1:])):
+            chance[x:y, c] -= each
+        whole = held.T @ chance
+        g["to_class"][:], g["class_bias"][:] = whole[:-1], whole[-1]
         dh = chance @ p["to_class"].T
+        loss = -float(np.log(lost + F32(1e-30)).sum())
+        lost[:] = 1
         for c in range(len(v.bounds) - 1):
-            a, b = v.bounds[c], v.bounds[c + 1]
-            rows = np.flatnonzero(of == c)
-            if b - a < 2 or not len(rows):
+            a, b, x, y = v.bounds[c], v.bounds[c + 1], cuts[c], cuts[c + 1]
+            if b - a < 2 or x == y:
                 continue
-            hr = h[rows]
-            inner = hr @ p["to_id"][:, a:b] + p["id_bias"][a:b]
-            inner -= inner.max(1, keepdims=True)
-            inner = np.exp(inner)
-            inner /= inner.sum(1, keepdims=True)
-            loss -= float(np.log(inner[np.arange(len(rows)), to[rows] - a] + 1e-30).sum())
-            inner[np.arange(len(rows)), to[rows] - a] -= 1
-            inner /= n
-            g["to_id"][:, a:b] = hr.T @ inner
-            g["id_bias"][a:b] = inner.sum(0)
-            dh[rows] += inner @ p["to_id"][:, a:b].T
+            inner = held[x:y] @ self.to_id[c]
+            sums, _ = _exponentials(inner)
+            place = np.arange(y - x), to[x:y] - a
+            lost[x:y] = inner[place] / sums
+            inner *= (each / sums)[:, None]
+            inner[place] -= each
+            whole = held[x:y].T @ inner
+            g["to_id"][:, a:b], g["id_bias"][a:b] = whole[:-1], whole[-1]
+            dh[x:y] += inner @ self.to_id[c][:-1].T
+        loss -= float(np.log(lost + F32(1e-30)).sum())
         dh *= h > 0
         g["mixing"][:] = m2.T @ dh
-        g["lift"][:] = dh.sum(0)
-        _spread(g["own"], o, dh)
+        g["lift"][:] = ones @ dh
+        of_own = np.zeros((own.size, HIDDEN + KEY), F32)
+        of_own[at, :HIDDEN] = dh
         back = np.zeros((own.size, VALUE), F32)
         back[at] = dh @ p["mixing"].T
         back = back.reshape(met.shape)
-        weight = [w / total for w in weight]
-        pull = [back @ x[:, :, :VALUE].transpose(0, 2, 1) for x in values]
-        mean = sum((d * w).sum(2, keepdims=True) for d, w in zip(pull, weight))
-        dq = np.zeros((*own.shape, KEY), F32)
-        for i, (ranks, d, w) in enumerate(zip((before, own), pull, weight)):
-            dw = (d - mean) * w
-            part = slice(i * BLOCK, (i + 1) * BLOCK)
-            np.add.at(g["near"], _BACK[:, part].ravel(), np.where(_FUTURE[:, part], 0, dw.sum(0)).ravel())
-            dq += dw @ keys[i][:, :, :KEY]
-            _spread(g["key"], ranks.ravel(), (dw.transpose(0, 2, 1) @ self.query[own][:, :, :KEY]).reshape(-1, KEY))
-            _spread(g["value"], ranks.ravel(), (w.transpose(0, 2, 1) @ back).reshape(-1, VALUE))
-        _spread(g["query"], own.ravel(), dq.reshape(-1, KEY) / np.sqrt(F32(KEY)))
+        weight /= total
+        change = back @ values[:, :, :VALUE].transpose(0, 2, 1)
+        change -= np.einsum("bqd,bqd->bq", back, met)[:, :, None]
+        change *= weight
+        near = (np.ones(len(windows), F32) @ change.reshape(len(windows), -1)).reshape(_BACK.shape)
+        np.add.at(g["near"], _BACK.ravel(), np.where(_FUTURE, 0, near).ravel())
+        of_own[:, HIDDEN:] = (change @ keys[:, :, :KEY]).reshape(-1, KEY)
+        summed = _summed(own.ravel(), of_own, v.pad)
+        g["own"][:], g["query"][:] = summed[:, :HIDDEN], summed[:, HIDDEN:] / np.sqrt(F32(KEY))
+        of_all = np.concatenate([change.transpose(0, 2, 1) @ query[:, :, :KEY], weight.transpose(0, 2, 1) @ back], 2)
+        summed = _summed(ranks.ravel(), of_all.reshape(-1, KEY + VALUE), v.pad)
+        g["key"][:], g["value"][:] = summed[:, :KEY], summed[:, KEY:]
         return flat, loss / n
 
 
-def _spread(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """into[rows] += values, repeated rows added up; rows beyond ``into`` are missing ids."""
+def _pairs(rows: np.ndarray) -> np.ndarray:
+    """(n, 2 * BLOCK, width) of blocks (n + 1, BLOCK, width) that follow each other: each with the one before, as a view."""
+    n, _, width = rows.shape
+    return np.lib.stride_tricks.as_strided(rows, (n - 1, 2 * BLOCK, width), rows.strides, writeable=False)
+
+
+def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the values of each of ``n`` rows; rows beyond them are missing ids."""
+    out = np.zeros((n, values.shape[1]), F32)
     order = np.argsort(rows.astype(np.uint16), kind="stable")
-    sorted_rows = rows[order]
+    sorted_rows = rows.take(order)
     first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1])) if len(rows) else np.zeros(0, int)
     if len(first):
-        sums, at = np.add.reduceat(values[order], first, axis=0), sorted_rows[first]
-        into[at[at < len(into)]] += sums[at < len(into)]
+        sums, at = np.add.reduceat(values.take(order, axis=0), first, axis=0), sorted_rows[first]
+        out[at[at < n]] = sums[at < n]
+    return out
 
 
 def train(flat: np.ndarray, v: Vocabulary, windows: np.ndarray, steps: int, batch: int, rate: float) -> np.ndarray:
     """``steps`` steps of Adam over windows (n, 3, BLOCK) of ranks (before, own, following), in turn and from the start again."""
     model = Model(flat.astype(F32), v)
-    first, second = np.zeros_like(model.flat), np.zeros_like(model.flat)
+    first, second, move, root = (np.zeros_like(model.flat) for _ in range(4))
     n = len(windows)
     for step in range(steps):
         at = np.arange(step * batch, (step + 1) * batch) % n if n > batch else np.arange(n)
         g, _ = model.gradient(windows[at])
-        first += 0.1 * (g - first)
-        second += 0.01 * (g * g - second)
+        first *= F32(0.9)
+        np.multiply(g, F32(0.1), out=move)
+        first += move
+        second *= F32(0.99)
+        np.multiply(g, g, out=root)
+        root *= F32(0.01)
+        second += root
         slow = rate * min(1.0, (step + 1) / 8) * (1 - 0.9 * step / steps)
-        model.flat -= (slow * (first / (1 - 0.9 ** (step + 1))) / (np.sqrt(second / (1 - 0.99 ** (step + 1))) + 1e-8)).astype(F32)
+        np.multiply(second, F32(1 / (1 - 0.99 ** (step + 1))), out=root)
+        np.sqrt(root, out=root)
+        root += F32(1e-8)
+        np.multiply(first, F32(slow / (1 - 0.9 ** (step + 1))), out=move)
+        move /= root
+        model.flat -= move
         model.refresh()
     return model.flat
 
@@ -318,22 +354,43 @@ def windows(own: np.ndarray, following: np.ndarray, starts: np.ndarray, pad: int
     return np.stack([before, own, following], 1)
 
 
-def score(model: Model, ranks: np.ndarray, counts: np.ndarray, end: int, at_once: int = 512, together: int = 4) -> np.ndarray:
-    """Natural logarithm of the chance of each row's ranks and its end; ``at_once`` blocks attend together."""
-    own, following, starts = blocks(ranks, counts, end, model.v.pad)
-    none = np.zeros(len(own), bool)
-    none[starts] = True
-    own = np.concatenate([np.full((1, BLOCK), model.v.pad, own.dtype), own])
-    got = np.zeros(following.shape, F32)
+def _chances(model: Model, own: np.ndarray, following: np.ndarray, none: np.ndarray, at_once: int, together: int) -> np.ndarray:
+    """Natural logarithm of the chance of what follows in each block (n, BLOCK), summed; ``own`` has one block more, before the first."""
+    out = np.zeros(len(following))
     room = np.empty((min(at_once * together, len(following)) * BLOCK, HIDDEN), F32)
     for x in range(0, len(following), at_once * together):
         y = min(x + at_once * together, len(following))
         for a in range(x, y, at_once):
             b = min(a + at_once, y)
             model.hidden(own[a : b + 1], none[a:b], room[(a - x) * BLOCK : (b - x) * BLOCK])
-        h, to, there = room[: (y - x) * BLOCK], following[x:y].ravel(), np.flatnonzero(following[x:y].ravel() != model.v.pad)
-        if len(there) < len(to):
-            h, to = h[there], to[there]
-        got[x:y].reshape(-1)[there] = model.log_chance(h, to)
-    sums = np.concatenate([[0.0], np.cumsum(got.sum(1, dtype=float))])
+        out[x:y] = model.log_chance(room[: (y - x) * BLOCK], following[x:y].ravel()).reshape(-1, BLOCK).sum(1, dtype=float)
+    return out
+
+
+def score(model: Model, ranks: np.ndarray, counts: np.ndarray, end: int, at_once: int = 512, together: int = 4) -> np.ndarray:
+    """Natural logarithm of the chance of each row's ranks and its end; ``at_once`` blocks attend together."""
+    own, following, starts = blocks(ranks, counts, end, model.v.pad)
+    none = np.zeros(len(own), bool)
+    none[starts] = True
+    own = np.concatenate([np.full((1, BLOCK), model.v.pad, own.dtype), own])
+    sums = np.concatenate([[0.0], np.cumsum(_chances(model, own, following, none, at_once, together))])
     return sums[np.append(starts[1:], len(following))] - sums[starts]
+
+
+def score_lines(model: Model, counts: np.ndarray, ranks: np.ndarray, at_once: int = 512, together: int = 4) -> np.ndarray:
+    """Natural logarithm of the chance of what follows in each line: a block before it, the rank before its first, and ``counts`` blocks."""
+    size = (counts + 1) * BLOCK + 1
+    upto = np.cumsum(size)
+    inner = np.ones(len(ranks), bool)
+    inner[upto - 1] = False
+    own = ranks[inner].reshape(-1, BLOCK)
+    inner[upto - 1] = True
+    inner[upto - size] = False
+    following = ranks[inner].reshape(-1, BLOCK)
+    starts = np.cumsum(counts + 1) - (counts + 1)
+    following[starts] = model.v.pad  # what stands before a line has been scored where it belongs
+    none = np.zeros(len(own), bool)
+    none[starts] = True
+    own = np.concatenate([np.full((1, BLOCK), model.v.pad, own.dtype), own])
+    got = _chances(model, own, following, none, at_once, together)
+    return np.add.reduceat(got, starts) if len(starts) else got

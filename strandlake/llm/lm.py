@@ -17,7 +17,7 @@ Scale: words of over a millionth of all training tokens are known to each task
 joined with the counts as rows, one for each distinct word of a document, and none
 of them is a heavy key, since it is rare. Parameters (some 100,000 numbers) and
 id counts are all that the driver holds. No lineage is kept: counts, windows and
-scores are tables in the shared folder.
+scores are tables in the shared folder. Texts are encoded once: what trains is scored from the same stored lines.
 
 Defined results: null text is empty and scored as an end alone; a row without an
 id isn't held out, and teaches; repeated rows are scored, and teach, as often as
@@ -30,6 +30,7 @@ further columns aren't read. Words are told apart by their bytes in the counts,
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache, partial
 
 import numpy as np
@@ -144,41 +145,88 @@ def id_counts(counts: DataFrame, path: str) -> np.ndarray:
     return out
 
 
-# -- training ----------------------------------------------------------------
+# -- texts as ranks ----------------------------------------------------------
+
+_KINDS = {"number": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "outside": pa.float64(), "word": pa.string(), "n": pa.int64(), "learnt": pa.bool_(), "key": pa.int64(), "blocks": pa.int32(), "line": pa.binary()}
+_ROWS = "number long, doc_id long, n_tokens long, n_known long, base double, outside double, word string, n long, learnt boolean, key long, blocks int, line binary"
+
+
+@dataclass
+class Known:
+    """The frequent words by their hashes, in order, the logarithms of their counts, and how many ends there are."""
+
+    hashes: np.ndarray
+    logs: np.ndarray
+    ends: int
 
 
-def _lines(batches: Iterator[pa.RecordBatch], path: str, v: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """(key, blocks, line): the ranks of each stretch of a row, and an even key.
+def _batch(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(rows, kind)) for k, kind in _KINDS.items()], schema=pa.schema(list(_KINDS.items())))
 
-    A line is the block before the stretch, the rank before its first, and the stretch's blocks, missing ranks filled up.
+
+def _laid(batches: Iterator[pa.RecordBatch], path: str, v: Vocabulary, known: Known) -> Iterator[pa.RecordBatch]:
+    """Rows of three kinds: each text, each distinct word of it that isn't frequent, and its ranks, a line for each stretch.
+
+    Words that aren't frequent are unknown until the counts are joined; ``outside`` is what ids outside the head add to
+    the score. A line is the block before the stretch, the rank before its first, and the stretch's blocks, missing
+    ranks filled up; its key is even.
     """
+    context = TaskContext.get()
+    number = (context.partitionId() if context else 0) << 40
     own, end = _encoder(path), v.rank[END]
+    frequent, logs = known.hashes, known.logs
+    # what stands before a row: nothing, and then the end of another
+    lead = np.full(BLOCK + 1, v.pad, np.int16)
+    lead[-1] = end
     for run in runs(batches):
+        m = len(run)
         held = Distinct(run)
+        words = held.words
+        place = np.minimum(np.searchsorted(frequent, held.hashes), max(len(frequent) - 1, 0))
+        met = frequent[place] == held.hashes if len(frequent) else np.zeros(len(held.hashes), bool)
+        log = np.where(met, logs[place] if len(frequent) else _HALF, _HALF)
+        base = np.bincount(words.row, log[held.of], m) + np.log10(known.ends + 0.5)
+        n_known = per_row(met[held.of], words) + (known.ends > 0)
         ids, sizes = held.encoded(own)
         ids, sizes = joined(ids, sizes.astype(np.int64), held.of)
-        _, following, starts = attention.blocks(v.rank[ids].astype(np.int16), per_row(sizes, held.words), end, v.pad)
-        doc = np.nan_to_num(run.batch.column(0).to_numpy(zero_copy_only=False)).astype(np.int64).astype(U64)
-        of_row = mix(mix(doc) ^ run.row_hash())
+        counts = per_row(sizes, words)
+        outside = np.bincount(np.repeat(np.arange(m), counts), v.log_share[ids], m)
+        numbers = number + np.arange(m)
+        number += m
+        doc_id, learnt = run.batch.column(0), run.batch.column(2).to_numpy(zero_copy_only=False)
+        yield _batch(m, number=pa.array(numbers), doc_id=doc_id, n_tokens=pa.array(words.counts + 1), n_known=pa.array(n_known), base=pa.array(base), outside=pa.array(outside))
+        rare = np.flatnonzero(~met[held.of])
+        if len(rare):
+            pair, n = np.unique(words.row[rare] * np.int64(len(held.first)) + held.of[rare], return_counts=True)
+            yield _batch(len(pair), number=pa.array(numbers[pair // len(held.first)]), word=held.text(pair % len(held.first)).cast(pa.string()), n=pa.array(n))
+        _, following, starts = attention.blocks(v.rank[ids].astype(np.int16), counts, end, v.pad)
+        of_row = mix(mix(np.nan_to_num(doc_id.to_numpy(zero_copy_only=False)).astype(np.int64).astype(U64)) ^ run.row_hash())
         many = np.diff(np.append(starts, len(following)))
-        # what stands before a row: nothing, and then the end of another
-        lead = np.full(BLOCK + 1, v.pad, np.int16)
-        lead[-1] = end
-        keys, blocks, lines = [], [], []
-        for row in range(len(run)):
+        lines, sizes, rows, places = [], [], [], []
+        for row in range(m):
             line = np.concatenate([lead, following[starts[row] : starts[row] + many[row]].ravel()])
-            for number, at in enumerate(range(0, int(many[row]), STRETCH)):
+            for place, at in enumerate(range(0, int(many[row]), STRETCH)):
                 n = min(STRETCH, int(many[row]) - at)
-                keys.append(of_row[row] + U64(number))
-                blocks.append(n)
                 lines.append(line[at * BLOCK : (at + n + 1) * BLOCK + 1].tobytes())
-        keys = mix(np.array(keys, U64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(blocks, pa.int32()), pa.array(lines, pa.binary())], ["key", "blocks", "line"])
+                sizes.append(n)
+                rows.append(row)
+                places.append(place)
+        keys = mix(of_row[rows] + np.array(places, U64)).view(np.int64)
+        yield _batch(len(lines), number=pa.array(numbers[rows]), learnt=pa.array(learnt[rows]), key=pa.array(keys), blocks=pa.array(sizes, pa.int32()), line=pa.array(lines, pa.binary()))
+
+
+def laid_out(documents: DataFrame, v: Vocabulary, path: str, known: Known) -> DataFrame:
+    """A stored table of the rows (doc_id, text, learnt) as texts, rare words and lines."""
+    return stored(mapped(documents.select("doc_id", "text", "learnt"), partial(_laid, path=path, v=v, known=known), _ROWS), "lm-texts")
+
+
+# -- training ----------------------------------------------------------------
 
 
 def training_lines(documents: DataFrame, v: Vocabulary, path: str) -> DataFrame:
-    """A stored (key, blocks, line) of all stretches of every document."""
-    return stored(mapped(documents.select("doc_id", "text"), partial(_lines, path=path, v=v), "key long, blocks int, line binary"), "lm-lines")
+    """The (key, blocks, line) of all stretches of every document."""
+    nothing = Known(np.zeros(0, U64), np.zeros(0), 0)
+    return laid_out(documents.withColumn("learnt", F.lit(True)), v, path, nothing).filter("line is not null").select("key", "blocks", "line")
 
 
 def unpacked(blocks: np.ndarray, lines: list[bytes]) -> np.ndarray:
@@ -225,38 +273,15 @@ def fitted(lines: DataFrame, v: Vocabulary) -> np.ndarray:
 
 # -- scoring -----------------------------------------------------------------
 
-_SCORED = "number long, doc_id long, n_tokens long, n_known long, base double, score double, word string, n long"
-
 
-def _scored(batches: Iterator[pa.RecordBatch], path: str, v: Vocabulary, flat: np.ndarray, frequent: np.ndarray, logs: np.ndarray, end_log: float, ends: int) -> Iterator[pa.RecordBatch]:
-    """A row for each text, and one for each distinct word of it that isn't frequent, counted as unknown until the counts are joined."""
-    context = TaskContext.get()
-    number = (context.partitionId() if context else 0) << 40
-    own, model, end = _encoder(path), Model(flat, v), v.rank[END]
-    schema = pa.schema([("number", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.string()), ("n", pa.int64())])
-    for run in runs(batches):
-        held = Distinct(run)
-        words = held.words
-        place = np.minimum(np.searchsorted(frequent, held.hashes), max(len(frequent) - 1, 0))
-        known = frequent[place] == held.hashes if len(frequent) else np.zeros(len(held.hashes), bool)
-        log = np.where(known, logs[place] if len(frequent) else _HALF, _HALF)
-        base = np.bincount(words.row, log[held.of], len(run)) + end_log
-        n_known = per_row(known[held.of], words) + (ends > 0)
-        ids, sizes = held.encoded(own)
-        ids, sizes = joined(ids, sizes.astype(np.int64), held.of)
-        counts = per_row(sizes, words)
-        outside = np.bincount(np.repeat(np.arange(len(run)), counts), v.log_share[ids], len(run))
-        score = (attention.score(model, v.rank[ids].astype(np.int16), counts, end) + outside) / _TEN
-        numbers = number + np.arange(len(run))
-        number += len(run)
-        none = lambda k, kind: pa.nulls(k, kind)
-        m = len(run)
-        yield pa.RecordBatch.from_arrays([pa.array(numbers), run.batch.column(0), pa.array(words.counts + 1), pa.array(n_known), pa.array(base), pa.array(score), none(m, pa.string()), none(m, pa.int64())], schema=schema)
-        rare = np.flatnonzero(~known[held.of])
-        if len(rare):
-            pair, n = np.unique(words.row[rare] * np.int64(len(held.first)) + held.of[rare], return_counts=True)
-            k = len(pair)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[pair // len(held.first)]), *(none(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), held.text(pair % len(held.first)).cast(pa.string()), pa.array(n)], schema=schema)
+def _scored(batches: Iterator[pa.RecordBatch], v: Vocabulary, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(number, chance): the logarithm of each line's chance."""
+    model = Model(flat, v)
+    for batch in batches:
+        if batch.num_rows:
+            ranks = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int16)
+            chance = attention.score_lines(model, batch.column(1).to_numpy().astype(np.int64), ranks)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chance)], ["number", "chance"])
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,17 +298,20 @@ def scores(documents: DataFrame, learnt: Column, path: str | None = None) -> Dat
     total, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
     ids = id_counts(counts, path)
     v = attention.vocabulary(ids, END)
-    lines = training_lines(training, v, path)
-    flat = fitted(lines, v)
     frequent: pd.DataFrame = mapped(counts.filter(F.col("word").isNotNull() & (F.col("n") > total // FREQUENT)), _hashed, "hash long, n long").toPandas()
     hashes = frequent["hash"].to_numpy(np.int64).view(U64)
     order = np.argsort(hashes)
-    logs = np.log10(frequent["n"].to_numpy(float) + 0.5)[order]
-    work = partial(_scored, path=path, v=v, flat=flat, frequent=hashes[order], logs=logs, end_log=float(np.log10(ends + 0.5)), ends=ends)
-    held = stored(mapped(read.select("doc_id", "text"), work, _SCORED), "lm-scored")
+    known = Known(hashes[order], np.log10(frequent["n"].to_numpy(float) + 0.5)[order], ends)
+    held = laid_out(read.withColumn("learnt", ~F.col("held_out")), v, path, known)
+    lines = held.filter("line is not null")
+    flat = fitted(lines.filter("learnt").select("key", "blocks", "line"), v)
+    small_batches(documents.sparkSession)
+    chances = stored(mapped(lines.select("number", "blocks", "line"), partial(_scored, v=v, flat=flat), "number long, chance double"), "lm-chances")
     rare = held.filter("word is not null").select("number", "word", F.col("n").alias("times")).join(counts.filter("word is not null"), "word")
-    found = rare.groupBy("number").agg(F.sum("times").alias("more"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - _HALF)).alias("gain"))
-    rows = held.filter("word is null").drop("word", "n").join(found, "number", "left")
+    gains = rare.select("number", F.col("times").alias("more"), (F.col("times") * (F.log10(F.col("n") + 0.5) - _HALF)).alias("gain"), F.lit(0.0).alias("chance"))
+    found = gains.unionByName(chances.select("number", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("gain"), "chance"))
+    found = found.groupBy("number").agg(*(F.sum(c).alias(c) for c in ("more", "gain", "chance")))
+    rows = held.filter("word is null and line is null").select("number", "doc_id", "n_tokens", "n_known", "base", "outside").join(found, "number", "left")
     less = F.log10(F.lit(float(total + 0.5 * (distinct + 1))))
     out = rows.select(
         "doc_id",
@@ -292,10 +320,10 @@ def scores(documents: DataFrame, learnt: Column, path: str | None = None) -> Dat
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("gain", F.lit(0.0)) - F.col("n_tokens") * less).alias("base_score"),
-        "score",
+        ((F.col("chance") + F.col("outside")) / _TEN).alias("score"),
     )
     out = stored(out, "lm-scores")
-    dropped(counts, lines, held)
+    dropped(counts, held, chances)
     return out
 
 

@@ -188,3 +188,36 @@ def test_all_windows_of_all_training_documents_teach(spark, tables, monkeypatch)
     rows = lm.training_lines(docs, v, tokenizer_path()).toArrow()
     lm._trainer(attention.started(v), v)(rows)
     assert taught[0][3] * taught[0][4] >= len(windows) == len(taught[0][2])
+
+
+def test_lines_are_scored_as_whole_texts_are(model):
+    _, v, m = model
+    rng = np.random.default_rng(5)
+    counts, end, n = np.array([0, 1, 7, 8, 300, 9]), int(v.rank[7]), 2
+    ranks = v.rank[rng.integers(0, 12, int(counts.sum()))].astype(np.int16)
+    _, following, starts = attention.blocks(ranks, counts, end, v.pad)
+    lead = np.full(BLOCK + 1, v.pad, np.int16)
+    lead[-1] = end
+    lines, sizes, rows = [], [], []
+    for row, (x, y) in enumerate(zip(starts, [*starts[1:], len(following)])):
+        line = np.concatenate([lead, following[x:y].ravel()])
+        for at in range(0, int(y - x), n):
+            sizes.append(min(n, int(y - x) - at))
+            rows.append(row)
+            lines.append(line[at * BLOCK : (at + sizes[-1] + 1) * BLOCK + 1])
+    got = attention.score_lines(m, np.array(sizes), np.concatenate(lines), at_once=3, together=2)
+    assert np.allclose(np.bincount(rows, got), attention.score(m, ranks, counts, end), rtol=1e-5)
+
+
+def test_large_logits_are_summed_without_overflow():
+    logits = np.array([[200.0, 0, -300], [-200, -201, -202], [1, 2, 3]], np.float32)
+    sums, off = attention._exponentials(logits.copy())
+    assert np.allclose(off + np.log(sums), np.logaddexp.reduce(logits.astype(float), axis=1))
+
+
+def test_texts_are_encoded_once(spark, tables, monkeypatch):
+    """One pass counts words and one encodes: training and scoring read the ranks that it stored."""
+    read, mapped = [], lm.mapped
+    monkeypatch.setattr(lm, "mapped", lambda df, *rest: read.append("text" in df.columns) or mapped(df, *rest))
+    lm.scores(spark.read.parquet(f"{tables}/full/documents.parquet"), ~lm.held_out(F.col("doc_id")))
+    assert sum(read) == 2
