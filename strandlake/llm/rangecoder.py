@@ -27,6 +27,8 @@ BLOCK_IDS = 4096
 #: Blocks that one pass codes side by side, about: passes are made equal, since a small one takes nearly as long.
 LANES = 1024
 STRETCH = 256
+#: Places of a stretch that are worked on together, so that what they take stays in the cache.
+_SOME = 16
 MAGIC = b"SLB3"
 
 _ORDER1, _ORDER2 = 512, 1024  # slots of the candidates' tables
@@ -54,6 +56,18 @@ _RECORD = np.array([1, 2, 3, 3, 1], np.int32)
 _S1, _S2, _SAME = np.arange(_CASES) >> 2 & 3, np.arange(_CASES) & 3, np.arange(_CASES) < 16
 
 
+def _by_record() -> np.ndarray:
+    """Sums what was seen by case to how often candidates of order 1 and order 2 of each record were right, and how often there were such."""
+    out = np.zeros((_CASES, 3, 2, 2, 4))
+    for case in range(_CASES):
+        out[case, :, 0, 1, _S1[case]] = out[case, :, 1, 1, _S2[case]] = 1
+        out[case, 0 if _SAME[case] else 1, 0, 0, _S1[case]] = out[case, 0, 1, 0, _S2[case]] = 1
+    return out.reshape(3 * _CASES, -1)
+
+
+_BY_RECORD = _by_record()
+
+
 def _class_table(vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of each id, and each class's first id and bits."""
     of, base, bits = np.zeros(vocabulary, np.int64), [], []
@@ -75,7 +89,7 @@ class _Model:
     def __init__(self, lanes: int, bits: np.ndarray, reading: bool) -> None:
         classes = len(bits)
         self.lanes, self.classes, self.bits, self.reading = lanes, classes, bits, reading
-        self.seen = np.zeros((lanes, _CASES, 3), np.int64)  # by case: candidate of order 2 right, that of order 1, neither
+        self.seen = np.zeros((lanes, _CASES, 3))  # by case: candidate of order 2 right, that of order 1, neither
         self.weights = np.tile(np.array([[20_000, 50_000, -5_000, 65_000, 65_000, -5_000]], np.int64), (lanes, 1))
         self.counts = np.zeros((lanes, classes + 1), np.int64)  # the last stands for candidates
         self.codes, self.found = np.zeros((STRETCH, lanes), np.int32), np.zeros((STRETCH, lanes), np.int32)
@@ -85,25 +99,21 @@ class _Model:
 
     def _mix(self) -> None:
         """For each block and case: where the shares of the candidates of order 2 and order 1 end, of all ``_TOTAL``."""
-        s = self.seen
-        right2 = np.zeros((self.lanes, 4, 2), np.int64)
-        right1 = np.zeros((self.lanes, 4, 2), np.int64)
-        for r in range(4):
-            own = s[:, _S2 == r]
-            right2[:, r, 0], right2[:, r, 1] = own[:, :, 0].sum(1), own.sum((1, 2))
-            own, same = s[:, _S1 == r], _SAME[_S1 == r]
-            right1[:, r, 0], right1[:, r, 1] = own[:, same, 0].sum(1) + own[:, ~same, 1].sum(1), own.sum((1, 2))
-        logit = lambda n: _LOGIT[((4 * n[:, :, 0] + 2) << 12) // (4 * n[:, :, 1] + 5)]
-        x1, x2 = logit(right1)[:, _S1] * (_S1 > 0), logit(right2)[:, _S2] * (_S2 > 0)
+        half = _CASES // 2
+        by_record = (self.seen.reshape(self.lanes, -1) @ _BY_RECORD).astype(np.int64).reshape(self.lanes, 2, 2, 4)
+        x1, x2 = (_LOGIT[((4 * by_record[:, i, 0] + 2) << 12) // (4 * by_record[:, i, 1] + 5)] for i in (0, 1))
+        x1[:, 0] = x2[:, 0] = 0
+        x1, x2 = x1.take(_S1[:half], axis=1), x2.take(_S2[:half], axis=1)  # the same whether the candidates differ or not
         w = self.weights[:, :, None]
-        chance = lambda a, b: _CHANCE[np.clip((a * x1 + b * x2) >> 16, -2048, 2047) + 2048]
+        chance = lambda a, b: _CHANCE.take(np.clip((a * x1 + b * x2) >> 16, -2048, 2047) + 2048)
         one = 1 << _FLAG
-        self.p2 = np.where(_SAME, chance(w[:, 0], w[:, 1]), chance(w[:, 2], w[:, 3]))
-        self.p1 = chance(w[:, 4], w[:, 5])
+        self.p2 = np.concatenate([chance(w[:, 0], w[:, 1]), chance(w[:, 2], w[:, 3])], 1)
+        self.p1 = chance(w[:, 4], w[:, 5])  # only where they differ
         f2 = self.p2 * (_S2 > 0)
-        f1 = np.maximum(1, ((one - f2) * self.p1) >> _FLAG) * (~_SAME & (_S1 > 0))
+        upto = f2.copy()
+        upto[:, half:] += np.maximum(1, ((one - f2[:, half:]) * self.p1) >> _FLAG) * (_S1[half:] > 0)
         self.x1, self.x2 = x1, x2
-        self.end2, self.end1 = (f2 << _DEEP).astype(float).ravel(), ((f2 + f1) << _DEEP).astype(float).ravel()
+        self.end2, self.end1 = (f2 << _DEEP).astype(float).ravel(), (upto << _DEEP).astype(float).ravel()
 
     def renew(self) -> None:
         """Take up the classes' counts: begin and size of each class in order 0's total, and the class of each place of it."""
@@ -111,11 +121,22 @@ class _Model:
         room = total - self.classes
         counts = self.counts[:, : self.classes]
         n = counts.sum(1, keepdims=True)
-        size = 1 + np.where(n > 0, counts * room // np.maximum(n, 1), room // self.classes)
+        # whole numbers in floating point; quotients of such small ones are far enough from the next one to be rounded down
+        size = counts * float(room)
+        size /= np.maximum(n, 1)
+        size[(n == 0).ravel()] = room // self.classes
+        np.floor(size, out=size)
+        size += 1
         size[:, 0] += total - size.sum(1)
-        self.begin, self.step = ((np.cumsum(size, 1) - size) << _TAIL).astype(np.float32).ravel(), (size << (_TAIL - self.bits)).astype(np.float32).ravel()
+        begin = np.cumsum(size, 1)
+        begin -= size
+        #: Begin of each class and size of each place in it, side by side, which one look-up brings.
+        pair = np.empty((*size.shape, 2), np.float32)
+        np.multiply(begin, 1 << _TAIL, out=pair[:, :, 0], casting="same_kind")
+        np.multiply(size, 1 << (_TAIL - self.bits), out=pair[:, :, 1], casting="same_kind")
+        self.pair = pair.ravel().view(np.float64)
         if self.reading:
-            self.of = np.repeat(np.tile(np.arange(self.classes, dtype=np.uint8), self.lanes), size.ravel())
+            self.of = np.repeat(np.tile(np.arange(self.classes, dtype=np.uint8), self.lanes), size.astype(np.int64).ravel())
 
     def learn(self, upto: int, first: int, sizes: np.ndarray) -> None:
         """Take in the stretch from place ``first`` to ``upto``; ``sizes`` are the blocks' own."""
@@ -127,13 +148,15 @@ class _Model:
         now = np.bincount(codes, minlength=self.lanes * 3 * _CASES).reshape(self.lanes, _CASES, 3)
         self.seen += now
         self.counts += np.bincount(found, minlength=self.counts.size).reshape(self.counts.shape)
-        total = now.sum(2)
-        error2 = ((now[:, :, 0] << _FLAG) - total * self.p2) * (_S2 > 0)
-        error1 = ((now[:, :, 1] << _FLAG) - (total - now[:, :, 0]) * self.p1) * (~_SAME & (_S1 > 0))
         half = _CASES // 2
-        pulls = (error2 * self.x1, error2 * self.x2, error1 * self.x1, error1 * self.x2)
-        for i, pull in enumerate((pulls[0][:, :half], pulls[1][:, :half], pulls[0][:, half:], pulls[1][:, half:], pulls[2][:, half:], pulls[3][:, half:])):
-            self.weights[:, i] += pull.sum(1) >> 10
+        first2, total = now[:, :, 0], now.sum(2)
+        error2 = (first2 << _FLAG) - total * self.p2
+        error1 = (now[:, half:, 1] << _FLAG) - (total - first2)[:, half:] * self.p1
+        # a record of 0 has a logit of 0 itself; the other candidate's pull is left out there too
+        error2 *= _S2 > 0
+        error1 *= _S1[half:] > 0
+        for i, (error, x) in enumerate((e, x) for e in (error2[:, :half], error2[:, half:], error1) for x in (self.x1, self.x2)):
+            self.weights[:, i] += np.einsum("lc,lc->l", error, x) >> 10
         np.clip(self.weights, -131_072, 131_072, out=self.weights)
         self._mix()
         if upto % _RENEWED == 0 or upto in (STRETCH, 3 * STRETCH):
@@ -151,11 +174,14 @@ def _written(sizes: np.ndarray, vocabulary: int, ids: np.ndarray) -> list[bytes]
     of, base, bits = _class_table(vocabulary)
     model = _Model(lanes, bits, False)
     lane = np.arange(lanes)
-    held1, held2 = np.zeros(lanes * _ORDER1, np.int32), np.zeros(lanes * _ORDER2, np.int32)  # (id + 1) * 4 + record
+    held = np.zeros(lanes * (_ORDER1 + _ORDER2), np.int32)  # (id + 1) * 4 + record, all blocks' slots of order 1 first
     now = (ids + 1).astype(np.int64)
     low, span, at = np.zeros(lanes, np.int64), np.full(lanes, 1 << _CODE, np.int64), lane.copy()
     words = np.zeros((2 * longest + 8) * lanes, np.uint32)  # a block's words stand below each other
-    e1, e2 = np.zeros((STRETCH, lanes), np.int32), np.zeros((STRETCH, lanes), np.int32)
+    e, slots, old = np.zeros((STRETCH, 2, lanes), np.int32), np.zeros((STRETCH, 2, lanes), np.int64), np.zeros((2, lanes), np.int32)
+    start, size = np.zeros((STRETCH, lanes), np.int64), np.zeros((STRETCH, lanes), np.int64)
+    lane_slot = np.array([lane * _ORDER1, lane * _ORDER2 + lanes * _ORDER1])
+    lane_case, lane_class = lane * _CASES, lane * model.classes
     zero, sixteen, every = np.zeros((1, lanes), np.int64), np.full(lanes, 16, np.int64), np.full(lanes, lanes, np.int64)
     for first in range(0, longest, STRETCH):
         upto = min(first + STRETCH, longest)
@@ -163,27 +189,32 @@ def _written(sizes: np.ndarray, vocabulary: int, ids: np.ndarray) -> list[bytes]
         own = now[first:upto]
         last = np.concatenate([now[first - 1 : first] if first else zero, own[:-1]])
         before = np.concatenate([now[first - 2 : first - 1] if first else zero, last[:-1]])
-        slot1, slot2 = _slots(before, last)
-        slot1 += lane * _ORDER1
-        slot2 += lane * _ORDER2
+        slots[:n, 0], slots[:n, 1] = _slots(before, last)
+        slots[:n] += lane_slot
         whole = (own << 2).astype(np.int32)
         for t in range(n):
-            for held, slot, e in ((held1, slot1[t], e1[t]), (held2, slot2[t], e2[t])):
-                held.take(slot, out=e, mode="clip")
-                held[slot] = whole[t] + _RECORD.take(np.minimum((e - whole[t]).view(np.uint32), 4))
-        a, b = e1[:n], e2[:n]
-        differ = (a ^ b) > 3
-        case = np.where(differ, 16, 0) + ((a & 3) << 2) + (b & 3)
-        end2, end1 = model.end2.take(case + lane * _CASES), model.end1.take(case + lane * _CASES)
-        hit2 = ((b >> 2) == own) & (end2 > 0)
-        hit1 = ((a >> 2) == own) & ~hit2 & (end1 > end2)
-        kind = of.take(own - 1)
-        model.codes[:n] = case * 3 + np.where(hit2, 0, np.where(hit1, 1, 2))
-        model.found[:n] = np.where(hit2 | hit1, model.classes, kind)
-        begin, step = (x.take(kind + lane * model.classes).astype(float) for x in (model.begin, model.step))
-        none = (_TOTAL - end1) / (1 << _DEEP)
-        start = np.where(hit2, 0.0, np.where(hit1, end2, end1 + none * (begin + (own - 1 - base.take(kind)) * step))).astype(np.int64)
-        size = np.where(hit2, end2, np.where(hit1, end1 - end2, none * step)).astype(np.int64)
+            held.take(slots[t], out=e[t], mode="clip")
+            np.subtract(e[t], whole[t], out=old)
+            np.minimum(old.view(np.uint32), 4, out=old.view(np.uint32))
+            held[slots[t]] = _RECORD.take(old) + whole[t]
+        for x in range(0, n, _SOME):
+            y = min(x + _SOME, n)
+            a, b = e[x:y, 0], e[x:y, 1]
+            case = ((a & 3) << 2) + (b & 3)
+            case += ((a ^ b) > 3).astype(np.int32) << 4
+            at_case = case + lane_case
+            end2, end1 = model.end2.take(at_case), model.end1.take(at_case)
+            hit2 = ((b >> 2) == own[x:y]) & (end2 > 0)
+            hit1 = ((a >> 2) == own[x:y]) & ~hit2 & (end1 > end2)
+            hit = hit2 | hit1
+            kind = of.take(own[x:y] - 1)
+            model.codes[x:y] = case * 3 + np.where(hit2, 0, np.where(hit1, 1, 2))
+            model.found[x:y] = np.where(hit, model.classes, kind)
+            pair = model.pair.take(kind + lane_class).view(np.float32)
+            begin, step = pair[:, ::2], pair[:, 1::2]
+            none = (_TOTAL - end1) * (1.0 / (1 << _DEEP))
+            start[x:y] = np.where(hit, end2 * ~hit2, end1 + none * (begin + (own[x:y] - 1 - base.take(kind)) * step.astype(float)))
+            size[x:y] = np.where(hit, np.where(hit2, end2, end1 - end2), none * step)
         for t in range(n):
             k = int(np.searchsorted(-sizes, -(first + t), "left")) if sizes[-1] <= first + t else lanes  # blocks longer than this place
             unit = span[:k] >> _BITS
@@ -222,10 +253,10 @@ def _read(sizes: np.ndarray, vocabulary: int, words: np.ndarray) -> np.ndarray:
     first_of = base + 1.0
     model = _Model(lanes, bits, True)
     lane = np.arange(lanes)
-    lane1, lane2, lane_case, lane_class, lane_of = lane * _ORDER1, lane * _ORDER2, lane * _CASES, lane * model.classes, lane << _COUNTED
-    held1, held2 = np.zeros(lanes * _ORDER1, np.int32), np.zeros(lanes * _ORDER2, np.int32)
+    lane_case, lane_class, lane_of = lane * _CASES, lane * model.classes, (lane << _COUNTED).astype(float)
+    lane_slot = np.array([lane * _ORDER1, lane * _ORDER2 + lanes * _ORDER1])
+    held = np.zeros(lanes * (_ORDER1 + _ORDER2), np.int32)  # as the writer has them
     ids = np.zeros((longest, lanes), np.int32)
-    last = np.zeros(lanes, np.int64)
     # whole numbers below 2**53 in floating point: their sums, products and rounded quotients are exact
     low, span = np.zeros(lanes), np.full(lanes, float(1 << _CODE))
     for j in range(_CODE // 16):
@@ -233,49 +264,107 @@ def _read(sizes: np.ndarray, vocabulary: int, words: np.ndarray) -> np.ndarray:
     flat = words.ravel()
     at = lane + _CODE // 16 * lanes
     most = flat.size - lanes + lane
-    slot1, slot2 = _slots(last, last)
-    slot1, slot2 = slot1 + lane1, slot2 + lane2
-    seen, kinds = np.zeros((STRETCH, lanes), np.int32), np.zeros((STRETCH, lanes), np.int32)
+    seen, kinds = np.zeros((STRETCH, lanes), np.int32), np.zeros((STRETCH, lanes), np.uint8)
     right2, neither = np.zeros((STRETCH, lanes), bool), np.zeros((STRETCH, lanes), bool)
-    part, one, every = 1.0 / (1 << _BITS), 1.0 / (1 << _DEEP), np.full(lanes, lanes, np.int64)
+    part, one, wide = 1.0 / (1 << _BITS), 1.0 / (1 << _DEEP), 1.0 / (1 << _TAIL)
+    # every step writes to the same arrays, which stay in the cache
+    e, old, slot = np.zeros((2, lanes), np.int32), np.zeros((2, lanes), np.int32), lane_slot.copy()
+    unsigned = old.view(np.uint32)
+    whole, other, before = (np.zeros(lanes, np.int32) for _ in range(3))
+    words_now = np.zeros(lanes, np.uint32)
+    end2, end1, unit, place, none, inner, tail, begun, pair, word = (np.zeros(lanes) for _ in range(10))
+    where, step_at, small, differ = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, bool), np.zeros(lanes, bool)
+    begin, step = pair.view(np.float32)[::2], pair.view(np.float32)[1::2]
     for first in range(0, longest, STRETCH):
         upto = min(first + STRETCH, longest)
         for t in range(upto - first):
-            e1, e2 = held1.take(slot1), held2.take(slot2)
-            case = ((e1 & 3) << 2) + (e2 & 3) + (((e1 ^ e2) > 3) << 4)
-            where = case + lane_case
-            end2, end1 = model.end2.take(where), model.end1.take(where)
-            unit = np.floor(span * part)
-            place = np.minimum(np.floor(low / unit), _TOTAL - 1)
-            hit2, escape = place < end2, place >= end1
-            none = (_TOTAL - end1) * one
-            inner = np.floor(np.maximum(place - end1, 0.0) / none)
-            kind = model.of.take((inner * (1.0 / (1 << _TAIL))).astype(np.int64) + lane_of).astype(np.int64)
-            where = kind + lane_class
-            begin, step = model.begin.take(where), model.step.take(where)
-            tail = np.floor((inner - begin) / step)
-            now = np.where(escape, (first_of.take(kind) + tail).astype(np.int64), np.where(hit2, e2, e1) >> 2)
-            low -= unit * np.where(escape, end1 + none * (begin + tail * step), np.where(hit2, 0.0, end2))
-            span = unit * np.where(escape, none * step, np.where(hit2, end2, end1 - end2))
-            small = span < 4_294_967_296.0
-            low = np.where(small, low * 65_536.0 + flat.take(np.minimum(at, most)), low)  # a damaged block may ask for more words than there are
-            span = np.where(small, span * 65_536.0, span)
-            at += small * every
-            again = np.flatnonzero(span < 4_294_967_296.0)
+            case, hit2, escape, kind = seen[t], right2[t], neither[t], kinds[t]
+            held.take(slot, out=e, mode="clip")
+            np.bitwise_and(e, 3, out=old)
+            np.left_shift(old[0], 2, out=case)
+            case += old[1]
+            np.bitwise_xor(e[0], e[1], out=other)
+            np.greater(other, 3, out=differ)
+            np.left_shift(differ, 4, out=other, dtype=np.int32)
+            case += other
+            np.add(case, lane_case, out=where)
+            model.end2.take(where, out=end2, mode="clip")
+            model.end1.take(where, out=end1, mode="clip")
+            np.multiply(span, part, out=unit)
+            np.floor(unit, out=unit)
+            np.divide(low, unit, out=place)
+            np.floor(place, out=place)
+            np.minimum(place, _TOTAL - 1, out=place)
+            np.less(place, end2, out=hit2)
+            np.greater_equal(place, end1, out=escape)
+            np.subtract(_TOTAL, end1, out=none)
+            none *= one
+            np.subtract(place, end1, out=inner)
+            inner /= none
+            np.floor(inner, out=inner)
+            # below 0 where a candidate is right, and then of no use
+            np.multiply(inner, wide, out=tail)
+            tail += lane_of
+            np.copyto(where, tail, casting="unsafe")
+            model.of.take(where, out=kind, mode="clip")
+            np.add(kind, lane_class, out=where)
+            model.pair.take(where, out=pair, mode="clip")
+            np.subtract(inner, begin, out=tail)
+            tail /= step
+            np.floor(tail, out=tail)
+            first_of.take(kind, out=begun, mode="clip")
+            begun += tail
+            now = np.where(hit2, e[1], e[0])
+            now >>= 2
+            np.copyto(now, begun, where=escape, casting="unsafe")
+            # where the id's share begins, and how large it is
+            tail *= step
+            tail += begin
+            tail *= none
+            tail += end1
+            np.logical_not(hit2, out=differ)
+            np.multiply(end2, differ, out=begun)
+            moved = np.where(escape, tail, begun)
+            moved *= unit
+            low -= moved
+            none *= step
+            np.subtract(end1, begun, out=end1)  # of the candidate of order 1, whose share follows that of order 2
+            moved = np.where(escape, none, np.where(hit2, end2, end1))
+            np.multiply(unit, moved, out=span)
+            np.less(span, 4_294_967_296.0, out=small)
+            flat.take(at, out=words_now, mode="clip")  # a damaged block may ask for more words than there are
+            np.multiply(small, 65_535.0, out=moved)
+            moved += 1.0
+            low *= moved
+            span *= moved
+            np.multiply(words_now, small, out=word)
+            low += word
+            np.multiply(small, lanes, out=step_at)
+            at += step_at
+            np.less(span, 4_294_967_296.0, out=small)
+            again = np.flatnonzero(small)
             while len(again):
                 low[again] = low[again] * 65_536.0 + flat.take(np.minimum(at[again], most[again]))
                 span[again] = np.maximum(span[again], 1.0) * 65_536.0
                 at[again] += lanes
                 again = again[span[again] < 4_294_967_296.0]
-            ids[first + t] = now - 1
-            seen[t], right2[t], neither[t], kinds[t] = case, hit2, escape, kind
-            whole = (now << 2).astype(np.int32)
-            held1[slot1] = whole + _RECORD.take(np.minimum((e1 - whole).view(np.uint32), 4))
-            held2[slot2] = whole + _RECORD.take(np.minimum((e2 - whole).view(np.uint32), 4))
-            slot1, slot2 = _slots(last, now)
-            slot1 += lane1
-            slot2 += lane2
-            last = now
+            np.subtract(now, 1, out=ids[first + t])
+            np.left_shift(now, 2, out=whole)
+            np.subtract(e, whole, out=old)
+            np.minimum(unsigned, 4, out=unsigned)
+            _RECORD.take(old, out=e, mode="clip")
+            e += whole
+            held[slot] = e
+            # only low bits of the products count, so that they may run over
+            np.multiply(now, 40_503, out=old[0])
+            old[0] >>= 4
+            old[0] &= _ORDER1 - 1
+            np.multiply(now, 30_011, out=old[1])
+            old[1] += before
+            old[1] >>= 3
+            old[1] &= _ORDER2 - 1
+            np.add(old, lane_slot, out=slot)
+            np.multiply(now, 50_021, out=before)
         n = upto - first
         model.codes[:n] = seen[:n] * 3 + np.where(neither[:n], 2, ~right2[:n])
         model.found[:n] = np.where(neither[:n], kinds[:n], model.classes)
@@ -326,7 +415,7 @@ def decode_blocks(payloads: list[bytes]) -> list[np.ndarray]:
             for j, i in enumerate(order):
                 own = np.frombuffer(payloads[i], "<u2", offset=16)
                 words[j, : len(own)] = own
-            with np.errstate(over="ignore"):  # a damaged block's numbers may grow out of range
+            with np.errstate(all="ignore"):  # a damaged block's numbers may grow out of range
                 ids = _read(sizes, vocabulary, np.ascontiguousarray(words.T)).T
             for j, i in enumerate(order):
                 done[i] = ids[j, : sizes[j]]
