@@ -147,8 +147,8 @@ def id_counts(counts: DataFrame, path: str) -> np.ndarray:
 
 # -- texts as ranks ----------------------------------------------------------
 
-_KINDS = {"number": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "outside": pa.float64(), "word": pa.string(), "n": pa.int64(), "learnt": pa.bool_(), "key": pa.int64(), "blocks": pa.int32(), "line": pa.binary()}
-_ROWS = "number long, doc_id long, n_tokens long, n_known long, base double, outside double, word string, n long, learnt boolean, key long, blocks int, line binary"
+_KINDS = {"number": pa.int64(), "doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "outside": pa.float64(), "rare": pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])), "learnt": pa.bool_(), "key": pa.int64(), "blocks": pa.int32(), "line": pa.binary()}
+_ROWS = "number long, doc_id long, n_tokens long, n_known long, base double, outside double, rare array<struct<word:string,n:long>>, learnt boolean, key long, blocks int, line binary"
 
 
 @dataclass
@@ -165,9 +165,10 @@ def _batch(rows: int, **columns: pa.Array) -> pa.RecordBatch:
 
 
 def _laid(batches: Iterator[pa.RecordBatch], path: str, v: Vocabulary, known: Known) -> Iterator[pa.RecordBatch]:
-    """Rows of three kinds: each text, each distinct word of it that isn't frequent, and its ranks, a line for each stretch.
+    """Rows of two kinds: each text, with each distinct word of it that isn't frequent, and its ranks, a line for each stretch.
 
-    Words that aren't frequent are unknown until the counts are joined; ``outside`` is what ids outside the head add to
+    Words that aren't frequent are unknown until the counts are joined, and stand in a column of their own, so that
+    whoever reads the lines passes them over; ``outside`` is what ids outside the head add to
     the score. A line is the block before the stretch, the rank before its first, and the stretch's blocks, missing
     ranks filled up; its key is even.
     """
@@ -194,11 +195,12 @@ def _laid(batches: Iterator[pa.RecordBatch], path: str, v: Vocabulary, known: Kn
         numbers = number + np.arange(m)
         number += m
         doc_id, learnt = run.batch.column(0), run.batch.column(2).to_numpy(zero_copy_only=False)
-        yield _batch(m, number=pa.array(numbers), doc_id=doc_id, n_tokens=pa.array(words.counts + 1), n_known=pa.array(n_known), base=pa.array(base), outside=pa.array(outside))
         rare = np.flatnonzero(~met[held.of])
-        if len(rare):
-            pair, n = np.unique(words.row[rare] * np.int64(len(held.first)) + held.of[rare], return_counts=True)
-            yield _batch(len(pair), number=pa.array(numbers[pair // len(held.first)]), word=held.text(pair % len(held.first)).cast(pa.string()), n=pa.array(n))
+        pair, n = np.unique(words.row[rare] * np.int64(len(held.first)) + held.of[rare], return_counts=True)
+        per_text = np.searchsorted(pair, np.arange(m + 1) * np.int64(len(held.first))).astype(np.int32)
+        named = pa.StructArray.from_arrays([held.text(pair % max(len(held.first), 1)).cast(pa.string()), pa.array(n, pa.int64())], ["word", "n"])
+        listed = pa.ListArray.from_arrays(pa.array(per_text), named)
+        yield _batch(m, number=pa.array(numbers), doc_id=doc_id, n_tokens=pa.array(words.counts + 1), n_known=pa.array(n_known), base=pa.array(base), outside=pa.array(outside), rare=listed)
         _, following, starts = attention.blocks(v.rank[ids].astype(np.int16), counts, end, v.pad)
         of_row = mix(mix(np.nan_to_num(doc_id.to_numpy(zero_copy_only=False)).astype(np.int64).astype(U64)) ^ run.row_hash())
         many = np.diff(np.append(starts, len(following)))
@@ -216,7 +218,7 @@ def _laid(batches: Iterator[pa.RecordBatch], path: str, v: Vocabulary, known: Kn
 
 
 def laid_out(documents: DataFrame, v: Vocabulary, path: str, known: Known) -> DataFrame:
-    """A stored table of the rows (doc_id, text, learnt) as texts, rare words and lines."""
+    """A stored table of the rows (doc_id, text, learnt) as texts with their rare words, and lines."""
     return stored(mapped(documents.select("doc_id", "text", "learnt"), partial(_laid, path=path, v=v, known=known), _ROWS), "lm-texts")
 
 
@@ -307,11 +309,11 @@ def scores(documents: DataFrame, learnt: Column, path: str | None = None) -> Dat
     flat = fitted(lines.filter("learnt").select("key", "blocks", "line"), v)
     small_batches(documents.sparkSession)
     chances = stored(mapped(lines.select("number", "blocks", "line"), partial(_scored, v=v, flat=flat), "number long, chance double"), "lm-chances")
-    rare = held.filter("word is not null").select("number", "word", F.col("n").alias("times")).join(counts.filter("word is not null"), "word")
+    rare = held.filter("line is null").select("number", F.explode("rare").alias("rare")).select("number", "rare.word", F.col("rare.n").alias("times")).join(counts.filter("word is not null"), "word")
     gains = rare.select("number", F.col("times").alias("more"), (F.col("times") * (F.log10(F.col("n") + 0.5) - _HALF)).alias("gain"), F.lit(0.0).alias("chance"))
     found = gains.unionByName(chances.select("number", F.lit(0).cast("long").alias("more"), F.lit(0.0).alias("gain"), "chance"))
     found = found.groupBy("number").agg(*(F.sum(c).alias(c) for c in ("more", "gain", "chance")))
-    rows = held.filter("word is null and line is null").select("number", "doc_id", "n_tokens", "n_known", "base", "outside").join(found, "number", "left")
+    rows = held.filter("line is null").select("number", "doc_id", "n_tokens", "n_known", "base", "outside").join(found, "number", "left")
     less = F.log10(F.lit(float(total + 0.5 * (distinct + 1))))
     out = rows.select(
         "doc_id",
