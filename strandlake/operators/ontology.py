@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -113,6 +115,83 @@ def coverage(sets: DataFrame, compared: DataFrame, scored: DataFrame) -> DataFra
     return _mean(_met(sets, compared, scored, "lin").groupBy("a", "b", "t1").agg(F.max("lin").alias("best")), compared)
 
 
+# -- whole sets side by side ---------------------------------------------------
+
+#: Pairs of terms that a task holds, about, where each is wanted once.
+_PAIR_ROWS = 1_000_000
+
+
+def described(sets: DataFrame, closed: DataFrame, ic: DataFrame) -> DataFrame:
+    """(entity, terms): the distinct terms of each entity as structs (term, own, up); ``sets``: (entity, term), repeats do no harm.
+
+    ``up`` are the ancestors (ic, number) that can be a greatest common one of two different terms: those of some
+    information content that two terms of the sets have at least. Terms are described where they are dealt by term,
+    so that pairs of entities, and never pairs of terms, are what travels afterwards.
+    """
+    held = sets.select("entity", "term").filter("entity is not null and term is not null")
+    above = closed.select("term", "ancestor").join(held.select("term").distinct(), "term", "left_semi").join(ic.filter("ic > 0").withColumnRenamed("term", "ancestor"), "ancestor")
+    several = above.groupBy("ancestor").agg(F.count("*").alias("n")).filter("n > 1")
+    several = cut(several.select("ancestor", F.monotonically_increasing_id().alias("number")))  # numbers are shorter than names
+    up = cut(above.join(several, "ancestor").groupBy("term").agg(F.collect_set(F.struct("ic", "number")).alias("up")).join(ic.withColumnRenamed("ic", "own"), "term", "full"))
+    named = held.join(up, "term", "left").select("entity", F.struct("term", F.coalesce("own", F.lit(0.0)).alias("own"), F.coalesce("up", F.array().cast(up.schema["up"].dataType)).alias("up")).alias("t"))
+    return named.repartition("entity").groupBy("entity").agg(F.collect_set("t").alias("terms"))
+
+
+def beside(sets: DataFrame, compared: DataFrame, closed: DataFrame, ic: DataFrame) -> DataFrame:
+    """``compared`` with the described terms of a as ``x`` and of b as ``y``, null where there are none."""
+    terms = described(sets, closed, ic)
+    of = lambda end, name: terms.select(F.col("entity").alias(end), F.col("terms").alias(name))
+    return compared.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+
+
+def resnik_of(x: Column, y: Column) -> Column:
+    """As ``resnik``, of two described terms."""
+    common = F.array_max(F.array_intersect(x["up"], y["up"]))["ic"]
+    return F.when(x["term"] == y["term"], x["own"]).otherwise(F.coalesce(common, F.lit(0.0)))
+
+
+def lin_of(x: Column, y: Column) -> Column:
+    """As ``lin``, of two described terms."""
+    total = x["own"] + y["own"]
+    return F.when(total > 0, F.least(2 * resnik_of(x, y) / total, F.lit(1.0))).otherwise(0.0)
+
+
+def _matrix(met: DataFrame, value: Callable[[Column, Column], Column]) -> DataFrame:
+    """Rows of ``beside`` with ``m``: the values of each term of a with each of b."""
+    return met.withColumn("m", F.transform("x", lambda x: F.transform("y", lambda y: value(x, y)))).drop("x", "y")
+
+
+def _mean_of(best: Column) -> Column:
+    total = F.aggregate(best, F.lit(0).cast("decimal(30,14)"), lambda t, v: (t + v.cast("decimal(28,14)")).cast("decimal(30,14)"))
+    return F.coalesce(F.when(F.size(best) > 0, (total / F.size(best)).cast("decimal(32,18)").cast("double")), F.lit(0.0))
+
+
+def best_matches(met: DataFrame, value: Callable[[Column, Column], Column]) -> DataFrame:
+    """As ``best_match_average``, of the rows of ``beside``: every pair of entities is one row, and both sides' best matches are taken in it."""
+    there = F.transform("m", lambda row: F.array_max(row))
+    back = F.transform(F.sequence(F.lit(0), F.size(F.col("m")[0]) - 1), lambda j: F.array_max(F.transform("m", lambda row: row[j])))
+    return _matrix(met, value).select("a", "b", _mean_of(F.concat(there, back)).alias("score"))
+
+
+def covered(met: DataFrame) -> DataFrame:
+    """As ``coverage``, of the rows of ``beside``."""
+    return _matrix(met, lin_of).select("a", "b", _mean_of(F.transform("m", lambda row: F.array_max(row))).alias("score"))
+
+
+def lin_both_ways(met: DataFrame, rows: int) -> DataFrame:
+    """(t1, t2, lin): once, and both ways, for each two terms of which one is a's and one is b's in any of the rows of ``beside``.
+
+    Each two terms travel once, in the order of their names; the other way is made where they then are. ``rows`` is
+    how many pairs there are about, so that no task holds more than a part of a bounded size of them.
+    """
+    one = met.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
+    valued = one.select(F.least("x.term", "y.term").alias("low"), F.greatest("x.term", "y.term").alias("high"), lin_of(F.col("x"), F.col("y")).alias("lin"))
+    parts = max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // _PAIR_ROWS))
+    once = valued.repartition(parts, "low", "high").dropDuplicates(["low", "high"])
+    ways = F.array(F.struct(F.col("low").alias("t1"), F.col("high").alias("t2")), F.struct(F.col("high").alias("t1"), F.col("low").alias("t2")))
+    return once.select(F.explode(F.when(F.col("low") == F.col("high"), F.slice(ways, 1, 1)).otherwise(ways)).alias("p"), "lin").select("p.t1", "p.t2", "lin")
+
+
 def by_greatest(scores: DataFrame, ic: DataFrame) -> DataFrame:
     """Scores divided by the greatest information content, 1 at most; 0 where that is 0 or missing."""
     most = ic.agg(F.coalesce(F.max("ic"), F.lit(0.0)).alias("_most"))

@@ -85,9 +85,14 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("term")).agg(F.count("*").alias("cnt"))
 
 
+def term_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity, term): the parts of each order, as often as it has them."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("term"))
+
+
 def term_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, term): the parts of each order."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("term")).distinct()
+    return term_rows(spark, sf_dir).distinct()
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
